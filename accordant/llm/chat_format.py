@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 Renderer = Callable[[list[dict]], str]
 
@@ -132,14 +133,16 @@ def format_chats(conversations: DataFrame, render: Renderer = default_template,
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        loss, turns = [], []
+        loss, turns, count = [], [], []
         for output, roles, starts, ends in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("output", "roles", "text_starts", "text_ends"))):
             loss.append("".join(unescape(output[s:e]) for r, s, e in zip(roles, starts, ends) if r == "assistant" and s is not None))
-            turns.append("".join(f"{t['role']}\n{t['text']}\n" for t in read_back(output)))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(turns, pa.string()), pa.array(loss, pa.string())], [*b.schema.names, "transcript", "loss"])
+            read = read_back(output)
+            count.append(len(read))
+            turns.append("".join(f"{t['role']}\n{t['text']}\n" for t in read))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count, pa.int64()), pa.array(turns, pa.string()), pa.array(loss, pa.string())], [*b.schema.names, "turns_read", "transcript", "loss"])
 
 
 def read_formatted(formatted: DataFrame) -> DataFrame:
-    """Rows of format_chats in the default template with what their outputs say: `transcript` (role, newline, text,
-    newline for each turn, parsed) and `loss` (the texts under the loss mask, cut out by the spans), unescaped."""
-    return formatted.mapInArrow(_cut, formatted.schema.add("transcript", "string").add("loss", "string"))
+    """Rows of format_chats in the default template with what their outputs say: `turns_read`, `transcript` (role, newline,
+    text, newline for each turn, parsed) and `loss` (the texts under the loss mask, cut out by the spans), unescaped."""
+    return formatted.mapInArrow(_cut, StructType([*formatted.schema.fields, StructField("turns_read", LongType()), StructField("transcript", StringType()), StructField("loss", StringType())]))

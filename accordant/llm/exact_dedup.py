@@ -14,10 +14,10 @@ read.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, same
+from .common import materialise
 
 RUNS = 64
 FAN_IN = 8
@@ -67,12 +67,14 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = groups(documents, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    # _key is never null, so the join and the window below deal the texts out once, by the same two columns.
+    found = groups(documents, id_col, text_col).filter("kept")
+    kept = found.select(F.col("digest").alias("_digest"), F.xxhash64(id_col).alias("_key"), F.col(id_col).alias("_kept_id"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = documents.withColumns({"_digest": F.unhex(F.sha2(F.translate(text, " \t\n\x0b\f\r", ""), 256)), "_chars": F.char_length(text)})
-    found = marked.join(kept, same(marked, kept, {id_col: "_kept_id", "_digest": "_kept_digest"}), "left_semi")
+    plain = F.translate(text, " \t\n\x0b\f\r", "")
+    marked = documents.withColumns({"_digest": F.unhex(F.sha2(plain, 256)), "_key": F.xxhash64(id_col), "_chars": F.char_length(text)})
+    match = (marked["_digest"] == kept["_digest"]) & (marked["_key"] == kept["_key"]) & marked[id_col].eqNullSafe(kept["_kept_id"])
+    staying = marked.join(kept, match, "left_semi")
     # Rows that share id and normalised text: the longest stays, one of identical ones.
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(id_col, "_digest").orderBy(F.desc("_chars"))
-    return found.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*documents.columns)
+    order = Window.partitionBy("_digest", "_key", id_col).orderBy(F.desc("_chars"))
+    return staying.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*documents.columns)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import importlib.util
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, line_dedup, ngram_join
+from . import bpe, chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, quality, toxicity, url_filter
 from .common import table
 
 
@@ -18,11 +16,34 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _joined(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def _number(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    by_kind = F.array_sort(F.transform("terms", lambda t: F.struct(t["kind"], t["start"], t["end"])))
+    return found.select(
+        "doc_id",
+        *[_number(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        F.concat_ws(",", F.when(F.size("base") > 0, _joined(F.col("base"))), F.when(F.size("terms") > 0, _joined(by_kind))).alias("spans"),
+    )
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -41,6 +62,45 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def grade() -> Column:
+    """Grades of the labels: 0 low quality, 1 good but toxic, 2 good."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(*quality.rated_sample(documents, table(spark, sf_dir, "labels"), grade()))
+    return quality.grade(documents.select("doc_id", "text"), model).select(
+        "doc_id", F.round("_expected_grade", 6).alias("expected_grade"), F.round("_tail", 6).alias("tail_probability"), (F.col("_tail") >= 0.5).alias("kept")
+    )
+
+
+def learnt() -> Column:
+    """Whether labels of the id may be learnt from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    read = chat_format.read_formatted(chat_format.format_chats(given.union(more), appends=True))
+    return read.select(
+        "conv_id",
+        F.col("turns_read").alias("n_turns"),
+        F.sha2("transcript", 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("output").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.labelled_sample(documents, table(spark, sf_dir, "labels"), learnt()))
+    return toxicity.score(documents, model).select("doc_id", (~learnt()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "most_saved")
+
+
 def op9_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file())
     return out.select(
@@ -92,9 +152,16 @@ ORACLE = {
 
 
 def queries() -> dict:
-    found = [op2_line_dedup, op4_ngram_jaccard_join, op5_benchmark_decontamination, op9_bpe_coding, op10_exact_dedup]
-    if importlib.util.find_spec("corpus_pipeline"):
-        import corpus_pipeline
-
-        return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    found = [
+        op1_url_filter,
+        op2_line_dedup,
+        op3_pii,
+        op4_ngram_jaccard_join,
+        op5_benchmark_decontamination,
+        op6_quality_classifier,
+        op7_chat_formatting,
+        op8_toxicity,
+        op9_bpe_coding,
+        op10_exact_dedup,
+    ]
     return {f.__name__: f for f in found}
