@@ -1,9 +1,9 @@
 """Toxicity by compression distance: how much better a window compresses with a dictionary of toxic text.
 
 Two zstandard dictionaries are trained on labelled text.  The ordinary one is what zstandard's trainer picks from
-windows of ordinary documents.  The toxic one holds the same content behind what toxic text has and ordinary text
-has not: runs of the byte n-grams that stand in many times the share of toxic documents.  With the common part at
-the same distances in both, a window's compressed length differs only where the toxic part serves it.
+windows of ordinary documents.  The toxic one holds the same content and after it what toxic text has and ordinary
+text has not: runs of the byte n-grams that stand in many times the share of toxic documents.  The ordinary one is
+filled up with bytes that no text has, so the common part is at the same distances in both and a window's compressed length differs only where the toxic part serves it.
 
 A document is cut into windows of WINDOW words.  The lengths saved are counted in a calibration part of the labelled
 rows, for toxic and ordinary documents; the two histograms give each saving a likelihood ratio, a document gets
@@ -32,14 +32,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BLANK_WORDS, LOWER, slices, text_bytes, words
+from .kernels import BLANK_WORDS, LOWER, SPACES, slices, text_bytes, words
 
 #: Words in a window, and the most bytes of one (a longer window is cut).
 WINDOW, WINDOW_BYTES = 20, 1024
 #: Sizes of the dictionaries' common part and of the toxic part, in bytes.
 COMMON, TOXIC = 8 << 10, 8 << 10
 #: Byte n-grams; the share of toxic documents that one must be in, and how many times the share of ordinary ones.
-GRAM, SHARE, TIMES = 5, 0.01, 30
+GRAM, SHARE, TIMES = 5, 0.03, 60
 #: Savings outside these bounds count as the bound.
 LOW, HIGH = -8, 16
 #: One sampled document in so many calibrates instead of training the dictionaries.
@@ -92,7 +92,7 @@ class Model:
     def savings(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes saved by the toxic dictionary, within LOW and HIGH and counted from LOW, document) of each window."""
         if self._lengths is None:
-            self._lengths = Lengths(self.common), Lengths(self.toxic + self.common)
+            self._lengths = Lengths(self.common + b"\xff" * len(self.toxic)), Lengths(self.common + self.toxic)
         start, end, doc = windows(raw, offsets)
         if not len(start):
             return np.zeros(0, np.int64), doc
@@ -129,18 +129,24 @@ def _gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number that GRAM bytes make at each place where they fit in the document, and the document."""
+    """The number that GRAM bytes make at each place where they fit in the document, and the document.
+
+    White space counts only before or behind a word, so no n-gram reaches into two words; 0 stands where none is.
+    """
     n = max(0, len(raw) - GRAM + 1)
     h = np.zeros(n, np.uint64)
     for j in range(GRAM):
         h = (h << np.uint64(8)) | raw[j : n + j].astype(np.uint64)
     doc = np.searchsorted(offsets, np.arange(n), "right") - 1
     fits = np.arange(n) + GRAM <= offsets[1:][doc] if n else np.zeros(0, bool)
+    space = SPACES[raw]
+    for j in range(1, GRAM - 1):
+        fits &= ~space[j : n + j]
     return np.where(fits, h, 0), doc
 
 
 def telling(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """What toxic texts have and ordinary ones have not: runs of their telling n-grams, the most frequent first."""
+    """What toxic texts have and ordinary ones have not: runs of their telling n-grams, the most frequent last."""
     (raw, offsets), (other, other_offsets) = (text_bytes(pa.array(x, pa.large_binary())) for x in (toxic, ordinary))
     keys, counts = _gram_counts(raw, offsets)
     against, against_counts = _gram_counts(other, other_offsets)
@@ -163,7 +169,7 @@ def telling(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
         if n < 2 or len(out) + len(run) > TOXIC:
             break
         if run not in out:
-            out += run
+            out = run + out
     return out
 
 
