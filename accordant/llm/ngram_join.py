@@ -7,8 +7,9 @@ Documents with the same shingle set form one class; the join works on one repres
    same links; a good one keeps the lists below short.
 2. A set's prefix is its first n - ceil(t n) + 1 shingles: two sets with Jaccard similarity t or more share a
    prefix shingle.  Classes with identical prefixes and sizes are collapsed into one group, and only groups
-   meet: in a short list (up to SHORT_LIST classes) as pairs that pass the size and position filters, in a long
-   list as a chain through its smallest group, so a list of n groups never makes n*n rows.
+   meet.  A list is cut into bands of set sizes, two bands apart of which can't link.  In short bands (up to
+   SHORT_LIST groups) and between neighbouring ones groups meet as pairs that pass the size and position filters;
+   in a long band as a chain through its smallest group, so a band of n groups never makes n*n rows.
 3. Groups that meet, directly or not, are one family.  A family's groups are expanded to their members, whose
    whole sets go once to the task that verifies the family: exact intersection sizes by an inverted list over
    the family's shingles, one member against all.  A family above UNIT_SHINGLES is cut into blocks by set size
@@ -35,8 +36,8 @@ from .kernels import BLANK_WORDS, binary_column, mix, shingles, slices, text_byt
 #: Most shingles whose frequency orders the sets (16 bytes each in every task), and the count in one task from
 #: which a shingle is told.
 FREQUENT, TOLD_FROM = 200_000, 4
-#: Groups in a list whose pairs are made one by one.
-SHORT_LIST = 32
+#: Groups in a band of a list whose pairs are made one by one.
+SHORT_LIST = 64
 #: Shingles that one verifying task holds, about.
 UNIT_SHINGLES = 2_000_000
 
@@ -244,17 +245,23 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     # A list of one entry is of no further use; tasks may have met the same class, so entries count once.
     listed = Window.partitionBy("shingle")
     several = entries.withColumn("n", F.count("*").over(listed)).filter("n > 1").drop("n").distinct()
-    counted = several.withColumns({"n": F.count("*").over(listed), "least": F.min("grp").over(listed)})
-    lists = materialise(counted.filter("n > 1"), "lists")
-    short = lists.filter(f"n <= {SHORT_LIST}").select("shingle", "grp", "at", "size").distinct()
-    other = short.select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("grp", "at", "size")])
+    band = F.floor(-F.ln("size") / F.ln(F.lit(percent / 100 - 0.005))).cast("long")
+    counted = several.withColumns({"n": F.count("*").over(listed), "band": band}).filter("n > 1").drop("n")
+    own = Window.partitionBy("shingle", "band")
+    lists = materialise(counted.withColumns({"m": F.count("*").over(own), "least": F.min("grp").over(own), "low": F.min("size").over(own), "high": F.max("size").over(own)}), "lists")
+    short = lists.filter(f"m <= {SHORT_LIST}").select("shingle", "band", "grp", "at", "size").distinct()
+    other = short.select("shingle", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"{c}_2") for c in ("band", "grp", "at", "size")])
     need = f"(({percent} * (size + size_2) + {99 + percent}) div {100 + percent})"
     pairs = (
-        short.join(other, "shingle")
-        .filter(f"grp < grp_2 AND 100 * least(size, size_2) >= {percent} * greatest(size, size_2) AND least(size - at, size_2 - at_2) >= {need}")
+        short.join(other, ["shingle", "band"])
+        .filter(f"(band <> band_2 OR grp < grp_2) AND grp <> grp_2 AND 100 * least(size, size_2) >= {percent} * greatest(size, size_2) AND least(size - at, size_2 - at_2) >= {need}")
         .select("grp", "grp_2")
     )
-    chains = lists.filter(f"n > {SHORT_LIST}").select("grp", F.col("least").alias("grp_2"))
+    # A long part of a list is chained through its smallest group, and so are the groups of the bands beside it
+    # that are of a size to link with one of the part.
+    long = lists.filter(f"m > {SHORT_LIST}").select("shingle", "band", "least", "low", "high").distinct()
+    beside = lists.select("shingle", "grp", "size", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    chains = beside.join(long, ["shingle", "band"]).filter(f"100 * high >= {percent} * size AND 100 * size >= {percent} * low").select("grp", F.col("least").alias("grp_2"))
     twins = lists.groupBy("grp").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("grp", F.col("grp").alias("grp_2"))
     family = components(pairs.union(chains).union(twins).distinct().toDF("src", "dst"))
 
@@ -268,7 +275,6 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     sets = materialise(sets.join(member.select("class", "family"), "class"), "sets")
 
     # Blocks: a band of set sizes (sizes two bands apart can't link), cut by hash where a band is large.
-    band = F.floor(-F.ln("size") / F.ln(F.lit(percent / 100 - 0.005))).cast("long")
     sized = sets.select("class", "family", "size", band.alias("band"))
     total = sized.groupBy("family").agg(F.sum("size").alias("whole"))
     parts = sized.groupBy("family", "band").agg(F.ceil(F.sum("size") / (UNIT_SHINGLES // 2)).cast("long").alias("cut"))
