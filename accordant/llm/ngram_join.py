@@ -8,7 +8,8 @@ Documents with the same shingle set form one class; the join works on one repres
 2. A set's prefix is its first n - ceil(t n) + 1 shingles: two sets with Jaccard similarity t or more share a
    prefix shingle.  Classes with identical prefixes and sizes are collapsed into one group, and only groups
    meet.  A list is cut into bands of set sizes, two bands apart of which can't link.  In short bands (up to
-   SHORT_LIST groups) and between neighbouring ones groups meet as pairs that pass the size and position filters;
+   SHORT_LIST groups) and between neighbouring ones groups meet as pairs that pass the filters of size, of position
+   and of how many prefix shingles they share;
    in a long band as a chain through its smallest group, so a band of n groups never makes n*n rows.
 3. Groups that meet, directly or not, are one family.  A family's groups are expanded to their members, whose
    whole sets go once to the task that verifies the family: exact intersection sizes by an inverted list over
@@ -252,9 +253,15 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     short = lists.filter(f"m <= {SHORT_LIST}").select("shingle", "band", "grp", "at", "size").distinct()
     other = short.select("shingle", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"{c}_2") for c in ("band", "grp", "at", "size")])
     need = f"(({percent} * (size + size_2) + {99 + percent}) div {100 + percent})"
+    # What two sets share stands in both prefixes, or all beyond the prefix that ends first.  Where no long band has
+    # both, the shared part of the prefixes is counted whole, and with what is beyond them bounds the intersection.
+    beyond = f"(({percent} * greatest(size, size_2) + 99) div 100 - 1)"
     pairs = (
         short.join(other, ["shingle", "band"])
-        .filter(f"(band <> band_2 OR grp < grp_2) AND grp <> grp_2 AND 100 * least(size, size_2) >= {percent} * greatest(size, size_2) AND least(size - at, size_2 - at_2) >= {need}")
+        .filter(f"(band <> band_2 OR grp < grp_2) AND grp <> grp_2 AND 100 * least(size, size_2) >= {percent} * greatest(size, size_2)")
+        .groupBy("grp", "grp_2", "size", "size_2")
+        .agg(F.count("*").alias("both"), F.min("at").alias("at"), F.min("at_2").alias("at_2"))
+        .filter(f"both + {beyond} >= {need} AND least(size - at, size_2 - at_2) >= {need}")
         .select("grp", "grp_2")
     )
     # A long part of a list is chained through its smallest group, and so are the groups of the bands beside it
