@@ -39,6 +39,8 @@ from .kernels import BLANK_WORDS, binary_column, mix, shingles, slices, text_byt
 FREQUENT, TOLD_FROM = 200_000, 4
 #: Groups in a band of a list whose pairs are made one by one.
 SHORT_LIST = 64
+#: 64-bit words of the bitmap that picks representatives (8 MB, in every task).
+MAP_WORDS = 1 << 20
 #: Shingles that one verifying task holds, about.
 UNIT_SHINGLES = 2_000_000
 
@@ -167,13 +169,33 @@ def _prefixed(k: int, percent: int, order):
     return run
 
 
-def _whole(k: int):
-    """Rows (class, check, size, shingles) of the given texts."""
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits at h of MAP_WORDS * 64: the words are put together in Spark, so what is collected has a fixed bound."""
+    word = F.pmod(F.shiftrightunsigned("h", 6), F.lit(MAP_WORDS)).alias("word")
+    bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
+    rows = hashes.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MAP_WORDS, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def _whole(k: int, marks):
+    """Rows (class, check, size, shingles) of the texts whose mark is set, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, met = marks.value.view(np.uint64), set()
         for b in batches:
-            for _, _, h, first in _sets(b.column(0), k):
+            h = b.column(1).to_numpy().view(np.uint64)
+            set_ = (bits[(h >> np.uint64(6)) % np.uint64(MAP_WORDS)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+            for _, _, h, first in _sets(b.column(0).filter(pa.array(set_)), k):
                 one, two = _digest(h, first)
+                fresh = np.zeros(len(one), bool)
+                for i, c in enumerate(one.tolist()):
+                    if c not in met:
+                        met.add(c)
+                        fresh[i] = True
+                h = h[np.repeat(fresh, np.diff(first))]
+                one, two, first = one[fresh], two[fresh], np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.diff(first)), binary_column(h, first[1:])], ["class", "check", "size", "shingles"])
 
     return run
@@ -276,9 +298,11 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     member = lists.select("grp", "class").distinct().join(family.withColumnRenamed("node", "grp"), "grp").select("class", F.col("root").alias("family"))
     first = described.filter("size > 0").groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("rep"), F.first("check").alias("check"))
     member = materialise(member.distinct().join(first, "class"), "members")
-    wanted = member.select(F.col("rep")).distinct()
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_whole(k), "class long, check long, size long, shingles binary").dropDuplicates(["class"])
+    # Texts stay where they are: a bitmap of fixed size picks the representatives in the scan, and what it lets
+    # through besides goes in the join with the members.
+    marks = spark.sparkContext.broadcast(_bitmap(member.select(F.xxhash64("rep").alias("h"))))
+    texts = docs.select("text", F.xxhash64("id").alias("h"))
+    sets = texts.mapInArrow(_whole(k, marks), "class long, check long, size long, shingles binary").join(member.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
     sets = materialise(sets.join(member.select("class", "family"), "class"), "sets")
 
     # Blocks: a band of set sizes (sizes two bands apart can't link), cut by hash where a band is large.
