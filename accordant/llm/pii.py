@@ -4,12 +4,13 @@ Emails, IP addresses, card and phone numbers are found by pattern.  Each distinc
 A term t (a word) within WINDOW words of an entity co-occurs with it.  Over all documents,
 PMI(c; t) = log2(p(c, t) / (p(c) p(t))) says how much t gives away about c, and the information content
 IC(c) = -log2 p(c) is the most it can.  Their ratio is the disclosure: 1 if every document with t has c close
-by.  Terms at or above `generalise_from` are replaced by their kind, at or above `remove_from` removed,
-wherever they stand near the entity, if they were seen together in `min_documents` documents or more (a pair
-seen in fewer is no evidence).  A document without an entity is left as it is.
+by.  Every pair is scored, also of an entity that stands in one document.  Terms at or above `generalise_from` are
+replaced by their kind, at or above `remove_from` removed, wherever they stand as a word outside a span: in the whole
+document, and in documents without the entity, where they give it away just as well.
 
 Pairs come only from the words around entities, so they grow with the entities, not with documents times
-terms.  Documents are counted for every term of the corpus, pre-aggregated in the tasks.
+terms.  Documents are counted for every term of the corpus, pre-aggregated in the tasks.  Telling terms are looked
+for in each text through a bitmap of their hashes (4 bytes a term, broadcast), then joined exactly.
 
 Documents that repeat count each.  Null texts count as empty.  Only the id and text columns are read; an empty
 table gives an empty result.
@@ -18,8 +19,10 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ from .common import materialise, same
 WINDOW = 6
 #: Distinct terms that a task counts before it sends its counts on.
 TERMS_HELD = 300_000
+#: Bits of the bitmap for a telling term, and at most.
+TERM_BITS, MOST_BITS = 32, 1 << 30
 
 #: The base patterns (fixed values of the contract), made linear: an email is looked for at its @, and digits that
 #: cannot start an IP address because digits stand before them are skipped.
@@ -111,18 +116,18 @@ def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 _SPAN = "array<struct<kind: string, start: int, end: int>>"
-_NEAR = "array<struct<entity: string, term: string, start: int, end: int>>"
+_NEAR = "array<struct<entity: string, term: string>>"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
     for b in batches:
         spans, terms = [], []
         for text in b.column(2).to_pylist():
             own = base_spans(text)
             spans.append([dict(zip(("kind", "start", "end"), x)) for x in own])
-            terms.append([dict(zip(("entity", "term", "start", "end"), x)) for x in near_terms(text, own)] if own else [])
+            terms.append([dict(zip(("entity", "term"), x)) for x in near_terms(text, own)] if own else [])
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span), pa.array(terms, near)], ["id", "content", "base", "near"])
 
 
@@ -145,7 +150,60 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def find(documents: DataFrame, generalise_from: float = 0.8, remove_from: float = 0.95, min_documents: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def term_spots(text: str, terms: set[str]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words that are one of the terms and don't touch a base span."""
+    spots = [(m[0].lower(), *m.span()) for m in _WORD.finditer(text) if m[0].lower() in terms and _TERM.fullmatch(m[0])]
+    if not spots:
+        return []
+    held = np.array(sorted((s, e) for _, s, e in base_spans(text)), np.int64).reshape(-1, 2)
+    reach = np.maximum.accumulate(held[:, 1])  # the furthest end of the spans so far
+    before = np.searchsorted(held[:, 0], [e for _, _, e in spots])  # spans that start before the word's end
+    return [x for x, k in zip(spots, before) if k == 0 or reach[k - 1] <= x[1]]
+
+
+def _spotted(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        mask = 8 * len(bits) - 1
+        held: dict[str, bool] = {}
+        names = ["id", "content", "term", "start", "end"]
+        for b in batches:
+            own, spots = [], []
+            for k, text in enumerate(b.column(2).to_pylist()):
+                maybe = set()
+                for t in {w.lower() for w in _TERM.findall(text)}:
+                    hit = held.get(t)
+                    if hit is None:
+                        at = zlib.crc32(t.encode()) & mask
+                        hit = held[t] = bool(bits[at >> 3] >> (at & 7) & 1)
+                    if hit:
+                        maybe.add(t)
+                if len(held) > TERMS_HELD:
+                    held.clear()
+                if maybe:
+                    found = term_spots(text, maybe)
+                    own += [k] * len(found)
+                    spots += found
+            at = pa.array(own, pa.int64())
+            term, start, end = (pa.array([x[j] for x in spots], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), term, start, end], names)
+
+    return run
+
+
+def _bitmap(terms: DataFrame) -> bytes:
+    """A bit for the hash of each term; a power of two of bytes."""
+    size = 64
+    n = terms.count()
+    while size < min(TERM_BITS * n, MOST_BITS):
+        size *= 2
+    at = terms.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(size - 1)).alias("at")).distinct().toArrow()["at"].to_numpy()
+    bits = np.zeros(size, np.uint8)
+    bits[at] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def find(documents: DataFrame, generalise_from: float = 0.8, remove_from: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, content (SHA-256 of the text), base (spans) and terms (spans of disclosing terms,
     kind `generalise` or `remove`, by start)."""
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -153,26 +211,23 @@ def find(documents: DataFrame, generalise_from: float = 0.8, remove_from: float
     kind = docs.schema["id"].dataType.simpleString()
     found = materialise(docs.select("id", "content", "text").mapInArrow(_found, f"id {kind}, content binary, base {_SPAN}, near {_NEAR}").withColumn("row", F.monotonically_increasing_id()), "found")
     near = found.filter("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.*")
-    # Pairs seen in enough documents are few; only their terms need a count over the corpus.
-    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).filter(f"together >= {min_documents}")
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(near.distinct().groupBy("entity", "term").agg(F.count("*").alias("together")), "pairs")
     of_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    counts = docs.select("text").mapInArrow(_counted, "term string, documents long").join(pairs.select("term").distinct(), "term", "left_semi")
-    of_term = counts.groupBy("term").agg(F.sum("documents").alias("with_term"))
+    # Added up before the join: tasks times terms would meet in it otherwise.
+    of_term = docs.select("text").mapInArrow(_counted, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("with_term"))
     total = F.lit(float(found.count()))
     pmi = F.log2(F.col("together") * total / (F.col("with_entity") * F.col("with_term")))
     content = F.log2(total / F.col("with_entity"))
     scored = pairs.join(of_entity, "entity").join(of_term, "term").withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0))
-    telling = materialise(scored.filter(f"disclosure >= {generalise_from}").select("entity", "term", F.when(F.col("disclosure") >= remove_from, "remove").otherwise("generalise").alias("kind")), "telling")
-    terms = (
-        near.join(telling, ["entity", "term"])
-        .groupBy("row", "start", "end")
-        .agg(F.max("kind").alias("kind"))  # remove over generalise
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
-    )
+    telling = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(f"disclosure >= {generalise_from}")  # remove over generalise
+    telling = materialise(telling.select("term", F.when(F.col("disclosure") >= remove_from, "remove").otherwise("generalise").alias("kind")), "telling")
+    bits = documents.sparkSession.sparkContext.broadcast(_bitmap(telling))
+    spots = docs.select("id", "content", "text").mapInArrow(_spotted(bits), f"id {kind}, content binary, term string, start int, end int").join(telling, "term")
+    # Equal rows have equal terms, so ids and contents are enough to lead them back.
+    terms = spots.groupBy(F.col("id").alias("_id"), F.col("content").alias("_content")).agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("terms"))
     terms = terms.withColumn("terms", F.transform("terms", lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end"))))
-    return found.join(terms, "row", "left").select(F.col("id").alias(id_col), "content", "base", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
+    joined = found.join(terms, same(found, terms, {"id": "_id", "content": "_content"}), "left")
+    return joined.select(F.col("id").alias(id_col), "content", "base", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +254,7 @@ def sanitise(documents: DataFrame, found: DataFrame | None = None, id_col: str =
     found = find(documents, id_col=id_col, text_col=text_col) if found is None else found
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("content", F.unhex(F.sha2("text", 256)))
-    own = found.filter("size(base) > 0").select(F.col(id_col).alias("_id"), F.col("content").alias("_content"), "base", "terms").dropDuplicates(["_id", "_content"])
+    own = found.filter("size(base) > 0 OR size(terms) > 0").select(F.col(id_col).alias("_id"), F.col("content").alias("_content"), "base", "terms").dropDuplicates(["_id", "_content"])
     joined = docs.join(own, same(docs, own, {"id": "_id", "content": "_content"}), "left").select("id", "text", "base", "terms")
     kind = docs.schema["id"].dataType.simpleString()
     return joined.mapInArrow(_cleaned, f"id {kind}, clean_text string").withColumnRenamed("id", id_col)

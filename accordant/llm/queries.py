@@ -40,7 +40,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *[_number(kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        F.concat_ws(",", F.when(F.size("base") > 0, _joined(F.col("base"))), F.when(F.size("terms") > 0, _joined(by_kind))).alias("spans"),
+        F.when(F.size("base") > 0, F.concat_ws(",", _joined(F.col("base")), F.when(F.size("terms") > 0, _joined(by_kind)))).otherwise("").alias("spans"),
+        _joined(F.col("terms")).alias("term_spans"),
     )
 
 
