@@ -1,7 +1,7 @@
 """Toxicity by compression distance: how much better a window compresses with a dictionary of toxic text.
 
-Two zstandard dictionaries are trained on labelled text.  The ordinary one is what zstandard's trainer picks from
-windows of ordinary documents.  The toxic one holds the same content and after it what toxic text has and ordinary
+Two zstandard dictionaries are made from labelled text.  The ordinary one is what zstandard's trainer picks from
+windows of ordinary documents.  The toxic one is not trained (the README says why): it holds the same content and after it what toxic text has and ordinary
 text has not: runs of the byte n-grams that stand in many times the share of toxic documents.  The ordinary one is
 filled up with bytes that no text has, so the common part is at the same distances in both and a window's compressed length differs only where the toxic part serves it.
 
