@@ -314,6 +314,11 @@ def f1_text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(r"""SELECT page_id, rtrim(replace(trim(regexp_replace(html, '\s+', ' ', 'g')), ' ', ''), ',:;') AS loose FROM pages""")
+def f1_text_normalize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.loose_stmt("html").alias("loose"))
+
+
 _CASE = {"click": "failure", "view": "skipped", "purchase": "error"}
 
 
