@@ -342,6 +342,22 @@ def x6_run_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.run_difference(e.filter("d = 1"), e.filter("d = 2"), ["event_type", "user_id"])
 
 
+@query("""WITH e AS (SELECT ts::date AS day, event_type, user_id, row_number() OVER (PARTITION BY ts::date, event_type ORDER BY ts, event_id) AS pos FROM events),
+  p AS (SELECT day, lag(day) OVER (ORDER BY day) AS base FROM (SELECT DISTINCT day FROM e)),
+  r AS (SELECT p.day AS run, event_type, pos, user_id, 1 AS x, 0 AS y FROM e JOIN p ON e.day = base UNION ALL SELECT p.day, event_type, pos, user_id, 0, 1 FROM e JOIN p ON e.day = p.day WHERE base IS NOT NULL)
+  SELECT run, event_type, pos, user_id, greatest(sum(x) - sum(y), 0)::bigint AS only_a, greatest(sum(y) - sum(x), 0)::bigint AS only_b FROM r GROUP BY 1, 2, 3, 4 HAVING sum(x) <> sum(y)""")
+def x6_run_equality_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's run against the one before, by bucket, position in it and node."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    e = e.withColumn("pos", F.row_number().over(Window.partitionBy("day", "event_type").orderBy("ts", "event_id")))
+    days = sorted(r[0] for r in e.filter("day IS NOT NULL").select("day").distinct().collect())
+    runs = F.broadcast(spark.createDataFrame(list(zip(days[1:], days)), "run date, base date"))
+    a, b = (e.join(runs, F.col("day") == F.col(c)) for c in ("base", "run"))
+    return results.run_difference(a, b, ["run", "event_type", "pos", "user_id"])
+
+
 @query("""SELECT doc_id, coalesce(quality::varchar, '') AS quality, coalesce(t.tag, '') AS tag FROM documents LEFT JOIN labels USING (doc_id)
   LEFT JOIN LATERAL (SELECT unnest(CASE WHEN toxic = 1 THEN ['toxic', 'flag'] WHEN toxic = 0 THEN ['clean'] ELSE [] END) AS tag) t ON true""")
 def p2_explode_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
