@@ -394,3 +394,14 @@ def k10_result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     ok = d.filter("source IN ('src0', 'src3')").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("source").alias("model"), F.col("lang").alias("instance"), (F.col("quality") == 1).alias("resolved"))
     return results.result_matrix(ok, d.select(F.col("lang").alias("instance")), ["src0", "src3"])
+
+
+@query("""WITH r AS (SELECT source AS model, lang AS instance, max((quality = 1)::int) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2)
+  SELECT i.lang AS instance, m.source AS model, CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' ELSE 'missing' END AS resolved
+  FROM (SELECT DISTINCT lang FROM documents) i CROSS JOIN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) m LEFT JOIN r ON r.instance = i.lang AND r.model = m.source""")
+def k10_result_matrix_all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix over every model of the table, in long form, as its columns depend on the table."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    ok = d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("source").alias("model"), F.col("lang").alias("instance"), (F.col("quality") == 1).alias("resolved"))
+    models = results.by_count(d.filter("source IS NOT NULL"), "source")
+    return results.result_matrix(ok, d.select(F.col("lang").alias("instance")), models).unpivot("instance", [F.col(f"`{m}`") for m in models], "model", "resolved")

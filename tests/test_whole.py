@@ -25,3 +25,10 @@ def test_every_day_is_a_run_and_order_counts(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
     found = queries.QUERIES["x6_run_equality_all_days"](spark, str(tmp_path)).collect()
     assert sorted((str(r["run"]), r["pos"], r["user_id"], r["only_a"], r["only_b"]) for r in found) == [("2024-01-05", 1, 7, 1, 0), ("2024-01-05", 1, 8, 0, 1), ("2024-01-05", 2, 7, 0, 1), ("2024-01-05", 2, 8, 1, 0)]
+
+
+def test_every_model_reaches_the_matrix(spark):
+    d = queries.table(spark, SF, "documents")
+    cells = {(r["instance"], r["model"]) for r in queries.QUERIES["k10_result_matrix_all_models"](spark, SF).collect()}
+    assert cells == {(i[0], m[0]) for i in d.select("lang").distinct().collect() for m in d.select("source").distinct().collect()}
+    assert len({m for _, m in cells}) > 2
