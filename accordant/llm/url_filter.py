@@ -10,8 +10,9 @@ All counts and scores are Spark aggregations and joins over distinct character w
 the models may grow with the corpus.  Counts are of every training URL.
 
 The host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path what follows up to
-`?`, `#` or the end.  Null and URLs without `://` have an empty host and path, and like all URLs without a
-character to score (nothing after `://`) get a ratio of 0.  If no training URL is of one kind, every score is 0 and
+`?`, `#` or the end.  The models train on and score all that follows the first `://`, with query and fragment.  Null
+and URLs without `://` have an empty host and path, and like all URLs without a character to score (nothing after
+`://`) get a ratio of 0.  If no training URL is of one kind, every score is 0 and
 undecided URLs are allowed.  Repeated rows give a row each and count each.  Only the id and URL columns are read;
 an empty table gives an empty result.
 """
@@ -34,13 +35,13 @@ HELD_OUT = 5
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def parts(url: Column) -> tuple[Column, Column]:
-    """Host and path of a URL."""
+def parts(url: Column) -> tuple[Column, Column, Column]:
+    """Host, path, and the query and fragment of a URL."""
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.char_length(url))).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), *_LOWER)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return host, path
+    return host, path, F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1)
 
 
 def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -90,14 +91,13 @@ def _mixed(c: str) -> Column:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, ratio (mean log-likelihood difference; null where a rule decides)."""
-    host, path = parts(F.coalesce(F.col(url_col), F.lit("")))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    host, path, tail = parts(F.coalesce(F.col(url_col), F.lit("")))
+    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.concat(host, path, tail).alias("address"))
     rule = ruled(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    rows = materialise(rows.withColumn("fit", rule).select(F.monotonically_increasing_id().alias("row"), "id", "host", "path", "fit.verdict", "fit.rule"), "urls")
+    rows = materialise(rows.withColumn("fit", rule).select(F.monotonically_increasing_id().alias("row"), "id", "host", "path", "address", "fit.verdict", "fit.rule"), "urls")
 
-    # Equal addresses are scored once; n and the kind go along.
-    address = F.concat("host", "path")
-    urls = rows.withColumn("address", address).groupBy("address", "verdict").agg(F.count("*").alias("n"))
+    # Equal addresses are scored once; n and the kind go along.  An empty one has nothing to score.
+    urls = rows.filter("address <> ''").groupBy("address", "verdict").agg(F.count("*").alias("n"))
     held = (F.pmod(F.xxhash64("address"), F.lit(HELD_OUT)) == 0) | F.col("verdict").isNull()
     urls = urls.withColumns({"kind": F.col("verdict"), "counts": ~held}).select("address", "kind", "counts", "n")
     windows = _windows(urls.withColumn("url", F.xxhash64("address")))
@@ -107,7 +107,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
     ratio = windows.filter("NOT counts").join(model, "gram").groupBy("url").agg(F.avg(F.col("accepted") - F.col("rejected")).alias("ratio"))
     ratio = materialise(ratio, "ratios")
     cut = threshold(urls.withColumn("url", F.xxhash64("address")).filter("kind IS NOT NULL AND NOT counts").join(ratio, "url"))
-    out = rows.withColumn("url", F.when(F.col("verdict").isNull(), F.xxhash64(address))).join(ratio, "url", "left")
+    out = rows.withColumn("url", F.when(F.col("verdict").isNull(), F.xxhash64("address"))).join(ratio, "url", "left")
     score = F.coalesce("ratio", F.lit(0.0))
     verdict = F.coalesce("verdict", F.when(score < cut, "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("verdict").isNull(), score).alias("ratio"))
