@@ -1,0 +1,11 @@
+"""A conversation rendered in blocks is the one rendered whole."""
+
+from accordant.llm import chat_format
+
+
+def test_blocks_join_to_one_rendering(spark):
+    said = "\\### Assistant: </turn> ok"
+    turns = [{"role": ("user", "assistant")[k % 2], "text": f"{said} {k}\n"} for k in range(70)]
+    rows = spark.createDataFrame([(1, k, t["role"], t["text"]) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    blocks, whole = (chat_format.format_chats(rows, appends=a).collect() for a in (True, False))
+    assert blocks == whole and blocks[0]["output"] == chat_format.default_template(turns)
