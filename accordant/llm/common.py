@@ -1,18 +1,26 @@
-"""What the operators share: reading tables, the shared scratch folder, connected components."""
+"""What the operators share: reading tables, the shared scratch folder, leading decisions back to rows, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most edges that one task joins up in memory (16 bytes each).
 EDGES_PER_TASK = 1_000_000
+#: A key that this share of all rows or more have is matched by a broadcast: there can be at most so many such keys.
+FREQUENT = 10_000
+#: 64-bit words of the bitmap that tells which rows may be dropped: a broadcast of at most so many rows.
+MAP_WORDS = 1 << 17
+
+_written: list[str] = []
+_shared: list[Any] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session on this machine alone (tests) gets a new local folder; a cluster has no such way out.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="accordant-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,9 +44,62 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/accordant-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(spark)}/accordant-{uuid.uuid4().hex}"
+    _written.append(folder)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def share(spark: SparkSession, value: Any):
+    """A broadcast that `release` gives up again."""
+    held = spark.sparkContext.broadcast(value)
+    _shared.append(held)
+    return held
+
+
+def release(spark: SparkSession) -> None:
+    """Give up what operators have shared and written so far: for callers that have written their own result.
+
+    Results that are not written yet can't be computed any more afterwards.
+    """
+    while _shared:
+        _shared.pop().destroy()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """(_id, _h, _g): a row by its id and 128 bits of hash of its text; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_h"), F.xxhash64(F.lit("text"), text).alias("_g")]
+
+
+def keep_marked(documents: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents that are marked to stay, with all their columns.
+
+    marked: (_id, _h, _g, kept), one row per row of documents.  Of rows equal in id and text as many stay as are marked.
+
+    Texts stay where they are: a bitmap of MAP_WORDS words, put together in Spark, tells in the scan which rows may
+    have been dropped; only these few meet their marks in a join.  A full bitmap costs time, not results.
+    """
+    word = F.pmod(F.shiftrightunsigned("_h", 6), F.lit(MAP_WORDS)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(_h & 63 AS int))")
+    bits = materialise(marked.filter("NOT kept").groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")), "dropped")
+    carried = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), *row_key(id_col, text_col))
+
+    def doubtful(rows: DataFrame) -> DataFrame:
+        held = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
+        return held.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+    sure = doubtful(carried).filter("NOT _maybe").select("_row.*")
+    marks = doubtful(marked).filter("_maybe").groupBy("_id", "_h", "_g").agg(F.count_if("kept").alias("_stay"), F.count("*").alias("_all"))
+    marks = marks.filter("_stay > 0").select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("_g").alias("_g2"), "_stay", "_all")
+    rest = doubtful(carried).filter("_maybe")
+    rest = rest.join(marks, same(rest, marks, {"_h": "_h2", "_g": "_g2", "_id": "_id2"}))
+    place = F.row_number().over(Window.partitionBy("_id", "_h", "_g").orderBy("_h"))
+    return sure.unionByName(rest.withColumn("_place", place).filter("_stay = _all OR _place <= _stay").select("_row.*"))
 
 
 def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
@@ -44,6 +110,19 @@ def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
     return condition
 
 
+def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str = "copies") -> DataFrame:
+    """Rows with what `keyed`, one row a key, says of them; `copies`: how many of the rows have the key.  Both are read twice.
+
+    Keys of very many rows would meet all of them in one task: they are matched by a broadcast instead, of at most
+    FREQUENT keys by the share of the rows that each must have.
+    """
+    total = keyed.agg(F.sum(copies)).first()[0] or 0
+    often = F.col(copies) * FREQUENT >= total
+    first = rows.join(F.broadcast(keyed.filter(often)), keys, "left")
+    rest = first.filter(F.col(copies).isNull()).select(*rows.columns).join(keyed.filter(~often), keys)
+    return first.filter(F.col(copies).isNotNull()).unionByName(rest)
+
+
 def forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and the smallest node each is linked with (union by minimum, path halving)."""
     nodes, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
