@@ -1,6 +1,7 @@
 """N-gram Jaccard join by grouped prefixes: which documents are linked, and their components.
 
-Documents with the same shingle set form one class; the join works on one representative of each class.
+Documents with the same shingle set form one class, named by two 64-bit digests of the set and its size; the join
+works on one representative of each class.
 
 1. A pass over the texts gives each document's set size and digest, and each task's frequent shingles.  The
    frequent shingles (at most FREQUENT, by count) only order the sets: they come last.  Any order gives the
@@ -18,8 +19,10 @@ Documents with the same shingle set form one class; the join works on one repres
 4. The links found (a forest of each task's) are joined to components.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.  A text of fewer words than k is one shingle; a text without
-words (or null) has no shingle and is linked with nothing.  Shingles and classes are compared by 64-bit hashes.  Repeated rows are one class and get a row each.  A null id sorts last and names a
-component only if all its ids are null.  Only ids and texts are read; an empty table gives an empty result.
+words (or null) has no shingle and is linked with nothing.  Shingles are compared by 64-bit hashes, classes by 128
+bits.  Repeated rows are one class and get a row each.  A null id sorts last and names a component only if all its
+ids are null.  Only ids and texts are read, and `keep_one` hands other columns on whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, same
+from .common import components, keep_marked, materialise, meet, row_key, share
 from .kernels import BLANK_WORDS, binary_column, mix, shingles, slices, text_bytes, words
 
 #: Most shingles whose frequency orders the sets (16 bytes each in every task), and the count in one task from
@@ -39,10 +42,10 @@ from .kernels import BLANK_WORDS, binary_column, mix, shingles, slices, text_byt
 FREQUENT, TOLD_FROM = 200_000, 4
 #: Groups in a band of a list whose pairs are made one by one.
 SHORT_LIST = 64
-#: 64-bit words of the bitmap that picks representatives (8 MB, in every task).
-MAP_WORDS = 1 << 20
+#: 64-bit words of the bitmap that picks representatives, in every task: a bit in 16 set, up to 32 MB.
+MAP_WORDS, MOST_WORDS = 1 << 17, 1 << 22
 #: Shingles that one verifying task holds, about.
-UNIT_SHINGLES = 2_000_000
+UNIT_SHINGLES = 1_000_000
 
 
 def _sets(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,11 +70,12 @@ def _digest(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(k: int):
-    """Rows (id, size, class, check, shingle, count): of documents (count null) and of frequent shingles (size null)."""
+    """Rows (_id, _h, _g, size, class, check, shingle, count): of documents (count null) and of frequent shingles (size null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[int, int] = {}
-        held, n_held, schema = [], 0, None
+        held, n_held, kind = [], 0, None
+        names = ["_id", "_h", "_g", "size", "class", "check", "shingle", "count"]
 
         def count(hashes: list[np.ndarray]) -> None:
             u, c = np.unique(np.concatenate(hashes), return_counts=True)
@@ -83,23 +87,23 @@ def _described(k: int):
 
         for b in batches:
             size, one, two = (np.zeros(b.num_rows, np.int64) for _ in range(3))
-            for lo, hi, h, first in _sets(b.column(1), k):
+            for lo, hi, h, first in _sets(b.column(3), k):
                 size[lo:hi] = np.diff(first)
                 one[lo:hi], two[lo:hi] = _digest(h, first)
                 held.append(h)
                 n_held += len(h)
-                if n_held > 4_000_000:
+                if n_held > 2_000_000:
                     count(held)
                     held, n_held = [], 0
             none = pa.nulls(b.num_rows, pa.int64())
-            schema = b.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(one), pa.array(two), none, none], ["id", "size", "class", "check", "shingle", "count"])
+            kind = b.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(size), pa.array(one), pa.array(two), none, none], names)
         if held:
             count(held)
         if told:
             none = pa.nulls(len(told), pa.int64())
             s, c = np.array(list(told), np.uint64).view(np.int64), np.array(list(told.values()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(told), schema), none, none, none, pa.array(s), pa.array(c)], ["id", "size", "class", "check", "shingle", "count"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(told), kind), none, none, none, none, none, pa.array(s), pa.array(c)], names)
 
     return run
 
@@ -128,14 +132,14 @@ class _Order:
 
 
 def _prefixed(k: int, percent: int, order):
-    """Rows (shingle, grp, at, size, class) of every class that the task has not met yet."""
+    """Rows (shingle, grp, at, size, class, check) of every class that the task has not met yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: _Order = order.value
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         for b in batches:
             for _, _, h, first in _sets(b.column(0), k):
-                name = _digest(h, first)[0]
+                name, check = _digest(h, first)
                 size = np.diff(first)
                 doc = np.repeat(np.arange(len(size)), size)
                 count = known.counts(h)
@@ -154,7 +158,7 @@ def _prefixed(k: int, percent: int, order):
                     at[own] = rares[i] + np.arange(len(own))
                 fresh = np.zeros(len(size), bool)
                 for i in range(len(size)):
-                    if size[i] and (c := int(name[i])) not in met:
+                    if size[i] and (c := (int(name[i]), int(check[i]))) not in met:
                         met.add(c)
                         fresh[i] = True
                 keep &= fresh[doc]
@@ -163,18 +167,21 @@ def _prefixed(k: int, percent: int, order):
                 np.add.at(total, doc[own], mix(h[own]))
                 grp = mix(total ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h[own].view(np.int64), grp[doc[own]], at[own].astype(np.int64), size[doc[own]], name[doc[own]])], ["shingle", "grp", "at", "size", "class"]
+                    [pa.array(x) for x in (h[own].view(np.int64), grp[doc[own]], at[own].astype(np.int64), size[doc[own]], name[doc[own]], check[doc[own]])], ["shingle", "grp", "at", "size", "class", "check"]
                 )
 
     return run
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits at h of MAP_WORDS * 64: the words are put together in Spark, so what is collected has a fixed bound."""
-    word = F.pmod(F.shiftrightunsigned("h", 6), F.lit(MAP_WORDS)).alias("word")
+    """Bits at the hashes h: the words are put together in Spark, so what is collected has a fixed bound."""
+    size, n = MAP_WORDS, hashes.count()
+    while size < MOST_WORDS and 64 * size < 16 * n:
+        size *= 2
+    word = F.pmod(F.shiftrightunsigned("h", 6), F.lit(size)).alias("word")
     bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
     rows = hashes.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(MAP_WORDS, np.int64)
+    out = np.zeros(size, np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
@@ -186,11 +193,11 @@ def _whole(k: int, marks):
         bits, met = marks.value.view(np.uint64), set()
         for b in batches:
             h = b.column(1).to_numpy().view(np.uint64)
-            set_ = (bits[(h >> np.uint64(6)) % np.uint64(MAP_WORDS)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+            set_ = (bits[(h >> np.uint64(6)) % np.uint64(len(bits))] >> (h & np.uint64(63))) & np.uint64(1) > 0
             for _, _, h, first in _sets(b.column(0).filter(pa.array(set_)), k):
                 one, two = _digest(h, first)
                 fresh = np.zeros(len(one), bool)
-                for i, c in enumerate(one.tolist()):
+                for i, c in enumerate(zip(one.tolist(), two.tolist())):
                     if c not in met:
                         met.add(c)
                         fresh[i] = True
@@ -248,23 +255,24 @@ def _verified(percent: int):
     def run(unit: pa.Table) -> pa.Table:
         sets = [np.frombuffer(s, np.uint64) for s in unit["shingles"].to_pylist()]
         block = unit["block"].to_numpy()
-        src, dst = links(unit["class"].to_numpy(), sets, percent, block if len(np.unique(block)) > 1 else None)
+        src, dst = links(unit["node"].to_numpy(), sets, percent, block if len(np.unique(block)) > 1 else None)
         return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
 
     return run
 
 
-def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles and component_id, the smallest id that links reach (its own included)."""
+def _grouped(documents: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: row, _id, _h, _g, size and, of its component, the best (none, id, row); null without words."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    both = materialise(docs.mapInArrow(_described(k), f"id {kind}, size long, class long, check long, shingle long, count long"), "described")
-    described = both.filter("size IS NOT NULL").select("id", "size", "class", "check")
+    docs = documents.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema["_id"].dataType.simpleString()
+    both = docs.mapInArrow(_described(k), f"_id {kind}, _h long, _g long, size long, class long, check long, shingle long, count long")
+    both = materialise(both.withColumn("row", F.monotonically_increasing_id()), "described")
+    described = both.filter("size IS NOT NULL").drop("shingle", "count")
     frequent = both.filter("size IS NULL").groupBy("shingle").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "shingle").limit(FREQUENT).toPandas()
-    order = spark.sparkContext.broadcast(_Order(frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64)))
+    order = share(spark, _Order(frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64)))
 
-    entries = docs.select("text").mapInArrow(_prefixed(k, percent, order), "shingle long, grp long, at long, size long, class long")
+    entries = docs.select("text").mapInArrow(_prefixed(k, percent, order), "shingle long, grp long, at long, size long, class long, check long")
     # A list of one entry is of no further use; tasks may have met the same class, so entries count once.
     listed = Window.partitionBy("shingle")
     several = entries.withColumn("n", F.count("*").over(listed)).filter("n > 1").drop("n").distinct()
@@ -291,53 +299,53 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     long = lists.filter(f"m > {SHORT_LIST}").select("shingle", "band", "least", "low", "high").distinct()
     beside = lists.select("shingle", "grp", "size", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"))
     chains = beside.join(long, ["shingle", "band"]).filter(f"100 * high >= {percent} * size AND 100 * size >= {percent} * low").select("grp", F.col("least").alias("grp_2"))
-    twins = lists.groupBy("grp").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("grp", F.col("grp").alias("grp_2"))
+    named = F.struct("class", "check")
+    twins = lists.groupBy("grp").agg(F.min(named).alias("c"), F.max(named).alias("d")).filter("c <> d").select("grp", F.col("grp").alias("grp_2"))
     family = components(pairs.union(chains).union(twins).distinct().toDF("src", "dst"))
 
-    # Members: the classes of each family's groups.
-    member = lists.select("grp", "class").distinct().join(family.withColumnRenamed("node", "grp"), "grp").select("class", F.col("root").alias("family"))
-    first = described.filter("size > 0").groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("rep"), F.first("check").alias("check"))
-    member = materialise(member.distinct().join(first, "class"), "members")
-    # Texts stay where they are: a bitmap of fixed size picks the representatives in the scan, and what it lets
-    # through besides goes in the join with the members.
-    marks = spark.sparkContext.broadcast(_bitmap(member.select(F.xxhash64("rep").alias("h"))))
-    texts = docs.select("text", F.xxhash64("id").alias("h"))
-    sets = texts.mapInArrow(_whole(k, marks), "class long, check long, size long, shingles binary").join(member.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
-    sets = materialise(sets.join(member.select("class", "family"), "class"), "sets")
+    # Members: the classes of each family's groups, numbered, as two digests don't fit in one number.
+    classes = described.filter("size > 0").groupBy("class", "check").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "row")).alias("best"), F.min_by("_h", "row").alias("h"), F.count("*").alias("copies"))
+    member = lists.select("grp", "class", "check").distinct().join(family.withColumnRenamed("node", "grp"), "grp").select("class", "check", F.col("root").alias("family"))
+    member = materialise(member.distinct().join(classes, ["class", "check"]).withColumn("node", F.monotonically_increasing_id()), "members")
+    # Texts stay where they are: a bitmap picks one row of each class in the scan, and what it lets through besides
+    # goes in the join with the members.
+    marks = share(spark, _bitmap(member.select("h")))
+    sets = docs.select("text", "_h").mapInArrow(_whole(k, marks), "class long, check long, size long, shingles binary")
+    sets = sets.join(member.select("class", "check", "family", "node"), ["class", "check"]).dropDuplicates(["node"])
+    sets = materialise(sets.select("node", "family", "size", "shingles"), "sets")
 
     # Blocks: a band of set sizes (sizes two bands apart can't link), cut by hash where a band is large.
-    sized = sets.select("class", "family", "size", band.alias("band"))
+    sized = sets.select("node", "family", "size", band.alias("band"))
     total = sized.groupBy("family").agg(F.sum("size").alias("whole"))
     parts = sized.groupBy("family", "band").agg(F.ceil(F.sum("size") / (UNIT_SHINGLES // 2)).cast("long").alias("cut"))
     parts = parts.join(total, "family").filter(f"whole > {UNIT_SHINGLES}")
     near = parts.select("family", F.col("band").alias("band_2"), F.col("cut").alias("cut_2"))
     plan = parts.select("family", "band", "cut").join(near, "family").filter("abs(band - band_2) <= 1")
     placed = sets.withColumn("band", band).join(plan, ["family", "band"], "left")
-    sub = F.pmod(F.xxhash64("class"), F.col("cut"))
+    sub = F.pmod(F.xxhash64("node"), F.col("cut"))
     block = F.when(F.col("cut").isNull(), F.lit(0)).otherwise(F.col("band") * 1_000_000 + sub)
     against = F.when(F.col("cut").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cut_2") - 1), lambda s: F.col("band_2") * 1_000_000 + s))
     units = (
-        placed.select("family", "class", "shingles", block.cast("long").alias("block"), F.explode(against).alias("with"))
+        placed.select("family", "node", "shingles", block.cast("long").alias("block"), F.explode(against).alias("with"))
         .withColumns({"a": F.least("block", "with"), "z": F.greatest("block", "with")})
-        .select("family", "a", "z", "class", "shingles", "block")
+        .select("family", "a", "z", "node", "shingles", "block")
     )
     linked = units.groupBy("family", "a", "z").applyInArrow(_verified(percent), "src long, dst long")
-    part = components(linked).withColumnRenamed("node", "class")
-    named = part.join(first, "class").withColumn("smallest", F.min(F.struct(F.col("rep").isNull(), "rep")).over(Window.partitionBy("root"))["rep"])
-    by_class = first.join(named.select("class", "smallest"), "class", "left").select("class", F.coalesce("smallest", "rep").alias("smallest"))
-    by_class = materialise(by_class, "classes")  # so that both sides below are dealt out, and a large class can be split
-    return described.join(by_class, "class", "left").select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component_id")
-    )
+    part = components(linked).join(member.select("node", "class", "check", "best"), "node")
+    joined = part.withColumn("smallest", F.min("best").over(Window.partitionBy("root"))).select("class", "check", "smallest")
+    by_class = classes.join(joined, ["class", "check"], "left").select("class", "check", "copies", F.coalesce("smallest", "best").alias("best"))
+    found = meet(described.filter("size > 0"), materialise(by_class, "classes"), ["class", "check"]).drop("copies")
+    return found.unionByName(described.filter("size = 0"), allowMissingColumns=True)
 
 
-def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component with all its columns: the one with the smallest id.
+def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles and component_id, the smallest id that links reach (its own included)."""
+    component = F.when(F.col("size") > 0, F.col("best._id")).otherwise(F.col("_id"))
+    return _grouped(documents, k, percent, id_col, text_col).select(F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"))
 
-    Of rows that share that id one stays.  Documents without words stay.
-    """
-    found = similar(documents, k, percent, id_col, text_col)
-    kept = found.filter((F.col(id_col).eqNullSafe(F.col("component_id"))) & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("_kept")).distinct()
-    empty = found.filter("n_shingles = 0").select(F.col(id_col).alias("_kept")).distinct()
-    kept = kept.union(empty).distinct()
-    return documents.join(kept, same(documents, kept, {id_col: "_kept"}), "left_semi")
+
+def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component with all its columns: one with the smallest id.  All documents without words stay."""
+    found = _grouped(documents, k, percent, id_col, text_col)
+    marked = found.select("_id", "_h", "_g", F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"))
+    return keep_marked(documents, materialise(marked, "marked"), id_col, text_col)
