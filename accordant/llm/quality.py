@@ -13,19 +13,18 @@ characters each, by hash, all grades at the same rate.  Scoring covers all bytes
 A null text counts as empty and gets the prior.  Rows with a null grade or of unknown documents are not used; of
 several ratings of a document the smallest counts.  With fewer than two grades in the sample every tail
 probability is 1.  Repeated rows give a row each.  Only ids, texts and ratings are read, and ids only to match
-ratings; an empty table gives an empty result.
+ratings; other columns are handed on whatever their names (`grade` replaces those of its own two names).  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import share
 from .kernels import BLANK_WORDS, slices, text_bytes, words
 
 BITS = 16
@@ -139,28 +138,30 @@ def rated_sample(documents: DataFrame, labels: DataFrame, grade: Column, most: i
     return rows["text"].to_pylist(), rows["_grade"].to_pylist()
 
 
-def _graded(model, at: int, text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Ordinal | None = model.value
-        for b in batches:
-            raw, offsets = text_bytes(b.column(text_at))
-            if known is None:
-                expected = tail = np.ones(b.num_rows)
-            else:
-                tails = known.tails(known.scores(raw, offsets))
-                expected, tail = tails.sum(1), tails[:, min(at, tails.shape[1]) - 1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(expected), pa.array(tail)], [*b.schema.names, "_expected_grade", "_tail"])
+def _graded(documents: DataFrame, model: Ordinal | None, at: int, text_col: str) -> Column:
+    """(expected, tail) of the text."""
+    held = share(documents.sparkSession, model)
+
+    def run(text: pa.Array) -> pa.Array:
+        known: Ordinal | None = held.value
+        if known is None:
+            expected = tail = np.ones(len(text))
+        else:
+            tails = known.tails(known.scores(*text_bytes(text)))
+            expected, tail = tails.sum(1), tails[:, min(at, tails.shape[1]) - 1]
+        return pa.StructArray.from_arrays([pa.array(expected), pa.array(tail)], ["expected", "tail"])
 
-    return run
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<expected: double, tail: double>")(F.col(text_col))
 
 
 def grade(documents: DataFrame, model: Ordinal | None, at_least: int = 1, text_col: str = "text") -> DataFrame:
     """The documents with the columns _expected_grade and _tail, the probability of the grade `at_least` or a higher one."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*documents.schema.fields, StructField("_expected_grade", DoubleType()), StructField("_tail", DoubleType())])
-    return documents.mapInArrow(_graded(shared, at_least, documents.columns.index(text_col)), schema)
+    own = ("_expected_grade", "_tail")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in own]).alias("row"), _graded(documents, model, at_least, text_col).alias("found"))
+    return rows.select("row.*", F.col("found.expected").alias(own[0]), F.col("found.tail").alias(own[1]))
 
 
 def select(documents: DataFrame, model: Ordinal | None, at_least: int = 1, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents whose tail probability reaches the threshold, with all their columns."""
-    return grade(documents, model, at_least, text_col).filter(F.col("_tail") >= threshold).select(*documents.columns)
+    return documents.filter(_graded(documents, model, at_least, text_col)["tail"] >= threshold)
