@@ -7,32 +7,30 @@ range it finds holds all places where a window of the item stands verbatim, and
 longest verbatim matches.  Suffixes that meet a 0 before the shortest window ends can't hold a window and are
 left out of the array, which changes no result.
 
-The documents are read in one pass without a shuffle.  The benchmark is broadcast in parts of at most
-PART_BYTES of text each, and the parts pass over the documents one after the other, so what a task holds at
-once is bounded for a benchmark of any size.
+The documents are read in one pass without a shuffle.  The benchmark is broadcast; one of more than PART_BYTES of
+text in parts of about that size, one after the other: each part is a job of its own, whose findings (only of texts
+with a hit) are written to the shared folder before its broadcast is given up.  So the driver, the executors and
+each task hold one part at a time, for a benchmark of any size.  The parts' findings of a text are put together at the end.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  A window is `window` consecutive
 words of an item; an item of fewer words, but not none, is one window.  Null or empty texts have no words, no
 windows and no hits.  Repeated items count each; items with a null id can hit words but are not listed.  Only
-ids and texts are read; an empty benchmark hits nothing and an empty table gives an empty result.
+the texts are read; other columns are handed on whatever their names (`search` replaces those that have the names of
+its results).  An empty benchmark hits nothing and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, same, share
 from .kernels import ALNUM_WORDS, slices, text_bytes, words
 
 #: Most bytes of benchmark text that are broadcast at once.
 PART_BYTES = 8 << 20
-_RESULT = ["n_words", "hits", "items", "longest", "longest_item", "longest_at"]
-
-
 class Windows:
     """The windows of some benchmark items as word numbers, ready for searching."""
 
@@ -127,68 +125,112 @@ def _bound(keys: list[np.ndarray], wanted: list[np.ndarray], after: bool) -> np.
         high[open_[~less]] = middle[~less]
 
 
-def _searched(windows, text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Windows = windows.value
-        for b in batches:
-            raw, offsets = text_bytes(b.column(text_at))
-            before = {k: b.column(b.schema.get_field_index(f"_{k}")).to_pylist() for k in _RESULT}
-            n_words = np.zeros(b.num_rows, np.int64)
-            for lo, hi in slices(offsets):
-                w = words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM_WORDS)
-                size = np.diff(w.first)
-                n_words[lo:hi] = size
-                place, window = own.find(w.hash, size)
-                if not len(place):
-                    continue
-                doc = w.doc[place]
-                order = np.lexsort((place, place - own.start[window], doc))
-                place, window, doc = place[order], window[order], doc[order]
-                length, item = own.length[window], own.item[window]
-                cut = np.ones(len(place), bool)
-                cut[1:] = (doc[1:] != doc[:-1]) | (np.diff(place - own.start[window]) != 0) | (np.diff(place) != 1) | (item[1:] != item[:-1])
-                runs = np.flatnonzero(cut)
-                ends = np.append(runs[1:], len(place)) - 1
-                run_doc, run_at, run_item = doc[runs], place[runs], item[runs]
-                run_length = place[ends] + length[ends] - run_at
-                for d in np.unique(run_doc):
-                    mine = run_doc == d
-                    at, long, which = run_at[mine] - w.first[d], run_length[mine], run_item[mine]
-                    mark = np.zeros(size[d] + 1, np.int64)
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, at + long, -1)
-                    hit = np.cumsum(mark)[:-1] > 0
-                    i = lo + int(d)
-                    if before["hits"][i]:
-                        hit |= np.unpackbits(np.frombuffer(before["hits"][i], np.uint8), count=len(hit)).astype(bool)
-                    before["hits"][i] = np.packbits(hit).tobytes()
-                    found = {own.ids[k] for k in which.tolist()} - {None}
-                    before["items"][i] = sorted(found.union(before["items"][i] or []))
-                    best = np.lexsort((at, -long))[0]
-                    if long[best] > (before["longest"][i] or 0):
-                        before["longest"][i], before["longest_item"][i], before["longest_at"][i] = int(long[best]), own.ids[which[best]], int(at[best])
-            before["n_words"] = n_words
-            names = b.schema.names
-            yield pa.RecordBatch.from_arrays([pa.array(before[n[1:]], b.schema.field(n).type) if n[:1] == "_" and n[1:] in before else b.column(n) for n in names], names)
-
-    return run
+def _found(windows: Windows, text: pa.Array) -> dict[str, list]:
+    """n_words, hits (a bit per word), items, longest, longest_item and longest_at of each text; null: none."""
+    n = len(text)
+    out = {k: [None] * n for k in ("hits", "items", "longest", "longest_item", "longest_at")}
+    raw, offsets = text_bytes(text)
+    n_words = np.zeros(n, np.int64)
+    for lo, hi in slices(offsets):
+        w = words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM_WORDS)
+        size = np.diff(w.first)
+        n_words[lo:hi] = size
+        place, window = windows.find(w.hash, size)
+        if not len(place):
+            continue
+        doc = w.doc[place]
+        item = windows.item[window]
+        order = np.lexsort((place, place - windows.start[window], item, doc))
+        place, window, doc, item = place[order], window[order], doc[order], item[order]
+        length = windows.length[window]
+        cut = np.ones(len(place), bool)
+        cut[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(place - windows.start[window]) != 0) | (np.diff(place) != 1)
+        runs = np.flatnonzero(cut)
+        ends = np.append(runs[1:], len(place)) - 1
+        run_doc, run_at, run_item = doc[runs], place[runs], item[runs]
+        run_length = place[ends] + length[ends] - run_at
+        for d in np.unique(run_doc):
+            mine = slice(*np.searchsorted(run_doc, [d, d + 1]))
+            at, long, which = run_at[mine] - w.first[d], run_length[mine], run_item[mine]
+            mark = np.zeros(size[d] + 1, np.int64)
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + long, -1)
+            best = np.lexsort((at, -long))[0]
+            out["hits"][lo + d] = np.packbits(np.cumsum(mark)[:-1] > 0).tobytes()
+            out["items"][lo + d] = sorted({windows.ids[k] for k in which.tolist()} - {None})
+            out["longest"][lo + d], out["longest_item"][lo + d], out["longest_at"][lo + d] = int(long[best]), windows.ids[which[best]], int(at[best])
+    return {"n_words": n_words.tolist()} | out
+
+
+_NAMES = ["_n_words", "_hits", "_items", "_longest", "_longest_item", "_longest_at"]
+
+
+def _kind(item: str) -> str:
+    return f"struct<_n_words: long, _hits: binary, _items: array<{item}>, _longest: long, _longest_item: {item}, _longest_at: long>"
+
+
+def _column(windows, kind: str, text: Column) -> Column:
+    """What `_found` says of the text, as a struct."""
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
+    if "string" in kind:
+        types[2], types[4] = pa.list_(pa.string()), pa.string()
+
+    def run(text: pa.Array) -> pa.Array:
+        found = _found(windows.value, text)
+        return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(found.values(), types)], _NAMES)
+
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _kind(kind))(text)
+
+
+def _together(found: DataFrame, kind: str) -> DataFrame:
+    """One row per digest: the findings of all parts of the benchmark in one, the bits of the hits joined."""
+
+    def run(parts: pa.Array) -> pa.Array:
+        out = []
+        for own in parts.to_pylist():
+            bits = np.bitwise_or.reduce([np.frombuffer(x["_hits"], np.uint8) for x in own])
+            best = min(own, key=lambda x: (-x["_longest"], x["_longest_at"], str(x["_longest_item"])))
+            out.append(best | {"_hits": bits.tobytes(), "_items": sorted({i for x in own for i in x["_items"]})})
+        return pa.array(out, parts.type.value_type)
+
+    run.__annotations__ = {"parts": pa.Array, "return": pa.Array}
+    return found.groupBy("_digest").agg(F.collect_list("_found").alias("p")).select("_digest", F.arrow_udf(run, _kind(kind))("p").alias("_found"))
+
+
+def _parts(benchmark: DataFrame, item_col: str, item_text: str) -> tuple[DataFrame, str, int]:
+    """The items (id: long or string), the kind of their ids, and how many parts they make."""
+    kind = "long" if dict(benchmark.dtypes)[item_col] in ("tinyint", "smallint", "int", "bigint") else "string"
+    items = benchmark.select(F.col(item_col).cast(kind).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, kind, 1 if total <= PART_BYTES else -(-2 * total // PART_BYTES)
 
 
 def search(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with the columns _n_words, _hits (bit per word; null: none), _items, _longest, _longest_item, _longest_at."""
     spark = documents.sparkSession
-    items = benchmark.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    kind = items.schema["id"].dataType.simpleString()
-    empty = {"_n_words": "long", "_hits": "binary", "_items": f"array<{kind}>", "_longest": "long", "_longest_item": kind, "_longest_at": "long"}
-    out = documents.withColumns({k: F.lit(None).cast(v) for k, v in empty.items()})
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-2 * total // PART_BYTES)) if total > PART_BYTES else 1
-    schema = out.schema
+    items, kind, parts = _parts(benchmark, item_col, item_text)
+    rest = [F.col(f"`{c}`") for c in documents.columns if c not in _NAMES]
+    if parts == 1:
+        windows = share(spark, Windows([tuple(r) for r in items.collect()], window))
+        rows = documents.select(F.struct(*rest).alias("_row"), _column(windows, kind, F.col(text_col)).alias("_found"))
+        return rows.select("_row.*", "_found.*")
+    # A result depends on the text alone, so the parts' findings go by the texts' digests.
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    findings = None
     for k in range(parts):
-        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
+        part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
         windows = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()], window))
-        out = out.mapInArrow(_searched(windows, documents.columns.index(text_col)), schema)
-    return out
+        own = documents.select(digest.alias("_digest"), _column(windows, kind, F.col(text_col)).alias("_found"))
+        own = materialise(own.filter("_found._hits IS NOT NULL").dropDuplicates(["_digest"]), "part")
+        windows.destroy()
+        findings = own if findings is None else findings.unionByName(own)
+    none = Windows([], window)
+    count = _column(share(spark, none), kind, F.col(text_col))
+    rows = documents.select(F.struct(*rest).alias("_row"), digest.alias("_own"), count.alias("_none"))
+    found = _together(findings, kind)
+    joined = rows.join(found, same(rows, found, {"_own": "_digest"}), "left")
+    return joined.select("_row.*", F.col("_none._n_words").alias("_n_words"), *[F.col(f"_found.{c}").alias(c) for c in _NAMES[1:]])
 
 
 def hit_words(hits: Column) -> Column:
@@ -198,6 +240,11 @@ def hit_words(hits: Column) -> Column:
     return F.coalesce(count(1) + 2 * count(2) + 3 * count(3) + 4 * count(4), F.lit(0)).cast("long")
 
 
-def remove(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
+def remove(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
-    return search(documents, benchmark, window, text_col).filter("_hits IS NULL").select(*documents.columns)
+    items, kind, parts = _parts(benchmark, item_col, item_text)
+    if parts == 1:
+        windows = share(documents.sparkSession, Windows([tuple(r) for r in items.collect()], window))
+        return documents.filter(_column(windows, kind, F.col(text_col))["_hits"].isNull())
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(text_col).alias("text"))
+    return search(rows, benchmark, window, "text", item_col, item_text).filter("_hits IS NULL").select("row.*")
