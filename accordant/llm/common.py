@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 EDGES_PER_TASK = 1_000_000
 #: A key that this share of all rows or more have is matched by a broadcast: there can be at most so many such keys.
 FREQUENT = 10_000
+#: 64-bit words of a bitmap in every task: a bit in 16 set, up to 32 MB.
+FEW_WORDS, MOST_WORDS = 1 << 14, 1 << 22
 #: 64-bit words of the bitmap that tells which rows may be dropped: a broadcast of at most so many rows.
 MAP_WORDS = 1 << 17
 
@@ -110,14 +112,33 @@ def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
     return condition
 
 
-def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str = "copies") -> DataFrame:
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits at the hashes h: the words are put together in Spark, so what is collected has a fixed bound."""
+    size, n = FEW_WORDS, hashes.count()
+    while size < MOST_WORDS and 64 * size < 16 * n:
+        size *= 2
+    word = F.pmod(F.shiftrightunsigned("h", 6), F.lit(size)).alias("word")
+    bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
+    rows = hashes.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    h, words = hashes.view(np.uint64), bits.view(np.uint64)
+    return (words[(h >> np.uint64(6)) % np.uint64(len(words))] >> (h & np.uint64(63))) & np.uint64(1) > 0
+
+
+def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str = "copies", most: int = FREQUENT) -> DataFrame:
     """Rows with what `keyed`, one row a key, says of them; `copies`: how many of the rows have the key.  Both are read twice.
 
     Keys of very many rows would meet all of them in one task: they are matched by a broadcast instead, of at most
-    FREQUENT keys by the share of the rows that each must have.
+    `most` keys by the share of the rows that each must have.
     """
     total = keyed.agg(F.sum(copies)).first()[0] or 0
-    often = F.col(copies) * FREQUENT >= total
+    often = F.col(copies) * most >= total
     first = rows.join(F.broadcast(keyed.filter(often)), keys, "left")
     rest = first.filter(F.col(copies).isNull()).select(*rows.columns).join(keyed.filter(~often), keys)
     return first.filter(F.col(copies).isNotNull()).unionByName(rest)

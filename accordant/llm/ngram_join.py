@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, keep_marked, materialise, meet, row_key, share
+from .common import bitmap, components, in_bitmap, keep_marked, materialise, meet, row_key, share
 from .kernels import BLANK_WORDS, binary_column, mix, shingles, slices, text_bytes, words
 
 #: Most shingles whose frequency orders the sets (16 bytes each in every task), and the count in one task from
@@ -42,8 +42,6 @@ from .kernels import BLANK_WORDS, binary_column, mix, shingles, slices, text_byt
 FREQUENT, TOLD_FROM = 200_000, 4
 #: Groups in a band of a list whose pairs are made one by one.
 SHORT_LIST = 64
-#: 64-bit words of the bitmap that picks representatives, in every task: a bit in 16 set, up to 32 MB.
-MAP_WORDS, MOST_WORDS = 1 << 17, 1 << 22
 #: Shingles that one verifying task holds, about.
 UNIT_SHINGLES = 1_000_000
 
@@ -173,28 +171,14 @@ def _prefixed(k: int, percent: int, order):
     return run
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits at the hashes h: the words are put together in Spark, so what is collected has a fixed bound."""
-    size, n = MAP_WORDS, hashes.count()
-    while size < MOST_WORDS and 64 * size < 16 * n:
-        size *= 2
-    word = F.pmod(F.shiftrightunsigned("h", 6), F.lit(size)).alias("word")
-    bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
-    rows = hashes.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out
-
-
 def _whole(k: int, marks):
     """Rows (class, check, size, shingles) of the texts whose mark is set, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, met = marks.value.view(np.uint64), set()
+        met: set[tuple[int, int]] = set()
         for b in batches:
-            h = b.column(1).to_numpy().view(np.uint64)
-            set_ = (bits[(h >> np.uint64(6)) % np.uint64(len(bits))] >> (h & np.uint64(63))) & np.uint64(1) > 0
-            for _, _, h, first in _sets(b.column(0).filter(pa.array(set_)), k):
+            set_ = pa.array(in_bitmap(marks.value, b.column(1).to_numpy()))
+            for _, _, h, first in _sets(b.column(0).filter(set_), k):
                 one, two = _digest(h, first)
                 fresh = np.zeros(len(one), bool)
                 for i, c in enumerate(zip(one.tolist(), two.tolist())):
@@ -309,7 +293,7 @@ def _grouped(documents: DataFrame, k: int, percent: int, id_col: str, text_col:
     member = materialise(member.distinct().join(classes, ["class", "check"]).withColumn("node", F.monotonically_increasing_id()), "members")
     # Texts stay where they are: a bitmap picks one row of each class in the scan, and what it lets through besides
     # goes in the join with the members.
-    marks = share(spark, _bitmap(member.select("h")))
+    marks = share(spark, bitmap(member.select("h")))
     sets = docs.select("text", "_h").mapInArrow(_whole(k, marks), "class long, check long, size long, shingles binary")
     sets = sets.join(member.select("class", "check", "family", "node"), ["class", "check"]).dropDuplicates(["node"])
     sets = materialise(sets.select("node", "family", "size", "shingles"), "sets")
