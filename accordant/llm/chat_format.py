@@ -7,10 +7,9 @@ are taken where the outputs still agree.  Within a span, the text's place is fou
 with two one-character texts: what they share before and after the character is the template's.  Only assistant
 texts are under the loss mask.
 
-Conversations are grouped by id; a conversation is rendered in one task, as its output is one string.  Rendering
-every prefix takes time in the square of a conversation's turns; `appends` says that a renderer writes each turn
-without regard to those before it: long conversations are then rendered in blocks of SPAN turns, after each
-block's first turn is seen to append the same behind the turn before it, and turn by turn if it does not.
+Conversations are grouped by id; a conversation is rendered in one task, as its output is one string.  Every prefix is
+rendered, whatever a conversation's length, so time grows with the square of its turns; comparing two outputs takes
+no Python step for a character, and as long as history stands only the new end is looked at.
 
 Rows are ordered by turn (null first), then role, then text; a null text or role is empty; repeated rows are turns
 of their own; rows with a null conversation id form one conversation.  Only these four columns are read; an
@@ -19,9 +18,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +33,7 @@ _ESCAPE = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c"}
 _UNESCAPE = {"\\": "\\", "h": "#", "l": "<", "c": ":"}
 
 
+@lru_cache(maxsize=1024)
 def escape(text: str) -> str:
     """A text in which no control string of the template can stand."""
     return re.sub(r"[\\#<:]", lambda m: _ESCAPE[m[0]], text)
@@ -57,8 +57,15 @@ def read_back(output: str) -> list[dict]:
 
 
 def shared(a: str, b: str) -> int:
-    """Length of the longest common prefix."""
-    return len(os.path.commonprefix([a, b]))
+    """Length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def spans(turns: list[dict], render: Renderer) -> dict:
@@ -70,46 +77,31 @@ def spans(turns: list[dict], render: Renderer) -> dict:
     steady = True
     for k, turn in enumerate(turns):
         now = render(turns[: k + 1])
-        start = shared(before, now)
+        start = len(before) if now.startswith(before) else shared(before, now)
         if start < len(before):
             steady = False
             out = [s if s is not None and s["end"] <= start else None for s in out]
         a, b = (render([*turns[:k], turn | {"text": c}]) for c in "ab")
+        same = start if a[:start] == b[:start] == now[:start] else 0
+        a, b, rest = a[same:], b[same:], now[same:]
         head = shared(a, b)
         tail = shared(a[::-1], b[::-1])
-        whole = now[:head] == a[:head] and head + tail <= len(now) and now[len(now) - tail :] == a[len(a) - tail :] and len(a) == head + 1 + tail
-        out.append({"start": start, "end": len(now), "text": (head, len(now) - tail) if whole else None})
+        whole = rest[:head] == a[:head] and head + tail <= len(rest) and rest[len(rest) - tail :] == a[len(a) - tail :] and len(a) == head + 1 + tail
+        out.append({"start": start, "end": len(now), "text": (same + head, len(now) - tail) if whole else None})
         before = now
     return {"output": before, "spans": out, "rewrites": not steady}
 
 
-def appended(turns: list[dict], render: Renderer, block: int) -> dict:
-    """The same for a renderer that only appends, in blocks: each block is rendered on its own after its first turn is
-    seen to append the same with and without the turns before it; otherwise the whole is rendered turn by turn."""
-    out, text = [], render([])
-    for at in range(0, len(turns), block):
-        own = spans(turns[at : at + block], render)
-        empty = len(render([]))
-        if own["rewrites"] or (at and render([*turns[at - 1 : at + 1]]) != render(turns[at - 1 : at]) + render(turns[at : at + 1])[empty:]):
-            return spans(turns, render)
-        move = len(text) - empty
-        out += [{"start": s["start"] + move, "end": s["end"] + move, "text": s["text"] and (s["text"][0] + move, s["text"][1] + move)} for s in own["spans"]]
-        text += own["output"][empty:]
-    return {"output": text, "spans": out, "rewrites": False}
-
-
-#: Turns of a block, where the renderer only appends.
-SPAN = 32
 _SCHEMA = "output string, rewrites boolean, roles array<string>, starts array<int>, ends array<int>, text_starts array<int>, text_ends array<int>"
 
 
-def _rendered(render: Renderer, appends: bool):
+def _rendered(render: Renderer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = {name.split()[0]: [] for name in _SCHEMA.split(", ")}
             for turns in b.column(1).to_pylist():
                 turns = [{"role": t["role"] or "", "text": t["text"] or ""} for t in turns]
-                found = appended(turns, render, SPAN) if appends else spans(turns, render)
+                found = spans(turns, render)
                 rows["output"].append(found["output"])
                 rows["rewrites"].append(found["rewrites"])
                 rows["roles"].append([t["role"] for t in turns])
@@ -123,12 +115,12 @@ def _rendered(render: Renderer, appends: bool):
     return run
 
 
-def format_chats(conversations: DataFrame, render: Renderer = default_template, appends: bool = False, id_col: str = "conv_id") -> DataFrame:
+def format_chats(conversations: DataFrame, render: Renderer = default_template, id_col: str = "conv_id") -> DataFrame:
     """One row per conversation: id, output, rewrites, and per turn its role, its span and its text's span (end exclusive)."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     kind = grouped.schema["id"].dataType.simpleString()
-    return grouped.mapInArrow(_rendered(render, appends), f"id {kind}, {_SCHEMA}").withColumnRenamed("id", id_col)
+    return grouped.mapInArrow(_rendered(render), f"id {kind}, {_SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

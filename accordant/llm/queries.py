@@ -85,7 +85,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
-    read = chat_format.read_formatted(chat_format.format_chats(given.union(more), appends=True))
+    read = chat_format.read_formatted(chat_format.format_chats(given.union(more)))
     return read.select(
         "conv_id",
         F.col("turns_read").alias("n_turns"),
