@@ -20,14 +20,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, same
+from .common import materialise, same, share
 
 #: Words on each side of an entity that co-occur with it.
 WINDOW = 6
@@ -72,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then by start; code points, end exclusive."""
     out = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = re.sub(r"[\x20-]", "", m[0]) if len(m[0]) > 15 else ""
@@ -90,10 +92,22 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else re.sub('[^0-9]', '', value)}"
 
 
+def outside(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """A test whether a stretch of the text meets none of the spans."""
+    held = sorted((s, e) for _, s, e in spans)
+    starts, reach = [s for s, _ in held], list(accumulate((e for _, e in held), max))  # the furthest end of the spans so far
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)  # spans that start before its end
+        return before == 0 or reach[before - 1] <= start
+
+    return free
+
+
 def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the words within WINDOW words of each span, none of them inside a span."""
     out = []
-    held = sorted((s, e) for _, s, e in spans)
+    free = outside(spans)
     for kind, start, end in spans:
         value = entity(kind, text[start:end])
         width = 40
@@ -109,9 +123,8 @@ def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
             if len(right) == WINDOW:
                 break
         for m in left[-WINDOW:] + right:
-            s, e = m.span()
-            if _TERM.fullmatch(m[0]) and not any(a < e and s < z for a, z in held):
-                out.append((value, m[0].lower(), s, e))
+            if _TERM.fullmatch(m[0]) and free(*m.span()):
+                out.append((value, m[0].lower(), *m.span()))
     return out
 
 
@@ -155,10 +168,8 @@ def term_spots(text: str, terms: set[str]) -> list[tuple[str, int, int]]:
     spots = [(m[0].lower(), *m.span()) for m in _WORD.finditer(text) if m[0].lower() in terms and _TERM.fullmatch(m[0])]
     if not spots:
         return []
-    held = np.array(sorted((s, e) for _, s, e in base_spans(text)), np.int64).reshape(-1, 2)
-    reach = np.maximum.accumulate(held[:, 1])  # the furthest end of the spans so far
-    before = np.searchsorted(held[:, 0], [e for _, _, e in spots])  # spans that start before the word's end
-    return [x for x, k in zip(spots, before) if k == 0 or reach[k - 1] <= x[1]]
+    free = outside(base_spans(text))
+    return [x for x in spots if free(x[1], x[2])]
 
 
 def _spotted(shared):
@@ -221,7 +232,7 @@ def find(documents: DataFrame, generalise_from: float = 0.8, remove_from: float
     scored = pairs.join(of_entity, "entity").join(of_term, "term").withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0))
     telling = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(f"disclosure >= {generalise_from}")  # remove over generalise
     telling = materialise(telling.select("term", F.when(F.col("disclosure") >= remove_from, "remove").otherwise("generalise").alias("kind")), "telling")
-    bits = documents.sparkSession.sparkContext.broadcast(_bitmap(telling))
+    bits = share(documents.sparkSession, _bitmap(telling))
     spots = docs.select("id", "content", "text").mapInArrow(_spotted(bits), f"id {kind}, content binary, term string, start int, end int").join(telling, "term")
     # Equal rows have equal terms, so ids and contents are enough to lead them back.
     terms = spots.groupBy(F.col("id").alias("_id"), F.col("content").alias("_content")).agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("terms"))

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 
 from accordant.llm import pii
 from tests.llm.test_queries import SF, plain_spans
@@ -67,3 +68,20 @@ def test_the_query_lists_terms_of_every_document(spark):
     want = {i: ",".join(f"{k}:{a}:{z}" for a, z, k in x) for (i, _), x in zip(docs, brute([t for _, t in docs]))}
     assert {r["doc_id"]: r["term_spans"] for r in queries.op3_pii(spark, SF).collect()} == want
     assert any(want.values())
+
+
+def test_long_numbers_and_many_values():
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)]
+    assert pii.base_spans("1" * 5000 + ".2.3.4") == [] and pii.base_spans("0.00.000.256") == []
+    assert pii.base_spans("0.00.000.0255") == [("ip", 0, 13)]
+    text = " ".join(f"word mail{k}@example.org" for k in range(20_000))
+    at = time.time()
+    spans = pii.base_spans(text)
+    assert len(spans) == 20_000 and len(pii.near_terms(text, spans)) > 20_000
+    assert time.time() - at < 10
+    assert len(pii.term_spots(text, {"word"})) == 20_000
+
+
+def test_words_that_touch_a_span_are_left_out():
+    free = pii.outside([("a", 5, 9), ("b", 6, 20), ("c", 7, 8)])
+    assert [free(*x) for x in ((0, 5), (0, 6), (10, 12), (19, 25), (20, 25))] == [True, False, False, False, True]
