@@ -2,10 +2,12 @@
 
 1. One pass over the texts gives each document's 128-bit line keys, in blocks of documents, written once.
 2. Each block sends its distinct keys with their document counts to the shard that the key belongs to; a line
-   that stands in every document reaches its shard once a block.
-3. A shard builds a minimal perfect hash over its distinct keys, a fingerprint array and a count array, and
-   the blocks' keys probe these arrays; keys found in at least `min_docs` documents go back to their blocks.
-   No shard leaves its task, so memory follows the shard, not the corpus.
+   that stands in every document reaches its shard once a block.  A shard builds a minimal perfect hash over its
+   distinct keys, and writes it as arrays: the hash's bits, a fingerprint and a count at each key's slot.  Keys are
+   not kept, so only the hash tells where a line's count stands.
+3. In a second pass the documents' keys go to the shards, again once a block, and probe the arrays; keys whose
+   fingerprint agrees and whose count reaches `min_docs` go back to their blocks.  A shard's arrays stay in the task
+   that probes them, so memory follows the shard, not the corpus, and nothing is broadcast.
 4. Each block marks its documents' lines; the texts meet their marks by id and content once.
 
 A line's key is the line without white space [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased.  Keys of at least
@@ -37,20 +39,25 @@ _MOST = np.iinfo(np.uint32).max
 class PerfectHash:
     """A minimal perfect hash: at each level the keys alone in their cell are placed, the rest go on."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, spread: float = 2.0):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, levels: list[np.ndarray]):
+        self.levels = []  # a bit for each cell, and the slots before each cell
         placed = 0
-        while len(high):
-            size = max(64, int(spread * len(high)))
-            cell = self._cell(high, low, len(self.levels), size)
-            alone = np.bincount(cell, minlength=size) == 1
-            rank = placed + np.cumsum(alone) - alone  # places before each cell
-            self.levels.append((alone, rank.astype(np.int64)))
+        for alone in levels:
+            self.levels.append((alone, placed + np.cumsum(alone) - alone))
             placed += int(alone.sum())
-            left = ~alone[cell]
-            high, low = high[left], low[left]
         self.size = placed
 
+    @classmethod
+    def of(cls, high: np.ndarray, low: np.ndarray, spread: float = 2.0) -> PerfectHash:
+        """Over distinct keys."""
+        levels: list[np.ndarray] = []
+        while len(high):
+            cell = cls._cell(high, low, len(levels), max(64, int(spread * len(high))))
+            alone = np.bincount(cell, minlength=max(64, int(spread * len(high)))) == 1
+            levels.append(alone)
+            high, low = high[~alone[cell]], low[~alone[cell]]
+        return cls(levels)
+
     @staticmethod
     def _cell(high: np.ndarray, low: np.ndarray, level: int, size: int) -> np.ndarray:
         return (mix(high + low * np.uint64(2 * level + 1) + np.uint64(level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(size)).astype(np.int64)
@@ -70,7 +77,12 @@ class PerfectHash:
 class LineIndex:
     """A shard: fingerprints and counts at the slots of a minimal perfect hash."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, docs: np.ndarray):
+    def __init__(self, hash_: PerfectHash, prints: np.ndarray, counts: np.ndarray):
+        self.hash, self.prints, self.counts = hash_, prints, counts
+
+    @classmethod
+    def of(cls, high: np.ndarray, low: np.ndarray, docs: np.ndarray) -> LineIndex:
+        """Over keys that may repeat; docs: in how many documents each row found its key."""
         order = np.lexsort((low, high))
         high, low, docs = high[order], low[order], docs[order]
         first = np.ones(len(high), bool)
@@ -78,17 +90,28 @@ class LineIndex:
         at = np.flatnonzero(first)
         total = np.add.reduceat(docs, at) if len(at) else np.zeros(0, np.int64)
         high, low = high[at], low[at]
-        self.hash = PerfectHash(high, low)
-        slot = self.hash.slots(high, low)
-        self.prints = np.zeros(self.hash.size, np.uint32)
-        self.counts = np.zeros(self.hash.size, np.uint32)
-        self.prints[slot] = self._print(low)
-        self.counts[slot] = np.minimum(total, _MOST)
+        hash_ = PerfectHash.of(high, low)
+        slot = hash_.slots(high, low)
+        prints, counts = np.zeros(hash_.size, np.uint32), np.zeros(hash_.size, np.uint32)
+        prints[slot] = cls._print(low)
+        counts[slot] = np.minimum(total, _MOST)
+        return cls(hash_, prints, counts)
 
     @staticmethod
     def _print(low: np.ndarray) -> np.ndarray:
         return (low >> np.uint64(32)).astype(np.uint32)
 
+    def arrays(self) -> dict:
+        """The shard as it is written: cells of each level, their bits, fingerprints and counts."""
+        bits = [alone for alone, _ in self.hash.levels]
+        packed = np.packbits(np.concatenate(bits)) if bits else np.zeros(0, np.uint8)
+        return {"cells": [len(b) for b in bits], "bits": packed.tobytes(), "prints": self.prints.tobytes(), "counts": self.counts.tobytes()}
+
+    @classmethod
+    def read(cls, cells: list[int], bits: bytes, prints: bytes, counts: bytes) -> LineIndex:
+        whole = np.unpackbits(np.frombuffer(bits, np.uint8), count=sum(cells)).astype(bool)
+        return cls(PerfectHash(np.split(whole, np.cumsum(cells)[:-1]) if cells else []), np.frombuffer(prints, np.uint32), np.frombuffer(counts, np.uint32))
+
     def documents(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         """In how many documents each key stands; 0 for keys that the index hasn't."""
         slot = self.hash.slots(high, low)
@@ -146,12 +169,21 @@ def _sent(shards: int):
     return run
 
 
+_ARRAYS = "shard int, cells array<long>, bits binary, prints binary, counts binary"
+
+
+def _built(group: pa.Table) -> pa.Table:
+    high, low = (group[c].to_numpy().view(np.uint64) for c in ("high", "low"))
+    index = LineIndex.of(high, low, group["docs"].to_numpy())
+    own = {k: pa.array([v], pa.list_(pa.int64()) if k == "cells" else pa.binary()) for k, v in index.arrays().items()}
+    return pa.table({"shard": group["shard"][:1], **own})
+
+
 def _probed(min_docs: int):
-    def run(group: pa.Table) -> pa.Table:
-        high = group["high"].to_numpy().view(np.uint64)
-        low = group["low"].to_numpy().view(np.uint64)
-        index = LineIndex(high, low, group["docs"].to_numpy())
-        return group.select(["block", "high", "low"]).filter(pa.array(index.documents(high, low) >= min_docs))
+    def run(keys: pa.Table, shard: pa.Table) -> pa.Table:
+        high, low = (keys[c].to_numpy().view(np.uint64) for c in ("high", "low"))
+        index = LineIndex.read(*(shard[c][0].as_py() for c in ("cells", "bits", "prints", "counts")))
+        return keys.select(["block", "high", "low"]).filter(pa.array(index.documents(high, low) >= min_docs))
 
     return run
 
@@ -178,7 +210,9 @@ def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, id
     total = lines.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     shards = max(64, total // 16 // KEYS_PER_SHARD)
     sent = lines.select("block", "keys").mapInArrow(_sent(shards), "shard int, high long, low long, block long, docs long")
-    common = sent.groupBy("shard").applyInArrow(_probed(min_docs), "block long, high long, low long")
+    index = materialise(sent.select("shard", "high", "low", "docs").groupBy("shard").applyInArrow(_built, _ARRAYS), "index")
+    keys = sent.select("shard", "high", "low", "block")
+    common = keys.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probed(min_docs), "block long, high long, low long")
     marks = (
         lines.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(_marked, f"_id {kind}, _content binary, n_lines long, n_dropped long, _marks array<boolean>")
     ).dropDuplicates(["_id", "_content"])
