@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one slice holds, unless a single document is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -140,15 +140,6 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[keep] ^ (whole[keep].astype(np.uint64) << np.uint64(56))), w.doc[keep]
 
 
-def distinct_by_doc(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, value) pairs in that order."""
-    order = np.lexsort((values, doc))
-    values, doc = values[order], doc[order]
-    keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
-    return values[keep], doc[keep]
-
-
 def binary_column(chunks: np.ndarray, ends: np.ndarray) -> pa.Array:
     """One binary value a row out of one array of items; ends: how many items belong to the rows up to each."""
     offsets = np.concatenate([[0], ends]).astype(np.int64) * chunks.dtype.itemsize
