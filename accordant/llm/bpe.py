@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, materialise, meet, share
+from .common import bitmap, bounded_batches, in_bitmap, materialise, meet, share
 from .kernels import mix, slices, text_bytes
 
 #: The rolling hash looks at so many bytes, and cuts where its low bits are all ones; no chunk is longer than LONGEST.
@@ -378,6 +378,7 @@ def _assembled(path: str):
 def encode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ids (binary: little-endian unsigned 32-bit) and the text decoded from them."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = documents.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h"))
     kind = docs.schema["id"].dataType.simpleString()

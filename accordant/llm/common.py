@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ EDGES_PER_TASK = 1_000_000
 FREQUENT = 10_000
 #: 64-bit words of a bitmap in every task: a bit in 16 set, up to 32 MB.
 FEW_WORDS, MOST_WORDS = 1 << 14, 1 << 22
+#: Bytes of an Arrow batch: Spark's own bound is 64 MB, in the JVM and in the Python worker of every task.
+BATCH_BYTES = 4 << 20
 #: 64-bit words of the bitmap that tells which rows may be dropped: a broadcast of at most so many rows.
 MAP_WORDS = 1 << 17
 
@@ -43,6 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's bytes of an Arrow batch to BATCH_BYTES, unless it is set to less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch("([0-9]+)b?", spark.conf.get(name))
+    if not held or int(held[1]) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, same, share
+from .common import bounded_batches, materialise, same, share
 from .kernels import ALNUM_WORDS, slices, text_bytes, words
 
 #: Most bytes of benchmark text that are broadcast at once.
@@ -209,6 +209,7 @@ def _parts(benchmark: DataFrame, item_col: str, item_text: str) -> tuple[DataFra
 def search(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with the columns _n_words, _hits (bit per word; null: none), _items, _longest, _longest_item, _longest_at."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     items, kind, parts = _parts(benchmark, item_col, item_text)
     rest = [F.col(f"`{c}`") for c in documents.columns if c not in _NAMES]
     if parts == 1:
@@ -244,6 +245,7 @@ def remove(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_co
     """The documents that hold no window of the benchmark, with all their columns."""
     items, kind, parts = _parts(benchmark, item_col, item_text)
     if parts == 1:
+        bounded_batches(documents.sparkSession)
         windows = share(documents.sparkSession, Windows([tuple(r) for r in items.collect()], window))
         return documents.filter(_column(windows, kind, F.col(text_col))["_hits"].isNull())
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(text_col).alias("text"))

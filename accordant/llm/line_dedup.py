@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, same
+from .common import bounded_batches, materialise, same
 from .kernels import mix
 
 #: Keys that a shard gets, about.
@@ -203,6 +203,7 @@ def _marked(lines: pa.Table, common: pa.Table) -> pa.Table:
 
 def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines (before), n_dropped, and the text that is left (`kept_text`)."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("content", F.unhex(F.sha2("text", 256)))
     kind = docs.schema["id"].dataType.simpleString()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, in_bitmap, keep_marked, materialise, meet, row_key, share
+from .common import bitmap, bounded_batches, components, in_bitmap, keep_marked, materialise, meet, row_key, share
 from .kernels import BLANK_WORDS, binary_column, mix, shingles, slices, text_bytes, words
 
 #: Most shingles whose frequency orders the sets (16 bytes each in every task), and the count in one task from
@@ -248,6 +248,7 @@ def _verified(percent: int):
 def _grouped(documents: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """One row per document: row, _id, _h, _g, size and, of its component, the best (none, id, row); null without words."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["_id"].dataType.simpleString()
     both = docs.mapInArrow(_described(k), f"_id {kind}, _h long, _g long, size long, class long, check long, shingle long, count long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, same, share
+from .common import bounded_batches, materialise, same, share
 
 #: Words on each side of an entity that co-occur with it.
 WINDOW = 6
@@ -217,6 +217,7 @@ def _bitmap(terms: DataFrame) -> bytes:
 def find(documents: DataFrame, generalise_from: float = 0.8, remove_from: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, content (SHA-256 of the text), base (spans) and terms (spans of disclosing terms,
     kind `generalise` or `remove`, by start)."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("content", F.unhex(F.sha2("text", 256)))
     kind = docs.schema["id"].dataType.simpleString()

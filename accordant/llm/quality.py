@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share
+from .common import bounded_batches, share
 from .kernels import BLANK_WORDS, slices, text_bytes, words
 
 BITS = 16
@@ -140,6 +140,7 @@ def rated_sample(documents: DataFrame, labels: DataFrame, grade: Column, most: i
 
 def _graded(documents: DataFrame, model: Ordinal | None, at: int, text_col: str) -> Column:
     """(expected, tail) of the text."""
+    bounded_batches(documents.sparkSession)
     held = share(documents.sparkSession, model)
 
     def run(text: pa.Array) -> pa.Array:
