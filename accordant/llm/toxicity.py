@@ -1,14 +1,15 @@
 """Toxicity by compression distance: how much better a window compresses with a dictionary of toxic text.
 
-Two zstandard dictionaries are made from labelled text.  The ordinary one is what zstandard's trainer picks from
-windows of ordinary documents.  The toxic one is not trained (the README says why): it holds the same content and after it what toxic text has and ordinary
-text has not: runs of the byte n-grams that stand in many times the share of toxic documents.  The ordinary one is
-filled up with bytes that no text has, so the common part is at the same distances in both and a window's compressed length differs only where the toxic part serves it.
+zstandard's trainer makes two dictionaries from labelled text: the ordinary one from windows of ordinary documents,
+the toxic one from the words of toxic documents that hold a telling n-gram, one that toxic text has at many times
+the rate of ordinary text.  (Nearly all of a toxic document is like ordinary text, so from its whole windows the trainer
+picks that, and nothing toxic.)  Windows are compressed with the ordinary dictionary and with both together; in
+place of the toxic one the first has bytes that no text has, so that the ordinary part is at the same distances and
+a window's compressed length differs only where toxic text serves it.
 
-A document is cut into windows of WINDOW words.  The lengths saved are counted in a calibration part of the labelled
-rows, for toxic and ordinary documents; the two histograms give each saving a likelihood ratio, a document gets
-the largest log-likelihood ratio over a few shares of toxic windows, and a logistic curve, fitted on the
-calibration part too, turns it into a probability of the label 1.  Its threshold is a parameter of the caller.
+A document is cut into windows of WINDOW words.  How many of them save at least so many bytes, for each of LEVELS, and how
+many windows there are, go (as logarithms) into a logistic curve, fitted on a calibration part of the labelled rows that
+no dictionary was trained from: the probability of the label 1.  Its threshold is a parameter of the caller.
 
 Fitting uses a bounded sample of labelled rows: about `most_toxic` and `most_ordinary` documents of at most
 `most_chars` characters, taken by hash.  Scoring covers every window of every document, in the tasks that read them;
@@ -17,13 +18,12 @@ only the model (some tens of kilobytes) is broadcast.
 A null text counts as empty; a text without words has no window and gets the calibration's score for no evidence.
 Rows with a null label, or labels of unknown documents, are not used; of several labels of a document the largest
 counts.  Without labels of both kinds, or without anything that marks toxic text, every score is the share of toxic
-labels (0 without labels).  Repeated rows give a row each.  Only ids, texts and labels are read, and ids only to
+labels (0 without labels).  Too little text for the trainer is a dictionary as it stands.  Repeated rows give a row each.  Only ids, texts and labels are read, and ids only to
 match labels; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +32,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, share
 from .kernels import BLANK_WORDS, LOWER, SPACES, slices, text_bytes, words
 
 #: Words in a window, and the most bytes of one (a longer window is cut).
-WINDOW, WINDOW_BYTES = 20, 1024
-#: Sizes of the dictionaries' common part and of the toxic part, in bytes.
-COMMON, TOXIC = 8 << 10, 8 << 10
-#: Byte n-grams; the share of toxic documents that one must be in, and how many times the share of ordinary ones.
-GRAM, SHARE, TIMES = 5, 0.03, 60
-#: Savings outside these bounds count as the bound.
-LOW, HIGH = -8, 16
+WINDOW, WINDOW_BYTES = 14, 1024
+#: Most bytes of the ordinary and of the toxic dictionary, and the trainer's settings (segment and match length).
+ORDINARY, TOXIC, SEGMENTS = 64 << 10, 2 << 10, dict(k=16, d=6)
+#: Byte n-grams; in how many toxic documents one must be (at least, and as a share), how many times the rate of ordinary
+#: text its rate must be, and how often a document counts at most.
+GRAM, LEAST, SHARE, TIMES, OFTEN = 5, 4, 0.03, 12.0, 4
+#: Bytes saved from which windows are counted.
+LEVELS = (2, 4, 6)
+#: Weight decay of the curve.
+RIDGE = 0.1
 #: One sampled document in so many calibrates instead of training the dictionaries.
 CALIBRATES = 3
-_SHARES = (0.25, 0.5, 1.0, 2.0, 4.0)
-_SETTING = dict(strategy=7, min_match=4, search_log=4, target_length=16, window_log=17, hash_log=15, chain_log=16, write_content_size=0, write_dict_id=0)
+_SETTING = dict(strategy=7, min_match=5, search_log=4, target_length=16, window_log=17, hash_log=15, chain_log=16, write_content_size=0, write_dict_id=0)
 
 
 def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +70,7 @@ class Lengths:
 
     def __init__(self, content: bytes):
         setting = zstandard.ZstdCompressionParameters(**_SETTING)
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held = zstandard.ZstdCompressionDict(content)
         held.precompute_compress(compression_params=setting)
         self.compressor = zstandard.ZstdCompressor(compression_params=setting, dict_data=held)
 
@@ -78,43 +81,45 @@ class Lengths:
 
 
 class Model:
-    """The two dictionaries, the likelihood ratios of savings, and the logistic curve; what is broadcast."""
+    """The two dictionaries and the logistic curve: what is broadcast."""
 
-    def __init__(self, common: bytes, toxic: bytes):
-        self.common, self.toxic = common, toxic
-        self.ratios: list[np.ndarray] = []
-        self.curve = (0.0, 0.0)
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = ordinary, toxic
+        self.curve = np.zeros(len(LEVELS) + 2)
         self._lengths = None
 
     def __getstate__(self):
         return self.__dict__ | {"_lengths": None}
 
     def savings(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes saved by the toxic dictionary, within LOW and HIGH and counted from LOW, document) of each window."""
+        """(bytes saved by the toxic dictionary, document) of each window."""
         if self._lengths is None:
-            self._lengths = Lengths(self.common + b"\xff" * len(self.toxic)), Lengths(self.common + self.toxic)
+            self._lengths = Lengths(self.ordinary + b"\xff" * len(self.toxic)), Lengths(self.ordinary + self.toxic)
         start, end, doc = windows(raw, offsets)
         if not len(start):
             return np.zeros(0, np.int64), doc
         low = LOWER[raw].tobytes()
         ordinary, toxic = (x.of(low, start, end) for x in self._lengths)
-        return np.clip(ordinary - toxic, LOW, HIGH) - LOW, doc
-
-    def evidence(self, saved: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """The largest log-likelihood ratio over the shares of toxic windows, at least 0."""
-        best = np.zeros(n)
-        for r in self.ratios:
-            best = np.maximum(best, np.bincount(doc, weights=r[saved], minlength=n))
-        return best
+        return ordinary - toxic, doc
+
+    def evidence(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The curve's inputs for each document, and the most bytes that a window of it saves (0 without windows)."""
+        n = len(offsets) - 1
+        most, counts = np.zeros(n, np.int64), np.zeros((n, len(LEVELS) + 1))
+        for lo, hi in slices(offsets):
+            saved, doc = self.savings(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            np.maximum.at(most, doc + lo, saved)
+            for j, level in enumerate((None, *LEVELS)):
+                counts[lo:hi, j] = np.bincount(doc if level is None else doc[saved >= level], minlength=hi - lo)
+        return np.concatenate([np.ones((n, 1)), np.log1p(counts)], 1), most
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a + b * np.minimum(evidence, 30.0), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.curve, -30, 30)))
 
 
-def _gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams inside documents (hashed, low bits cut off) and the documents that hold each, by slices."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams inside words, the documents that hold each, and how often they do (a document up to OFTEN), by slices."""
+    keys, docs, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for lo, hi in slices(offsets):
         part, own = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         h, doc = _grams(part, own)
@@ -122,10 +127,12 @@ def _gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         h, doc = h[order], doc[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        u, c = np.unique(h[first], return_counts=True)
-        keys, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
-    return keys, counts
+        at = np.flatnonzero(first)
+        often = np.minimum(np.diff(np.append(at, len(h))), OFTEN)
+        keys, at = np.unique(np.concatenate([keys, h[first]]), return_inverse=True)
+        docs = np.bincount(at, weights=np.concatenate([docs, np.ones(len(often))]), minlength=len(keys)).astype(np.int64)
+        counts = np.bincount(at, weights=np.concatenate([counts, often]), minlength=len(keys)).astype(np.int64)
+    return keys, docs, counts
 
 
 def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,34 +152,39 @@ def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.where(fits, h, 0), doc
 
 
-def telling(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """What toxic texts have and ordinary ones have not: runs of their telling n-grams, the most frequent last."""
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Of each toxic text its distinct words with a telling n-gram: what the toxic dictionary is trained from."""
     (raw, offsets), (other, other_offsets) = (text_bytes(pa.array(x, pa.large_binary())) for x in (toxic, ordinary))
-    keys, counts = _gram_counts(raw, offsets)
-    against, against_counts = _gram_counts(other, other_offsets)
+    keys, docs, counts = _gram_counts(raw, offsets)
+    against, _, against_counts = _gram_counts(other, other_offsets)
     if not len(keys):
-        return b""
+        return []
     at = np.minimum(np.searchsorted(against, keys), max(0, len(against) - 1))
     found = np.where(against[at] == keys, against_counts[at], 0) if len(against) else np.zeros(len(keys), np.int64)
-    good = keys[(keys > 0) & (counts >= max(3, SHARE * len(toxic))) & (counts / len(toxic) >= TIMES * (found + 1) / max(1, len(ordinary)))]
-    runs: Counter[bytes] = Counter()
+    much = counts / max(1, len(raw)) >= TIMES * (found + 1) / max(1, len(other))
+    good = keys[(keys > 0) & (docs >= max(LEAST, SHARE * len(toxic))) & much]
+    out = []
     for lo, hi in slices(offsets):
         part, own = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        h, _ = _grams(part, own)
-        spot = np.flatnonzero(np.isin(h, good))
-        if len(spot):
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(spot) > 1]))
-            for a, z in zip(spot[cut], spot[np.append(cut[1:], len(spot)) - 1]):
-                runs[part[a : min(z + GRAM, a + 64)].tobytes()] += 1
-    out = b""
-    for run, n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        if n < 2 or len(out) + len(run) > TOXIC:
-            break
-        if run not in out:
-            out = run + out
+        spot = np.flatnonzero(np.isin(_grams(part, own)[0], good))
+        w = words(part, own, BLANK_WORDS)
+        middle = spot + GRAM // 2  # inside a word: white space stands only at an n-gram's ends
+        hit = np.unique(np.searchsorted(w.start, middle, "right") - 1)
+        by_doc: dict[int, dict[bytes, None]] = {}
+        for i in hit.tolist():
+            by_doc.setdefault(int(w.doc[i]), {})[part[w.start[i] : min(w.end[i], w.start[i] + 64)].tobytes()] = None
+        out += [b" " + b" ".join(x) + b" " for x in by_doc.values()]
     return out
 
 
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The trainer's dictionary of the samples; the samples themselves where they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, samples, **SEGMENTS).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Model | float:
     """A model of the labelled texts, or the share of toxic labels where there is nothing to learn from.
 
@@ -193,69 +205,39 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mode
     raw, offsets = text_bytes(pa.array(ordinary, pa.large_binary()))
     start, end, _ = windows(raw, offsets)
     step = max(1, len(start) // 20_000)
-    try:
-        common = zstandard.train_dictionary(COMMON, [raw[a:z].tobytes() for a, z in zip(start[::step], end[::step])], k=32, d=6).as_bytes()
-        common = common[-(len(common) * 7 // 8) :]  # without the trainer's header: the content stands at the end
-    except zstandard.ZstdError:  # too little text for the trainer
-        common = b" ".join(ordinary)[-COMMON:]
-    model = Model(common, special)
+    model = Model(trained([raw[a:z].tobytes() for a, z in zip(start[::step], end[::step])], ORDINARY), trained(special, TOXIC))
 
-    raw, offsets = text_bytes(pa.array([r for r, p in zip(raws, part) if p], pa.large_binary()))
+    x, _ = model.evidence(*text_bytes(pa.array([r for r, p in zip(raws, part) if p], pa.large_binary())))
     kind = kind[part]
-    n = len(kind)
-    saved, doc = [], []
-    for lo, hi in slices(offsets):
-        s, d = model.savings(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        saved.append(s)
-        doc.append(d + lo)
-    saved, doc = np.concatenate(saved), np.concatenate(doc)
-    width = HIGH - LOW + 1
-    a, b = (np.bincount(saved[kind[doc] == k], minlength=width).astype(float) for k in (True, False))
-    if not a.sum() or not b.sum():
-        return prior
-    p = (b + 0.5) / (b.sum() + 0.5 * width)
-    much = b > 0.02 * b.sum()
-    rho = min(0.9, max(1e-3, 1 - float(((a[much] / a.sum()) / (b[much] / b.sum())).min())))
-    q = np.maximum((a + 0.5 * a.sum() / b.sum()) / a.sum() - (1 - rho) * p, 0) / rho
-    for share_of in _SHARES:
-        pi = min(0.9, rho * share_of)
-        model.ratios.append(np.log(1 - pi + pi * q / p))
-    x = np.minimum(model.evidence(saved, doc, n), 30.0)
-    a, b = logistic(x, kind.astype(float))
-    model.curve = a + float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6) * (1 - kind.mean()) / kind.mean())), b
+    model.curve = logistic(x, kind.astype(float))
+    model.curve[0] += np.log(max(prior, 1e-6) / max(1 - prior, 1e-6) * (1 - kind.mean()) / kind.mean())
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton's method, lightly regularised; the slope is not negative."""
-    a, b = 0.0, 0.0
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by Newton's method, lightly regularised (not the first, which is the intercept's)."""
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([1e-6] + [RIDGE] * (x.shape[1] - 1))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        g = np.array([(y - p).sum() - 1e-3 * a, ((y - p) * x).sum() - 1e-3 * b])
-        v = np.maximum(p * (1 - p), 1e-6)
-        h = np.array([[v.sum() + 1e-3, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 1e-3]])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a + step[0], b + step[1]
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(a), float(max(0.0, b))
+    return w
 
 
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for b in batches:
-            score, saved_most = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            score, most = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             if isinstance(known, float):
                 score[:] = known
             else:
-                raw, offsets = text_bytes(b.column(1))
-                for lo, hi in slices(offsets):
-                    s, d = known.savings(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    score[lo:hi] = known.score(known.evidence(s, d, hi - lo))
-                    if len(s):
-                        np.maximum.at(saved_most, d + lo, s + LOW)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(saved_most)], ["id", "score", "most_saved"])
+                x, most = known.evidence(*text_bytes(b.column(1)))
+                score = known.score(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(most)], ["id", "score", "most_saved"])
 
     return run
 
@@ -278,6 +260,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, usable: Column, mos
 
 def score(documents: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score (probability of the label 1) and most_saved (bytes, of its best window)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(documents.sparkSession)
+    shared = share(documents.sparkSession, model)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_scored(shared), f"id {docs.schema['id'].dataType.simpleString()}, score double, most_saved long").withColumnRenamed("id", id_col)
