@@ -6,25 +6,29 @@ URLs: Witten-Bell smoothing mixes each order with the one below, down to a unifo
 the mean log-likelihood difference per character, and are blocked if it falls below a threshold, calibrated so
 that the two kinds of training URLs are told apart best (equal weight to both kinds, URLs held out by hash).
 
-All counts and scores are Spark aggregations and joins over distinct character windows: no model is broadcast, so
-the models may grow with the corpus.  Counts are of every training URL.
+All counts and scores are Spark aggregations, windows and merge joins over distinct grams: no model is broadcast, so
+the models may grow with the corpus.  Orders are mixed from the shortest up; each joins its distinct grams, not the URLs,
+and a gram of one order has no more successors than the alphabet.  Only the grams that are so frequent that one task
+would get too many of their places (FREQUENT at most, by the share that each must have) are matched by a broadcast.
+Counts are of every training URL.
 
 The host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path what follows up to
 `?`, `#` or the end.  The models train on and score all that follows the first `://`, with query and fragment.  Null
 and URLs without `://` have an empty host and path, and like all URLs without a character to score (nothing after
 `://`) get a ratio of 0.  If no training URL is of one kind, every score is 0 and
-undecided URLs are allowed.  Repeated rows give a row each and count each.  Only the id and URL columns are read;
-an empty table gives an empty result.
+undecided URLs are allowed.  Addresses go by
+themselves, not by a hash, so no two share a ratio.  Repeated rows give a row each and count each.  Only the id and URL columns are read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import FREQUENT, materialise, meet
 
 #: (verdict, rule); the rules of the deal.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -61,26 +65,23 @@ def _windows(urls: DataFrame) -> DataFrame:
 
 
 def _model(grams: DataFrame) -> DataFrame:
-    """(gram, accepted, rejected): log-probabilities of each gram's last character, for every gram in `grams`.
+    """(gram, accepted, rejected, places): log-probabilities of each gram's last character, for every gram in `grams`.
 
-    grams: (gram, accepted, rejected) with the training counts of the longest windows (0 where not seen).
+    grams: (gram, accepted, rejected, places) with the training counts of the longest windows (0 where not seen).
     """
     both = ["accepted", "rejected"]
-    scored = grams.select("gram").distinct()
-    kept = [f"p_{c}" for c in both]
-    scored = scored.withColumns({k: F.lit(1.0 / ALPHABET) for k in kept})
+    scored = None
     for order in range(ORDER + 1):
-        seen = grams.filter("accepted + rejected > 0").groupBy(F.expr(f"right(gram, {order + 1})").alias("g")).agg(*[F.sum(c).alias(c) for c in both])
-        context = seen.groupBy(F.expr(f"left(g, {order})").alias("ctx")).agg(
-            *[F.sum(c).alias(f"n_{c}") for c in both], *[F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in both]
-        )
-        scored = (
-            scored.withColumns({"g": F.expr(f"right(gram, {order + 1})"), "ctx": F.expr(f"left(right(gram, {order + 1}), {order})")})
-            .join(seen, "g", "left")
-            .join(context, "ctx", "left")
-            .select("gram", *[_mixed(c).alias(f"p_{c}") for c in both])
-        )
-    return scored.select("gram", *[F.ln(f"p_{c}").alias(c) for c in both])
+        own = grams.groupBy(F.expr(f"right(gram, {order + 1})").alias("g")).agg(*[F.sum(c).alias(c) for c in (*both, "places")])
+        context = Window.partitionBy(F.expr(f"left(g, {order})"))
+        own = own.select("*", *[F.sum(c).over(context).alias(f"n_{c}") for c in both], *[F.count_if(F.col(c) > 0).over(context).alias(f"t_{c}") for c in both])
+        if scored is None:
+            below = own.withColumns({f"p_{c}": F.lit(1.0 / ALPHABET) for c in both})
+        else:
+            lower = scored.select(F.col("g").alias("suffix"), *[f"p_{c}" for c in both]).hint("merge")
+            below = own.withColumn("suffix", F.expr(f"right(g, {order})")).join(lower, "suffix")
+        scored = materialise(below.select("g", "places", *[_mixed(c).alias(f"p_{c}") for c in both]), f"order{order}")
+    return scored.select(F.col("g").alias("gram"), "places", *[F.ln(f"p_{c}").alias(c) for c in both])
 
 
 def _mixed(c: str) -> Column:
@@ -99,15 +100,26 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
     # Equal addresses are scored once; n and the kind go along.  An empty one has nothing to score.
     urls = rows.filter("address <> ''").groupBy("address", "verdict").agg(F.count("*").alias("n"))
     held = (F.pmod(F.xxhash64("address"), F.lit(HELD_OUT)) == 0) | F.col("verdict").isNull()
-    urls = urls.withColumns({"kind": F.col("verdict"), "counts": ~held}).select("address", "kind", "counts", "n")
-    windows = _windows(urls.withColumn("url", F.xxhash64("address")))
+    urls = materialise(urls.withColumns({"kind": F.col("verdict"), "counts": ~held}).select(F.monotonically_increasing_id().alias("url"), "address", "kind", "counts", "n"), "addresses")
+    windows = _windows(urls)
     count = lambda kind: F.sum(F.when(F.col("counts") & (F.col("kind") == kind), F.col("n")).otherwise(0))
-    grams = materialise(windows.groupBy("gram").agg(count("allow").alias("accepted"), count("block").alias("rejected")), "grams")
-    model = materialise(_model(grams), "model")
-    ratio = windows.filter("NOT counts").join(model, "gram").groupBy("url").agg(F.avg(F.col("accepted") - F.col("rejected")).alias("ratio"))
-    ratio = materialise(ratio, "ratios")
-    cut = threshold(urls.withColumn("url", F.xxhash64("address")).filter("kind IS NOT NULL AND NOT counts").join(ratio, "url"))
-    out = rows.withColumn("url", F.when(F.col("verdict").isNull(), F.xxhash64("address"))).join(ratio, "url", "left")
+    grams = windows.groupBy("gram").agg(count("allow").alias("accepted"), count("block").alias("rejected"), F.count("*").alias("places"))
+    model = _model(materialise(grams, "grams")).select("gram", (F.col("accepted") - F.col("rejected")).alias("gain"), "places")
+    asked = windows.filter("NOT counts").select("url", "gram")
+    total = model.agg(F.sum("places")).first()[0] or 0
+    often = F.col("places") * FREQUENT >= total
+    first = asked.join(F.broadcast(model.filter(often).select("gram", "gain")), "gram", "left").groupBy("url", F.when(F.col("gain").isNull(), F.col("gram")).alias("gram"))
+    # A URL's frequent grams are added up at once; what is left meets the model gram by gram.
+    first = materialise(first.agg(F.sum("gain").alias("gain"), F.count("*").alias("m")), "asked")
+    rest = first.filter("gram IS NOT NULL").select("url", "gram", "m").join(model.select("gram", F.col("gain").alias("one")).hint("merge"), "gram")
+    parts_ = first.filter("gram IS NULL").select("url", "gain", "m").unionByName(rest.select("url", (F.col("one") * F.col("m")).alias("gain"), "m"))
+    ratio = parts_.groupBy("url").agg((F.sum("gain") / F.sum("m")).alias("ratio"))
+    ratio = materialise(ratio.join(urls.select("url", "address", "kind", "counts", "n").hint("merge"), "url"), "ratios")
+    cut = threshold(ratio.filter("kind IS NOT NULL AND NOT counts"))
+    asked_for = ratio.filter("kind IS NULL").select("address", "ratio", F.col("n").alias("copies"))
+    undecided = rows.filter("verdict IS NULL AND address <> ''")
+    rest = rows.filter("verdict IS NOT NULL OR address = ''").withColumn("ratio", F.lit(None).cast("double"))
+    out = meet(undecided, asked_for, ["address"]).drop("copies").unionByName(rest)
     score = F.coalesce("ratio", F.lit(0.0))
     verdict = F.coalesce("verdict", F.when(score < cut, "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("verdict").isNull(), score).alias("ratio"))

@@ -1,4 +1,10 @@
-"""What the language models see of a URL."""
+"""What the language models see of a URL, their scores and threshold against plain counting, and edge cases."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 from accordant.llm import url_filter
 
@@ -13,3 +19,84 @@ def test_query_and_fragment_are_scored(spark):
     assert (evil["host"], evil["path"], bare["host"], bare["path"]) == ("a.org", "/c", "a.org", "")
     assert evil["ratio"] < good["ratio"] and mark["ratio"] != plain["ratio"]  # equal before: host and path are
     assert [r["ratio"] for r in empty] == [0.0] * 3
+
+
+class Plain:
+    """Witten-Bell over all orders, by recursion."""
+
+    def __init__(self, order):
+        self.order, self.after = order, defaultdict(Counter)
+
+    def add(self, text, n):
+        padded = "\x02" * self.order + text + "\x03"
+        for i in range(self.order, len(padded)):
+            for k in range(self.order + 1):
+                self.after[padded[i - k : i]][padded[i]] += n
+
+    def p(self, context, char):
+        below = self.p(context[1:], char) if context else 1 / url_filter.ALPHABET
+        seen = self.after.get(context)
+        if not seen:
+            return below
+        return (seen[char] + len(seen) * below) / (seen.total() + len(seen))
+
+    def mean(self, text):
+        padded = "\x02" * self.order + text + "\x03"
+        return sum(math.log(self.p(padded[i - self.order : i], padded[i])) for i in range(self.order, len(padded))) / (len(text) + 1)
+
+
+def test_ratios_and_threshold_against_plain_models(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        host = rng.choice(["shop.com", "a.example.com", "x.net", "news.org", "日本.org", "www.example.com", "b.io"])
+        path = rng.choice(["/en/", "/es/", "/fr/", "/", "/buy/"]) + "".join(rng.choice("abcd-") for _ in range(rng.randint(0, 9)))
+        rows.append((k, f"https://{host}{path}" + rng.choice(["", "?q=1", "#top"])))
+    rows += rows[:30] + [(None, "https://news.org/x" * 300), (900, ""), (901, None), (902, "no sign"), (903, "://")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    addresses = Counter()
+    for _, url in rows:
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            if rest:
+                addresses[rest] += 1
+    found = url_filter.judge(df).collect()
+    assert len(found) == len(rows)
+    of = {}
+    for r in found:
+        of.setdefault((r["page_id"], r["host"], r["path"]), []).append(r)
+    hashes = {r["address"]: r["h"] for r in spark.createDataFrame([(a,) for a in addresses], "address string").withColumn("h", F.pmod(F.xxhash64("address"), F.lit(url_filter.HELD_OUT))).collect()}
+    kind_of, models = {}, {"allow": Plain(url_filter.ORDER), "block": Plain(url_filter.ORDER)}
+    for a in addresses:
+        host = a.split("/")[0].split("?")[0].split("#")[0]
+        path = a[len(host) :].split("?")[0].split("#")[0]
+        fits = [(v, r) for v, r in url_filter.RULES if ("." + host).endswith("." + r.split("/")[0]) and path.startswith(r[r.index("/") :])]
+        kind_of[a] = max(fits, key=lambda x: len(x[1]), default=(None,))[0]
+        if kind_of[a] and hashes[a]:
+            models[kind_of[a]].add(a, addresses[a])
+    ratio = {a: models["allow"].mean(a) - models["block"].mean(a) for a in addresses}
+    held = [(kind_of[a], ratio[a], addresses[a]) for a in addresses if kind_of[a] and not hashes[a]]
+    total = {k: sum(n for v, _, n in held if v == k) for k in ("allow", "block")}
+    right = lambda c: sum(n for v, x, n in held if v == "block" and x < c) / total["block"] + sum(n for v, x, n in held if v == "allow" and x >= c) / total["allow"]
+    undecided = 0
+    for (_, host, path), same in of.items():
+        for r in same:
+            if r["rule"] is None and host:
+                own = [a for a in addresses if a.startswith(host + path) and kind_of[a] is None and abs(ratio[a] - r["ratio"]) < 1e-9]
+                assert own, r
+                undecided += 1
+    assert undecided > 50
+    blocked = [r["ratio"] for r in found if r["rule"] is None and r["host"] and r["verdict"] == "block"]
+    allowed = [r["ratio"] for r in found if r["rule"] is None and r["host"] and r["verdict"] == "allow"]
+    assert blocked and allowed and max(blocked) < min(allowed)  # one threshold tells the verdicts apart
+    cuts = sorted({x for _, x, _ in held})
+    best = max(map(right, cuts))
+    between = [c for c in cuts if max(blocked) < c <= min(allowed)] or [min(allowed)]
+    assert max(map(right, between)) >= best - 0.02
+
+
+def test_one_kind_alone_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x", 5), (1, "http://a.com/x", 5), (2, "http://b.org/y", 5)], "page_id long, url string, ratio int")
+    rows = url_filter.judge(df).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in rows) == [(1, "allow"), (1, "allow"), (2, "allow")]
+    assert url_filter.judge(df.limit(0)).count() == 0
