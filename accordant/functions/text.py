@@ -18,6 +18,11 @@ def norm_file(x) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(_text(x)), r"\\", "/"), r"^[./]+", "")
 
 
+def strip(x) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(_text(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def collapse(x) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(_text(x), _BLANK, " "))
@@ -74,9 +79,27 @@ def change_number(x) -> Column:
     return F.substring_index(_text(x), "-", -1)
 
 
-def rank_of(x: Column, order: list[str]) -> Column:
-    """Place of a label in the order; null for others."""
-    out = F.lit(None).cast("int")
-    for k, v in reversed(list(enumerate(order))):
-        out = F.when(x == v, k).otherwise(out)
-    return out
+def without_prefix(x, prefix: str) -> Column:
+    """Without the prefix, once."""
+    return F.when(_text(x).startswith(prefix), F.substring(_text(x), len(prefix) + 1, 1 << 30)).otherwise(_text(x))
+
+
+def string_list(x) -> Column:
+    """The strings of a JSON list; null for anything else."""
+    return F.from_json(x, "array<string>")
+
+
+def label_head(x) -> Column:
+    """The first five characters of a label, as column heads show them."""
+    return F.substring(_text(x), 1, 5)
+
+
+def two_reasonings(first, second) -> Column:
+    """What a juror reads: both annotators' reasoning, in the order given (a fixed layout)."""
+    part = lambda k, x: F.concat(F.lit(f'Annotator {k} reasoning:\n"""\n'), strip(x), F.lit('\n"""'))
+    return F.concat(part(1, first), F.lit("\n\n"), part(2, second))
+
+
+def owner_and_repo(x) -> Column:
+    """owner/repo of an instance id like owner__repo-12."""
+    return F.concat(F.substring_index(_text(x), "__", 1), F.lit("/"), repo_name(x))

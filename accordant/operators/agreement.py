@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 LABELS = ["aligned", "partial", "divergent", "contradictory"]
 #: Lowest kappa of each band (fixed values).
 BANDS = [(0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.0, "slight")]
+LOWEST_BAND = "poor (< chance)"
+#: Sets in a block, of which pairs are compared in one task.
+SETS_PER_BLOCK = 2000
 
 
 def overlaps(elements: DataFrame) -> DataFrame:
@@ -17,20 +22,28 @@ def overlaps(elements: DataFrame) -> DataFrame:
     return sides.groupBy("granularity", "unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("both"))
 
 
-def set_metrics(elements: DataFrame, places: int = 6) -> DataFrame:
-    """Macro and micro Jaccard and Dice by granularity; 1 where there is nothing to compare."""
+def set_metrics(elements: DataFrame, places: int = 6, granularities: list[str] | None = None) -> DataFrame:
+    """Macro and micro Jaccard and Dice by granularity; 1 where there is nothing to compare, as in a granularity without elements."""
     union = F.col("a") + F.col("b") - F.col("both")
-    return (
+    found = (
         overlaps(elements)
         .groupBy("granularity")
         .agg(F.avg(F.when(union > 0, F.col("both") / union)).alias("m"), F.sum("both").alias("i"), F.sum(union).alias("u"), F.sum(F.col("a") + F.col("b")).alias("s"))
-        .select(
-            "granularity",
-            F.round(F.coalesce("m", F.lit(1.0)), places).alias("jaccard_macro"),
-            F.round(F.when(F.col("u") > 0, F.col("i") / F.col("u")).otherwise(1.0), places).alias("jaccard_micro"),
-            F.round(F.when(F.col("s") > 0, 2 * F.col("i") / F.col("s")).otherwise(1.0), places).alias("dice"),
-        )
     )
+    return every(found, granularities).select(
+        "granularity",
+        F.round(F.coalesce("m", F.lit(1.0)), places).alias("jaccard_macro"),
+        F.round(F.when(F.col("u") > 0, F.col("i") / F.col("u")).otherwise(1.0), places).alias("jaccard_micro"),
+        F.round(F.when(F.col("s") > 0, 2 * F.col("i") / F.col("s")).otherwise(1.0), places).alias("dice"),
+    )
+
+
+def every(found: DataFrame, granularities: list[str] | None) -> DataFrame:
+    """One row for each of the granularities, with nulls where nothing was found; as it is if none are given."""
+    if granularities is None:
+        return found
+    named = found.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, granularities))).alias("granularity"))
+    return named.join(found, "granularity", "left")
 
 
 def masi(a: Column, b: Column, both: Column) -> Column:
@@ -39,25 +52,53 @@ def masi(a: Column, b: Column, both: Column) -> Column:
     return F.when((a == 0) & (b == 0), 0.0).when((a == 0) | (b == 0), 1.0).otherwise(1 - both / (a + b - both) * m)
 
 
-def alpha(elements: DataFrame, units: DataFrame, places: int = 6) -> DataFrame:
+def _closeness(block: pa.Table) -> pa.Table:
+    """Sum of times * times * (1 - MASI distance) over the pairs of sets of two blocks, by a product of their item matrices."""
+    side, times = (block[c].to_numpy() for c in ("side", "times"))
+    items = block["items"].combine_chunks()
+    size = np.diff(items.offsets.to_numpy())
+    token = np.unique(items.values.to_numpy(), return_inverse=True)[1] if len(items.values) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inside = not len(other)  # a block against itself
+    other = mine if inside else other
+    place = np.zeros(len(size), np.int64)
+    place[mine], place[other] = np.arange(len(mine)), np.arange(len(other))
+    both = np.zeros((len(mine), len(other)), np.float32)
+    for low in range(0, int(token.max(initial=-1)) + 1, 2048):  # a few columns at a time
+        use = (token >= low) & (token < low + 2048)
+        dense = []
+        for own, which in ((mine, 0), (other, 0 if inside else 1)):
+            at = use & (side[row] == which)
+            m = np.zeros((len(own), 2048), np.float32)
+            m[place[row[at]], token[at] - low] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    a, b = size[mine][:, None], size[other][None, :]
+    steps = np.where((both == a) & (both == b), 1.0, np.where((both == a) | (both == b), 2 / 3, np.where(both > 0, 1 / 3, 0.0)))
+    close = both / np.maximum(1, a + b - both) * steps
+    total = float(times[mine] @ close @ times[other]) * (1 if inside else 2)
+    return pa.table({"granularity": block["granularity"][:1], "close": pa.array([total])})
+
+
+def alpha(elements: DataFrame, units: DataFrame, places: int = 6, granularities: list[str] | None = None) -> DataFrame:
     """Krippendorff's alpha with MASI distance, by granularity, for all `units` (unit); (granularity, n, observed, expected, alpha).
 
-    Expected disagreement runs over all ordered pairs of the 2n sets.  Sets that share no item are at distance 1, so
-    only pairs of distinct sets that meet in an item are made (through the items, with multiplicities); the rest
-    follows by counting.
+    Expected disagreement runs over all ordered pairs of the 2n sets.  Equal sets are one with a multiplicity.  Distinct sets
+    are dealt into blocks of about SETS_PER_BLOCK; a task gets two blocks and emits one number, so no pair of sets and no
+    item that many sets share is ever a row.
     """
     n = units.select("unit").distinct().agg(F.count("*").alias("n"))
     distinct = elements.filter("item IS NOT NULL").select("granularity", "unit", "side", "item").distinct()
     held = overlaps(elements).withColumn("d", masi(F.col("a"), F.col("b"), F.col("both"))).groupBy("granularity").agg(F.sum("d").alias("d"))
     sets = distinct.groupBy("granularity", "unit", "side").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    kinds = sets.groupBy("granularity", "items").agg(F.count("*").alias("times"))
-    kinds = kinds.withColumns({"key": F.sha2(F.to_json("items"), 256), "size": F.size("items")})
-    item = kinds.select("granularity", "key", "size", "times", F.explode("items").alias("item"))
-    other = item.select("granularity", "item", F.col("key").alias("key2"), F.col("size").alias("size2"), F.col("times").alias("times2"))
-    near = item.join(other, ["granularity", "item"]).groupBy("granularity", "key", "key2", "size", "size2", "times", "times2").agg(F.count("*").alias("both"))
-    close = near.groupBy("granularity").agg(F.sum(F.col("times") * F.col("times2") * (1 - masi(F.col("size"), F.col("size2"), F.col("both")))).alias("close"))
-    filled = kinds.groupBy("granularity").agg(F.sum("times").alias("filled"))
-    out = held.join(close, "granularity").join(filled, "granularity").join(F.broadcast(n))
+    kinds = sets.groupBy("granularity", "items").agg(F.count("*").cast("double").alias("times"))
+    blocks = kinds.groupBy("granularity").agg(F.ceil(F.count("*") / SETS_PER_BLOCK).cast("int").alias("blocks"), F.sum("times").alias("filled"))
+    dealt = kinds.join(F.broadcast(blocks.select("granularity", "blocks")), "granularity").withColumn("own", F.pmod(F.xxhash64("items"), F.col("blocks")).cast("int"))
+    pairs = dealt.select("granularity", "times", F.transform("items", lambda x: F.xxhash64(x)).alias("items"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    pairs = pairs.select("granularity", "times", "items", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("z"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+    close = pairs.groupBy("granularity", "a", "z").applyInArrow(_closeness, "granularity string, close double").groupBy("granularity").agg(F.sum("close").alias("close"))
+    out = every(held.join(close, "granularity").join(blocks, "granularity"), granularities).na.fill(0.0, ["d", "close", "filled"]).join(F.broadcast(n))
     empty = 2 * F.col("n") - F.col("filled")  # sets without items: at distance 0 from each other, 1 from the rest
     pairs = 2 * F.col("n") * (2 * F.col("n") - 1)
     # All ordered pairs with themselves, minus closeness, minus pairs of empty sets.
@@ -69,7 +110,7 @@ def alpha(elements: DataFrame, units: DataFrame, places: int = 6) -> DataFrame:
         "n",
         F.round(observed, places).alias("observed"),
         F.round(expected, places).alias("expected"),
-        F.round(F.when(expected == 0, 1.0).otherwise(1 - observed / expected), places).alias("alpha"),
+        F.round(F.when(F.abs(expected) < 1e-12, 1.0).otherwise(1 - observed / expected), places).alias("alpha"),
     )
 
 
@@ -79,23 +120,94 @@ def majority(votes: DataFrame, by: list[str], label: str, rank: Column) -> DataF
     return n.groupBy(*by).agg(F.max_by(F.struct(label, "n"), F.struct("n", "_rank")).alias("m"), F.sum("n").alias("votes")).select(*by, F.col(f"m.{label}").alias(label), F.col("m.n").alias("n"), "votes")
 
 
-def flags(votes: DataFrame, unit: str, label: str, rank: Column, ordering: str, provider: str, low: Column) -> DataFrame:
-    """One row per unit: final label, majority by ordering (0 and 1), disagreements, and why the unit is flagged.
+def _most(counts: Column) -> Column:
+    """Of (n, rank, label) structs the label of the most frequent, of equally frequent ones the highest by rank; null of none."""
+    return F.array_max(F.filter(counts, lambda x: x["n"] > 0))["label"]
+
+
+def verdicts(manifest: DataFrame, given: DataFrame, labels: list[str], key: str = "cid") -> DataFrame:
+    """The manifest (key, unit, ordering, provider) with label, confidence and error of each request; error `missing` without a verdict."""
+    own = given.select(F.col(key).alias("_key"), "label", "confidence", "error")
+    joined = manifest.join(own, F.col(key) == F.col("_key"), "left")
+    error = F.coalesce("error", F.when(F.col("_key").isNull(), "missing"))
+    return joined.select(*manifest.columns, F.when(F.col("label").isin(labels), F.col("label")).alias("label"), "confidence", error.alias("error"))
 
-    Orderings disagree if both have a majority and they differ; providers if their majorities have more than one
-    label; low confidence is half of the valid votes or more.
+
+def aggregate_verdicts(votes: DataFrame, labels: list[str], severe: list[str] | None = None) -> DataFrame:
+    """One row per unit of votes (unit, ordering 0 or 1, provider, label, confidence); labels from least to most divergent.
+
+    final: majority of the valid votes, ties upward; order0, order1: majority of each ordering; model_labels: of each
+    provider, as a map; label_counts as a map; flag_reason: why a person should look, flagged: whether.  Orderings disagree
+    if both have valid votes and differ; confidence is low if half of the valid votes or more say so; labels in `severe` (the
+    upper half) and failed votes flag a unit too.  Without valid votes all else is null.
+
+    Votes are counted by unit and provider before they meet, so a unit's row is made from one short row a provider.
     """
-    valid = votes.filter(F.col(label).isNotNull())
-    final = majority(valid, [unit], label, rank).select(unit, F.col(label).alias("final"), "votes")
-    order = majority(valid, [unit, ordering], label, rank).groupBy(unit).agg(*[F.max(F.when(F.col(ordering) == k, F.col(label))).alias(f"order{k}") for k in (0, 1)])
-    by = majority(valid, [unit, provider], label, rank).groupBy(unit).agg((F.count_distinct(label) > 1).alias("model_disagreement"))
-    doubt = valid.groupBy(unit).agg((2 * F.count_if(low) >= F.count("*")).alias("low_confidence"))
-    joined = votes.select(unit).distinct().join(final, unit, "left").join(order, unit, "left").join(by, unit, "left").join(doubt, unit, "left")
-    swap = F.coalesce(F.col("order0") != F.col("order1"), F.lit(False))
+    severe = labels[len(labels) // 2 :] if severe is None else severe
+    number = [[F.count_if((F.col("label") == v) & (F.col("ordering") == o)).alias(f"n{k}_{o}") for o in (0, 1)] for k, v in enumerate(labels)]
+    by = votes.groupBy("unit", "provider").agg(F.count("*").alias("votes"), F.count_if(F.col("label").isin(labels)).alias("valid"), F.count_if(F.col("label").isin(labels) & (F.col("confidence") == "low")).alias("low"), *[c for x in number for c in x])
+    counted = lambda n: F.array(*[F.struct(n(k).alias("n"), F.lit(k).alias("rank"), F.lit(v).alias("label")) for k, v in enumerate(labels)])
+    own = _most(counted(lambda k: F.col(f"n{k}_0") + F.col(f"n{k}_1")))
+    sums = [F.sum(f"n{k}_{o}").alias(f"n{k}_{o}") for k in range(len(labels)) for o in (0, 1)]
+    unit = by.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("votes", "valid", "low")], *sums, F.sort_array(F.collect_list(F.when(own.isNotNull(), F.struct("provider", own.alias("label"))))).alias("models"))
+    total = counted(lambda k: F.col(f"n{k}_0") + F.col(f"n{k}_1"))
+    order = [_most(counted(lambda k, o=o: F.col(f"n{k}_{o}"))) for o in (0, 1)]
+    some = F.col("valid") > 0
+    row = unit.select(
+        "unit",
+        _most(total).alias("final"),
+        *[x.alias(f"order{o}") for o, x in enumerate(order)],
+        F.when(some, F.coalesce(order[0] != order[1], F.lit(False))).alias("order_disagreement"),
+        F.when(some, F.map_from_entries("models")).alias("model_labels"),
+        F.when(some, F.size(F.array_distinct(F.transform("models", lambda m: m["label"]))) > 1).alias("model_disagreement"),
+        F.when(some, F.map_from_entries(F.transform(F.filter(total, lambda x: x["n"] > 0), lambda x: F.struct(x["label"], x["n"])))).alias("label_counts"),
+        "votes",
+        "valid",
+        (2 * F.col("low") >= F.col("valid")).alias("_low"),
+    )
     why = F.concat_ws(
-        "; ", F.when(F.col("final").isNull(), "no valid verdicts"), F.when(F.col("model_disagreement"), "models disagree"), F.when(swap, "order-swap disagreement"), F.when(F.col("low_confidence"), "low confidence")
+        "; ",
+        F.when(F.col("model_disagreement"), "cross-model disagreement"),
+        F.when(F.col("order_disagreement"), "order-swap disagreement"),
+        F.when(F.col("final").isin(severe), F.concat(F.lit("final="), F.col("final"))),
+        F.when(F.col("_low"), "low confidence"),
+        F.when(F.col("valid") < F.col("votes"), F.concat((F.col("votes") - F.col("valid")).cast("string"), F.lit(" verdict(s) failed"))),
     )
-    return joined.select(unit, "final", "order0", "order1", swap.alias("order_disagreement"), F.coalesce("model_disagreement", F.lit(False)).alias("model_disagreement"), why.alias("flag_reason"), (why != "").alias("flagged"))
+    reason = F.when(F.col("valid") == 0, "no valid verdicts").otherwise(why)
+    return row.withColumns({"flag_reason": reason, "flagged": reason != ""}).drop("_low")
+
+
+def vote_lists(votes: DataFrame) -> DataFrame:
+    """(unit, votes): every vote of a unit, failed ones too, by ordering and provider; a unit has a few votes a juror."""
+    vote = F.struct("ordering", "provider", "label", "confidence", "error")
+    return votes.groupBy("unit").agg(F.sort_array(F.collect_list(vote)).alias("votes"))
+
+
+def verdict_summary(aggregated: DataFrame) -> DataFrame:
+    """(kind, name, n): units by final label, and how many are flagged or split."""
+    kinds = F.array(
+        F.struct(F.lit("final").alias("kind"), F.col("final").alias("name")),
+        *[F.when(F.col(c), F.struct(F.lit("signal").alias("kind"), F.lit(c).alias("name"))) for c in ("flagged", "model_disagreement", "order_disagreement")],
+    )
+    return aggregated.select(F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+def judged_pairs(sheet: DataFrame, report: DataFrame, labels: list[str]) -> DataFrame:
+    """sheet (unit, human) against report (unit, final): (unit, human, judge, skipped); skipped says `unlabeled`, `missing` or is null.
+
+    A human label outside the list is an error of the sheet and raises.
+    """
+    human = F.lower(F.trim(F.coalesce("human", F.lit(""))))
+    joined = sheet.select("unit", human.alias("human")).join(report.select(F.col("unit").alias("_unit"), "final"), F.col("unit") == F.col("_unit"), "left")
+    checked = F.when(F.col("human").isin("", *labels), F.col("human")).otherwise(F.raise_error(F.concat(F.lit("invalid human label: "), F.col("human"))))
+    judge = F.when(F.col("final").isin(labels), F.col("final"))
+    return joined.select("unit", checked.alias("human"), judge.alias("judge"), F.when(F.col("human") == "", "unlabeled").when(judge.isNull(), "missing").alias("skipped"))
+
+
+def cost(instances: int, jurors: int, tokens_in: int = 900, tokens_out: int = 500, price_in: float = 5.0, price_out: float = 25.0) -> dict[str, float]:
+    """Requests of each juror (two orderings) and of all, and their rough cost; prices are for a million tokens."""
+    calls = 2 * instances
+    return {"calls_per_juror": calls, "requests": jurors * calls, "cost": jurors * calls * (tokens_in * price_in + tokens_out * price_out) / 1e6}
 
 
 def confusion(pairs: DataFrame, k: int) -> DataFrame:
@@ -120,7 +232,7 @@ def band(x: Column) -> Column:
     out = F.when(x >= BANDS[0][0], BANDS[0][1])
     for low, name in BANDS[1:]:
         out = out.when(x >= low, name)
-    return out.otherwise("poor")
+    return out.otherwise(LOWEST_BAND)
 
 
 def per_class(grid: DataFrame, places: int = 6) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions import text as T
+
 
 def result_matrix(results: DataFrame, instances: DataFrame, models: list[str]) -> DataFrame:
     """results: (model, instance, resolved).  One row per instance, a column per model: True, False or missing."""
@@ -19,9 +21,52 @@ def count_pivot(df: DataFrame, row: str, column: str, values: list[str]) -> Data
     return out.select(row, *[F.coalesce(F.col(f"`{v}`").cast("string"), F.lit("-")).alias(v) for v in values])
 
 
+#: Most columns that a pivot may get.
+MOST_NAMES = 1000
+
+
 def by_count(df: DataFrame, column: str) -> list[str]:
-    """The column's values, the most frequent first, ties by name (a bounded set of names such as statuses)."""
-    return [r[0] for r in df.groupBy(column).count().orderBy(F.desc("count"), column).collect()]
+    """The column's values, the most frequent first, ties by name: names for columns, so more than MOST_NAMES are an error."""
+    found = df.groupBy(column).count().orderBy(F.desc("count"), column).limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"{column} has more than {MOST_NAMES} values, too many for columns")
+    return [r[0] for r in found]
+
+
+def ordered_pivot(df: DataFrame, row: str, column: str, prefix: str = "") -> DataFrame:
+    """count_pivot with the column's values by falling count; the prefix is left out of the rows' names."""
+    out = count_pivot(df, row, column, by_count(df.filter(F.col(column).isNotNull()), column))
+    return out.withColumn(row, T.without_prefix(row, prefix))
+
+
+def exit_of(runs: DataFrame, messages: DataFrame) -> DataFrame:
+    """(model, instance, status) of each run without a report: the exit status of its last message of the role `exit`, `unknown` where
+    that has none, no_exit_message, no_trajectory or no_instance_dir.
+
+    runs: (model, instance, has_dir, has_trajectory); messages: (model, instance, pos, role, exit_status).
+    """
+    last = messages.filter("role = 'exit'").groupBy(F.col("model").alias("_m"), F.col("instance").alias("_i")).agg(F.max_by(F.struct("exit_status"), "pos").alias("last"))
+    said = F.when(~F.col("has_dir"), "no_instance_dir").when(~F.col("has_trajectory"), "no_trajectory").when(F.col("last").isNull(), "no_exit_message")
+    joined = runs.join(last, (F.col("model") == F.col("_m")) & (F.col("instance") == F.col("_i")), "left")
+    return joined.select("model", "instance", F.coalesce(said, F.col("last.exit_status"), F.lit("unknown")).alias("status"))
+
+
+def missing_reports(statuses: DataFrame) -> DataFrame:
+    """(model, missing): of each model a JSON object of its instances without a report and their exit status, by instance."""
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("instance", "status"))), lambda x: F.struct(x["instance"], x["status"]))
+    return statuses.groupBy("model").agg(F.to_json(F.map_from_entries(entries)).alias("missing"))
+
+
+def resolved_sets(results: DataFrame) -> DataFrame:
+    """(model, resolved): the instances that each model resolved, sorted."""
+    return results.filter("resolved").groupBy("model").agg(F.array_sort(F.collect_set("instance")).alias("resolved"))
+
+
+def coverage(region_counts: DataFrame, groups: list[str]) -> DataFrame:
+    """(name, n) of regions: the union's size, and for each group the items that only it has."""
+    only = F.when(F.length(F.replace("mask", F.lit("0"), F.lit(""))) == 1, F.get(F.array(*map(F.lit, groups)), F.instr("mask", "1") - 1))
+    names = F.array(F.lit("union"), F.concat(F.lit("only "), only))
+    return region_counts.select("n", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("name")).groupBy("name").agg(F.sum("n").alias("n"))
 
 
 def rollup(df: DataFrame, by: str, resolved: str, places: int = 6) -> DataFrame:
@@ -41,18 +86,49 @@ def last_where(df: DataFrame, by: str, order: str, condition: Column, value: str
 
 
 def categorize(decisive: Column, message: Column) -> Column:
-    """Bucket of a test case from its first decisive child (failure, error, skipped or null) and its message."""
+    """Bucket of a test case from its first decisive child (failure, error, skipped or null) and that child's message."""
     said = F.lower(F.coalesce(message, F.lit("")))
-    skipped = F.when(said.contains("xfail") | said.contains("expected failure"), "xfailed").when(said.contains("unexpectedly passing"), "passed").otherwise("skipped")
+    expected = said.contains("expected test failure") | said.contains("xfail")
+    unexpected = said.contains("unexpectedly passing") | said.contains("xpass")
+    skipped = F.when(expected, "xfailed").when(unexpected, "passed").otherwise("skipped")
     return F.when(decisive.isin("failure", "error"), "failed").when(decisive == "skipped", skipped).otherwise("passed")
 
 
 def node_id(classname: Column, file: Column, name: Column) -> Column:
-    """file::Class::name where the class is below the file's module, file::name where it is the module, class::name without a file."""
+    """file::Class::name where the class is below the file's module, file::name where it is the module or none, class::name
+    elsewhere; the file or the name alone where the rest is missing."""
+    classname, file, name = (F.coalesce(x, F.lit("")) for x in (classname, file, name))
     module = F.regexp_replace(F.replace(file, F.lit("/"), F.lit(".")), r"\.[^.]*$", "")
-    rest = F.when(classname.startswith(F.concat(module, F.lit("."))), F.substring(classname, F.char_length(module) + 2, F.char_length(classname)))
-    with_file = F.when(classname == module, F.concat_ws("::", file, name)).otherwise(F.concat_ws("::", file, F.replace(F.coalesce(rest, classname), F.lit("."), F.lit("::")), name))
-    return F.when(F.coalesce(file, F.lit("")) == "", F.concat_ws("::", F.nullif(classname, F.lit("")), name)).when(F.coalesce(classname, F.lit("")) == "", F.concat_ws("::", file, name)).otherwise(with_file)
+    joined = lambda *x: F.concat_ws("::", *x)
+    below = joined(file, F.substr(classname, F.char_length(module) + 2), name)
+    alone = F.when(classname == "", name).otherwise(joined(classname, name))
+    return (
+        F.when(file == "", alone)
+        .when((classname == "") | (classname == module), F.when(name == "", file).otherwise(joined(file, name)))
+        .when(F.startswith(classname, F.concat(module, F.lit("."))), below)
+        .otherwise(joined(classname, name))
+    )
+
+
+#: Buckets of test cases (fixed values).
+BUCKETS = ["passed", "failed", "skipped", "xfailed"]
+
+
+def test_buckets(cases: DataFrame) -> DataFrame:
+    """cases: (run, pos, bucket, node).  One row a run with its cases of each bucket as a list in document order."""
+    own = lambda b: F.transform(F.sort_array(F.collect_list(F.when(F.col("bucket") == b, F.struct("pos", "node")))), lambda x: x["node"])
+    return cases.groupBy("run").agg(*[own(b).alias(b) for b in BUCKETS])
+
+
+def in_buckets(cases: DataFrame) -> DataFrame:
+    """(run, bucket, pos, node) with the place inside the bucket, from 0: how runs are compared."""
+    place = F.row_number().over(Window.partitionBy("run", "bucket").orderBy("pos")) - 1
+    return cases.select("run", "bucket", place.alias("pos"), "node")
+
+
+def flaky(cases: DataFrame) -> DataFrame:
+    """(node, buckets): tests that are in different buckets in different runs."""
+    return cases.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets")).filter(F.size("buckets") > 1)
 
 
 def run_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,12 +138,6 @@ def run_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return n.select(*keys, F.greatest(F.col("x") - F.col("y"), F.lit(0)).alias("only_a"), F.greatest(F.col("y") - F.col("x"), F.lit(0)).alias("only_b"))
 
 
-def first_row(df: DataFrame, keys: list[str], order: list, last: bool = False) -> DataFrame:
-    """One row per key: the first (or last) in the order."""
-    by = [F.desc(c) if last else F.asc(c) for c in order]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter("_n = 1").drop("_n")
-
-
 def sample_rank(key: Column, seed: int) -> Column:
     """A number that orders whole-number keys at random, the same in any engine: a multiplicative hash modulo 2**31 - 1."""
     return F.pmod((F.pmod(key, F.lit(2147483647)) + seed) * F.lit(48271), F.lit(2147483647))
@@ -79,13 +149,31 @@ def validation_sheet(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataF
     return drawn.withColumn("swap", F.pmod(sample_rank(F.col(key), seed + 1), F.lit(2)) == 0)
 
 
-def request_grid(instances: DataFrame, providers: list[str], instance: str = "instance") -> DataFrame:
+def request_grid(instances: DataFrame, providers: list[str], instance: str = "instance", limit: int = 0) -> DataFrame:
     """Two orderings for each provider and instance, numbered c0, c1, ... in order of instance, ordering, provider.
 
-    Numbers come from instances' ranks, so no single task sorts the requests.
+    limit: only the first so many instances, 0 for all.  The distinct ids (what people annotated) are numbered in one window.
     """
+    if not providers:
+        raise ValueError("no jurors are left")
     ids = instances.select(F.col(instance).alias("instance")).distinct()
-    ranked = ids.orderBy("instance").rdd.map(tuple).zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(f"instance {ids.schema['instance'].dataType.simpleString()}, at long")
+    ranked = ids.withColumn("at", F.row_number().over(Window.orderBy("instance")) - 1)
+    ranked = ranked.filter(F.col("at") < limit) if limit else ranked
     names = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(v).alias("provider")) for k, v in enumerate(providers)])
     grid = ranked.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordering")).select("*", F.explode(names).alias("x"))
     return grid.select(F.concat(F.lit("c"), ((F.col("at") * 2 + F.col("ordering")) * len(providers) + F.col("x.p")).cast("string")).alias("cid"), "instance", "ordering", F.col("x.provider").alias("provider"))
+
+
+def chosen(providers: list[str], asked: str | None) -> list[str]:
+    """The providers that a comma list names, in their own order; all without a list; an error if none is left."""
+    names = None if asked is None else {x.strip() for x in asked.split(",")}
+    found = [p for p in providers if names is None or p in names]
+    if not found:
+        raise ValueError(f"none of {asked!r} is one of {providers}")
+    return found
+
+
+def fields_long(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row per key and field: (key, field, content), null contents as ''."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("content")) for f in fields])
+    return df.select(key, F.explode(parts).alias("x")).select(key, "x.*")

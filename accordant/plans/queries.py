@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant.functions import text as T
 from accordant.operators import agreement, reconcile, results, statements
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from accordant.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 def order_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as two raters' locations: side by line status, file by return flag."""
-    from pyspark.sql import Window
-
     line = table(spark, sf_dir, "lineitem")
     side = F.when(F.col("l_linestatus") == "O", "A").otherwise("B")
     stmt = F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string"), F.when(F.col("l_partkey") % 3 == 0, ",").otherwise(""))
@@ -82,10 +63,7 @@ def j2_multi_pass_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'type', type, count(*), round(count(*) / sum(count(*)) OVER (), 6) FROM matches GROUP BY type"""
 )
 def a1_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    locs = order_locations(spark, sf_dir)
-    found = reconcile.match(locs)
-    by = lambda df, c: reconcile.counts_with_share(df, c).select(F.lit(c).alias("kind"), F.col(c).alias("name"), "n", "share")
-    return by(reconcile.status(locs, found), "status").unionByName(by(found, "type"))
+    return reconcile.counts(reconcile.match(order_locations(spark, sf_dir)))
 
 
 @query(_MATCHED + " SELECT CASE WHEN a_idx IS NULL THEN 'B' ELSE 'A' END AS only_in, same_file, count(*) AS n FROM matches WHERE step = 5 GROUP BY ALL")
@@ -94,22 +72,76 @@ def j3_same_side_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extra.groupBy(F.when(F.col("a_idx").isNull(), "B").otherwise("A").alias("only_in"), "same_file").agg(F.count("*").alias("n"))
 
 
-_CHOICES = "CASE unit % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'second' WHEN 2 THEN 'skip' WHEN 3 THEN 'SKIP' END"
+_CHOICES = "CASE unit % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'second' WHEN 2 THEN 'skip' WHEN 3 THEN 'SKIP' WHEN 4 THEN ' b ' END"
+_CHOSEN = "CASE unit % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'skip' WHEN 4 THEN 'B' END"
 
 
 @query(
     _MATCHED
     + _STATUS
-    + f""" SELECT unit, status, CASE WHEN c = 'skip' THEN 'skipped' WHEN c IN ('A', 'second') THEN 'resolved' ELSE status END AS final,
-    CASE WHEN c = 'skip' THEN false WHEN c IN ('A', 'second') THEN true ELSE status <> 'conflict' END AS mergeable FROM (SELECT *, {_CHOICES} AS c FROM status)"""
+    + f""" SELECT unit, status, c AS choice, CASE WHEN c = 'skip' THEN 'skipped_by_resolution' WHEN c IS NOT NULL THEN 'resolved' ELSE status END AS final,
+    CASE WHEN c = 'skip' THEN false WHEN c IS NOT NULL THEN true ELSE status <> 'conflict' END AS mergeable FROM (SELECT *, {_CHOSEN} AS c FROM status)"""
 )
 def p20_resolution_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    locs = order_locations(spark, sf_dir)
-    status = reconcile.status(locs, reconcile.match(locs))
+    return _resolved(reconcile.match(order_locations(spark, sf_dir)))
+
+
+def _resolved(matches: DataFrame) -> DataFrame:
+    status = reconcile.status(matches, matches)
     choices = status.select("unit", F.expr(_CHOICES).alias("choice")).filter("choice IS NOT NULL")
     return reconcile.resolve(status, choices, {"second": "B"}, include_minor=True)
 
 
+_DOCS = "SELECT l_orderkey AS unit, CASE WHEN l_linestatus = 'O' THEN 'A' ELSE 'B' END AS side, max(l_returnflag) AS reasoning, count(*) AS n FROM lineitem GROUP BY 1, 2"
+
+
+@query(
+    _MATCHED
+    + _STATUS
+    + f""", res AS (SELECT unit, status, {_CHOSEN} AS c FROM status), docs AS ({_DOCS}),
+  m AS (SELECT unit, count(*) FILTER (step = 1) AS exact, count(*) FILTER (step > 1) AS conflicts FROM matches GROUP BY 1),
+  w AS (SELECT *, CASE WHEN c IN ('A', 'B') THEN c ELSE 'A' END AS won FROM res WHERE c IS DISTINCT FROM 'skip')
+  SELECT w.unit, CASE WHEN won = 'A' AND a.unit IS NOT NULL THEN 'A' || w.unit WHEN won = 'B' AND b.unit IS NOT NULL THEN 'B' || w.unit END AS document, CASE WHEN c IS NULL THEN status ELSE 'resolved' END AS status, won AS "primary",
+    c AS favour, exact AS exact_matches, a.n AS locations_a, b.n AS locations_b, CASE WHEN won = 'A' THEN b.reasoning ELSE a.reasoning END AS other_reasoning,
+    CASE WHEN c IS NULL THEN conflicts ELSE 0 END AS unresolved, CASE WHEN c IS NULL THEN 0 ELSE conflicts END AS resolved, CASE WHEN w.unit % 4 = 0 THEN 1 ELSE 0 END AS informational, c IS NOT NULL OR status <> 'conflict' AS mergeable
+  FROM w JOIN m USING (unit) LEFT JOIN docs a ON a.unit = w.unit AND a.side = 'A' LEFT JOIN docs b ON b.unit = w.unit AND b.side = 'B'"""
+)
+def p21_merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged documents of both raters, from the matches, the resolutions and the other differences."""
+    matches = reconcile.match(order_locations(spark, sf_dir))
+    side = F.when(F.col("l_linestatus") == "O", "A").otherwise("B").alias("side")
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("unit"), side).agg(F.max("l_returnflag").alias("reasoning"), F.count("*").alias("n_locations"))
+    docs = docs.withColumn("document", F.concat("side", F.col("unit").cast("string")))
+    diffs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit")).distinct().filter("unit % 4 = 0").select("unit", F.lit("confidence").alias("field"), F.lit("1").alias("a"), F.lit("2").alias("b"))
+    m = F.col("merge_metadata")
+    size = lambda c: F.when(m[c].isNull(), 0).otherwise(F.size(m[c])).cast("long")
+    return reconcile.merged(_resolved(matches), matches, docs, diffs).select(
+        "unit",
+        "document",
+        m["status"].alias("status"),
+        m["primary"].alias("primary"),
+        m["resolved_in_favour_of"].alias("favour"),
+        m["exact_matches"].alias("exact_matches"),
+        m["locations_a"].alias("locations_a"),
+        m["locations_b"].alias("locations_b"),
+        m["other_reasoning"].alias("other_reasoning"),
+        size("unresolved_conflicts").alias("unresolved"),
+        size("resolved_conflicts").alias("resolved"),
+        size("informational_differences").alias("informational"),
+        "mergeable",
+    )
+
+
+_SITE = ["CASE WHEN l_linestatus = 'O' THEN 'A' ELSE 'B' END AS side", "l_returnflag AS file", "CASE WHEN l_partkey % 5 <> 0 THEN l_linenumber % 3 END AS line", "'S' || (l_suppkey % 2) AS stmt"]
+_SHOWN = "string_agg(file || ':' || coalesce(line::varchar, 'None') || '  ' || stmt, '|' ORDER BY file, line IS NULL, line, stmt) FILTER (side = '{}')"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey AS unit, {", ".join(_SITE)} FROM lineitem), o AS (SELECT unit, coalesce({_SHOWN.format("A")}, '') AS a, coalesce({_SHOWN.format("B")}, '') AS b FROM s GROUP BY 1) SELECT * FROM o WHERE a <> b""")
+def p18_call_site_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit", *_SITE)
+    return reconcile.call_site_diffs(sites).select("unit", F.array_join("a", "|").alias("a"), F.array_join("b", "|").alias("b"))
+
+
 @query("""WITH s AS (SELECT l_orderkey, bool_or(l_linestatus = 'O') AS o, bool_or(l_linestatus <> 'O') AS f FROM lineitem GROUP BY 1)
   SELECT CASE WHEN o AND f THEN 'both' WHEN o THEN 'only_a' ELSE 'only_b' END AS side, count(*) AS units FROM s GROUP BY 1""")
 def j1_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +161,10 @@ def p17_metadata_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.field_diffs(flat, "o_custkey", {"confidence": ("ap", "zp")}, {"flag": ("as", "zs")})
 
 
+#: The four granularities, and one that no element has.
+_GRANULARITIES = ["file", "statement", "line", "full", "none"]
+
+
 def event_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in the first and second half of the month as two raters' sets, at four granularities."""
     bucket = F.coalesce((F.regexp_extract("props", '"k": *([0-9]+)', 1).try_cast("int") / 10).cast("int").cast("string"), F.lit(""))
@@ -149,15 +185,15 @@ _SETS = """WITH e AS (SELECT user_id AS unit, CASE WHEN day(ts) <= 15 THEN 'A' E
 @query(
     _SETS
     + """ SELECT granularity, round(coalesce(avg(CASE WHEN a + b - both_ > 0 THEN both_ / (a + b - both_) END), 1.0), 6) AS jaccard_macro,
-    round(sum(both_) / sum(a + b - both_), 6) AS jaccard_micro, round(2 * sum(both_) / sum(a + b), 6) AS dice FROM ov GROUP BY 1"""
+    round(sum(both_) / sum(a + b - both_), 6) AS jaccard_micro, round(2 * sum(both_) / sum(a + b), 6) AS dice FROM ov GROUP BY 1 UNION ALL SELECT 'none', 1.0, 1.0, 1.0"""
 )
 def a7_agreement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agreement.set_metrics(event_sets(spark, sf_dir))
+    return agreement.set_metrics(event_sets(spark, sf_dir), granularities=_GRANULARITIES)
 
 
 @query(
     _SETS
-    + """, sets AS (SELECT g.granularity, u.unit, s.side, list(el.item) FILTER (el.item IS NOT NULL) AS items FROM (SELECT DISTINCT granularity FROM el) g, (SELECT DISTINCT unit FROM el) u,
+    + """, sets AS (SELECT g.granularity, u.unit, s.side, list(el.item) FILTER (el.item IS NOT NULL) AS items FROM (SELECT DISTINCT granularity FROM el UNION SELECT 'none') g, (SELECT DISTINCT unit FROM el) u,
       (SELECT unnest(['A', 'B']) AS side) s LEFT JOIN el ON el.granularity = g.granularity AND el.unit = u.unit AND el.side = s.side GROUP BY ALL),
   d AS (SELECT x.granularity, x.unit = y.unit AS own, x.side AS xs, y.side AS ys, coalesce(len(x.items), 0) AS a, coalesce(len(y.items), 0) AS b, coalesce(len(list_intersect(x.items, y.items)), 0) AS i
       FROM sets x JOIN sets y ON x.granularity = y.granularity AND (x.unit <> y.unit OR x.side <> y.side)),
@@ -167,7 +203,7 @@ def a7_agreement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a12_krippendorff_masi(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = event_sets(spark, sf_dir)
-    return agreement.alpha(sets, sets)
+    return agreement.alpha(sets, sets, granularities=_GRANULARITIES)
 
 
 def _priority_rank(c: str = "o_orderpriority") -> Column:
@@ -183,16 +219,59 @@ def a14_majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VOTE = "SELECT {0}, arg_max(o_orderpriority, (n, -left(o_orderpriority, 1)::int)) AS label FROM (SELECT {0}, o_orderpriority, count(*) AS n FROM v GROUP BY ALL) GROUP BY {0}"
 
 
-@query(f"""WITH v AS (SELECT *, year(o_orderdate) % 2 AS ordering FROM orders), f AS ({_VOTE.format("o_custkey")}),
-  o AS (SELECT o_custkey, max(label) FILTER (ordering = 0) AS order0, max(label) FILTER (ordering = 1) AS order1 FROM ({_VOTE.format("o_custkey, ordering")}) GROUP BY 1),
-  p AS (SELECT o_custkey, count(DISTINCT label) > 1 AS m FROM ({_VOTE.format("o_custkey, o_orderstatus")}) GROUP BY 1),
-  l AS (SELECT o_custkey, 2 * count(*) FILTER (o_totalprice < 50000) >= count(*) AS low FROM v GROUP BY 1),
-  j AS (SELECT o_custkey, label AS final, order0, order1, coalesce(order0 <> order1, false) AS order_disagreement, coalesce(m, false) AS model_disagreement, low FROM f JOIN o USING (o_custkey) JOIN p USING (o_custkey) JOIN l USING (o_custkey)),
-  w AS (SELECT *, concat_ws('; ', CASE WHEN model_disagreement THEN 'models disagree' END, CASE WHEN order_disagreement THEN 'order-swap disagreement' END, CASE WHEN low THEN 'low confidence' END) AS flag_reason FROM j)
-  SELECT o_custkey, final, order0, order1, order_disagreement, model_disagreement, flag_reason, flag_reason <> '' AS flagged FROM w""")
+#: Order priorities as labels, from least to most divergent; the last two are severe.
+_LABELS = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
+
+_VERDICTS = f"""WITH r AS (SELECT o_custkey AS unit, year(o_orderdate) % 2 AS ordering, o_orderstatus AS provider, CASE WHEN o_orderkey % 10 NOT IN (0, 1) THEN o_orderpriority END AS o_orderpriority, o_totalprice < 50000 AS low FROM orders),
+  v AS (SELECT * FROM r WHERE o_orderpriority IS NOT NULL), u AS (SELECT unit, count(*) AS votes, count(o_orderpriority) AS valid FROM r GROUP BY 1), f AS ({_VOTE.format("unit")}),
+  o AS (SELECT unit, max(label) FILTER (ordering = 0) AS order0, max(label) FILTER (ordering = 1) AS order1 FROM ({_VOTE.format("unit, ordering")}) GROUP BY 1),
+  p AS (SELECT unit, count(DISTINCT label) > 1 AS m, string_agg(provider || '=' || label, ',' ORDER BY provider) AS models FROM ({_VOTE.format("unit, provider")}) GROUP BY 1),
+  l AS (SELECT unit, 2 * count(*) FILTER (low) >= count(*) AS low FROM v GROUP BY 1),
+  h AS (SELECT unit, string_agg(label || '=' || n, ',' ORDER BY label) AS label_counts FROM (SELECT unit, o_orderpriority AS label, count(*) AS n FROM v GROUP BY ALL) GROUP BY 1),
+  j AS (SELECT unit, votes, valid, label AS final, order0, order1, CASE WHEN valid > 0 THEN coalesce(order0 <> order1, false) END AS order_disagreement, models, m AS model_disagreement, label_counts, low
+    FROM u LEFT JOIN f USING (unit) LEFT JOIN o USING (unit) LEFT JOIN p USING (unit) LEFT JOIN l USING (unit) LEFT JOIN h USING (unit)),
+  w AS (SELECT *, CASE WHEN valid = 0 THEN 'no valid verdicts' ELSE concat_ws('; ', CASE WHEN model_disagreement THEN 'cross-model disagreement' END, CASE WHEN order_disagreement THEN 'order-swap disagreement' END,
+    CASE WHEN final IN ('2-HIGH', '1-URGENT') THEN 'final=' || final END, CASE WHEN low THEN 'low confidence' END, CASE WHEN valid < votes THEN (votes - valid) || ' verdict(s) failed' END) END AS flag_reason FROM j)"""
+
+
+def order_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a jury's requests and answers: of ten, one gave no verdict and one a label outside the list."""
+    o = table(spark, sf_dir, "orders")
+    manifest = o.select(F.col("o_orderkey").alias("cid"), F.col("o_custkey").alias("unit"), (F.year("o_orderdate") % 2).alias("ordering"), F.col("o_orderstatus").alias("provider"))
+    label = F.when(F.col("o_orderkey") % 10 == 1, "no label").otherwise(F.col("o_orderpriority"))
+    given = o.filter("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("cid"), label.alias("label"), F.when(F.col("o_totalprice") < 50000, "low").otherwise("high").alias("confidence"), F.lit(None).cast("string").alias("error"))
+    return agreement.verdicts(manifest, given, _LABELS)
+
+
+@query(_VERDICTS + " SELECT unit AS o_custkey, final, order0, order1, order_disagreement, model_disagreement, flag_reason, flag_reason <> '' AS flagged FROM w")
 def a15_a16_split_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = table(spark, sf_dir, "orders").withColumn("ordering", F.year("o_orderdate") % 2)
-    return agreement.flags(votes, "o_custkey", "o_orderpriority", _priority_rank(), "ordering", "o_orderstatus", F.col("o_totalprice") < 50000)
+    found = agreement.aggregate_verdicts(order_verdicts(spark, sf_dir), _LABELS, _LABELS[3:])
+    return found.select(F.col("unit").alias("o_custkey"), "final", "order0", "order1", "order_disagreement", "model_disagreement", "flag_reason", "flagged")
+
+
+def _said(m: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+
+
+@query(_VERDICTS + " SELECT unit, final, models, label_counts, votes, valid, flag_reason FROM w")
+def a20_verdict_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = agreement.aggregate_verdicts(order_verdicts(spark, sf_dir), _LABELS, _LABELS[3:])
+    return found.select("unit", "final", _said("model_labels").alias("models"), _said("label_counts").alias("label_counts"), "votes", "valid", "flag_reason")
+
+
+@query(_VERDICTS + """ SELECT 'final' AS kind, final AS name, count(*) AS n FROM w GROUP BY final UNION ALL SELECT 'signal', 'flagged', count(*) FROM w WHERE flag_reason <> '' HAVING count(*) > 0
+  UNION ALL SELECT 'signal', 'model_disagreement', count(*) FROM w WHERE model_disagreement HAVING count(*) > 0 UNION ALL SELECT 'signal', 'order_disagreement', count(*) FROM w WHERE order_disagreement HAVING count(*) > 0""")
+def a21_verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.verdict_summary(agreement.aggregate_verdicts(order_verdicts(spark, sf_dir), _LABELS, _LABELS[3:]))
+
+
+_VOTE_SAID = "(year(o_orderdate) % 2) || ':' || o_orderstatus || ':' || CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 10 = 1 THEN 'none' ELSE o_orderpriority END"
+
+
+@query(f"SELECT o_custkey AS unit, string_agg({_VOTE_SAID}, ',' ORDER BY {_VOTE_SAID}) AS votes FROM orders GROUP BY 1")
+def a19_vote_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.transform("votes", lambda v: F.concat(v["ordering"].cast("string"), F.lit(":"), v["provider"], F.lit(":"), F.coalesce(v["label"], v["error"], F.lit("none"))))
+    return agreement.vote_lists(order_verdicts(spark, sf_dir)).select("unit", F.array_join(F.array_sort(said), ",").alias("votes"))
 
 
 @query("""WITH i AS (SELECT DISTINCT c_mktsegment AS instance FROM customer), g AS (SELECT instance, ordering, provider, row_number() OVER (ORDER BY instance, ordering, p) - 1 AS k
@@ -250,7 +329,7 @@ def a27_model_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
   m AS (SELECT (SELECT string_agg(CASE WHEN list_contains(s, event_type) THEN '1' ELSE '0' END, '' ORDER BY rank) FROM t) AS mask FROM u) SELECT mask, count(*) AS n FROM m GROUP BY 1""")
 def a29_region_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.struct("user_id", F.to_date("ts")).alias("day"), "event_type")
-    return results.regions(e, "day", "event_type", sorted(r[0] for r in e.select("event_type").distinct().collect()))
+    return results.regions(e, "day", "event_type", sorted(results.by_count(e, "event_type")))
 
 
 @query("SELECT conv_id, arg_max(text, turn) FILTER (role = 'assistant') AS text FROM conversations GROUP BY 1")
@@ -258,35 +337,88 @@ def w4_last_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.last_where(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "assistant", "text")
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's line n, altered by rule, as a statement recorded for line n."""
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    n = F.pmod("doc_id", F.size("lines")).cast("int") + 1
-    rows = d.withColumn("n", n)
-    own = F.element_at("lines", F.col("n"))
-    after = F.get("lines", F.col("n"))
-    kind = F.pmod("doc_id", F.lit(6))
-    stmt = F.when(kind == 0, own).when(kind == 1, F.replace(own, F.lit(" "), F.lit(""))).when(kind == 2, F.concat_ws(" ", own, after)).when(kind == 3, F.coalesce(after, F.lit("none"))).when(kind == 4, F.expr("substring(element_at(lines, n), 1, 30)")).otherwise("no such words")
-    return rows.withColumn("stmt", stmt)
-
-
-@query(r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), e AS (SELECT *, (doc_id % len(lines))::int + 1 AS n FROM d),
-  s AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN lines[n] WHEN 1 THEN replace(lines[n], ' ', '') WHEN 2 THEN concat_ws(' ', lines[n], lines[n + 1]) WHEN 3 THEN coalesce(lines[n + 1], 'none') WHEN 4 THEN substring(lines[n], 1, 30) ELSE 'no such words' END AS stmt FROM e),
-  t AS (SELECT *, [trim(regexp_replace(x, '\s+', ' ', 'g')) for x in lines] AS c, [regexp_replace(x, '\s+', '', 'g') for x in lines] AS z, trim(regexp_replace(stmt, '\s+', ' ', 'g')) AS cs, regexp_replace(stmt, '\s+', '', 'g') AS zs FROM s)
-  SELECT doc_id, n, CASE WHEN c[n] = cs THEN 'match' WHEN z[n] = zs THEN 'whitespace' WHEN list_bool_or([n + k - 1 <= len(lines) AND array_to_string(z[n:n + k - 1], '') = zs for k in range(2, 26)]) THEN 'multiline'
-    WHEN replace(z[n], '"', '''') = replace(zs, '"', '''') THEN 'quote_diff' WHEN list_bool_or([d <> 0 AND n + d >= 1 AND n + d <= len(lines) AND c[n + d] = cs for d in range(-10, 11)]) THEN 'line_offset'
-    WHEN z[n] <> '' AND cs <> '' AND (contains(z[n], zs) OR contains(zs, z[n])) THEN 'paraphrase' ELSE 'mismatch' END AS status FROM t""")
+_RECORDED = """WITH d AS (SELECT doc_id, source, lang, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), e AS (SELECT *, (doc_id % len(lines))::int + 1 AS n FROM d),
+  s AS (SELECT *, 'o__' || CASE WHEN doc_id % 23 = 0 THEN 'nowhere' ELSE source END || '-' || doc_id AS instance_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS base_commit,
+    CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'd' || doc_id || '.py' END AS file, CASE WHEN doc_id % 17 = 0 THEN 'x' WHEN doc_id % 19 = 0 THEN '999999' ELSE n::varchar END AS line,
+    CASE doc_id % 9 WHEN 0 THEN '  ' || lines[n] || ' ' WHEN 1 THEN replace(lines[n], ' ', '') WHEN 2 THEN concat_ws(' ', lines[n], lines[n + 1]) WHEN 3 THEN coalesce(lines[n + 1], 'none') WHEN 4 THEN lines[n][1:30] || '...'
+      WHEN 5 THEN replace(lines[n], '"', '''') WHEN 6 THEN 'no such words' WHEN 7 THEN coalesce(CASE WHEN n > 2 THEN lines[n - 2] END, 'none') ELSE concat_ws(' ', lines[n], lines[n + 1], lines[n + 2]) END AS statements FROM e)"""
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as source files, and statements recorded for one line each: right, altered by rule, or not to be found."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py"))
+    sources = d.filter("doc_id % 29 <> 0").select(F.col("source").alias("repo"), F.col("lang").alias("commit"), path.alias("path"), "text")
+    e = d.select("doc_id", "source", "lang", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).withColumn("n", F.pmod("doc_id", F.size("lines")).cast("int") + 1)
+    own, after, second = (F.get("lines", F.col("n") + k) for k in (-1, 0, 1))
+    kind = F.pmod("doc_id", F.lit(9))
+    stmt = (
+        F.when(kind == 0, F.concat(F.lit("  "), own, F.lit(" ")))
+        .when(kind == 1, F.replace(own, F.lit(" "), F.lit("")))
+        .when(kind == 2, F.concat_ws(" ", own, after))
+        .when(kind == 3, F.coalesce(after, F.lit("none")))
+        .when(kind == 4, F.concat(F.left(own, F.lit(30)), F.lit("...")))
+        .when(kind == 5, F.replace(own, F.lit('"'), F.lit("'")))
+        .when(kind == 6, "no such words")
+        .when(kind == 7, F.coalesce(F.when(F.col("n") > 2, F.get("lines", F.col("n") - 3)), F.lit("none")))
+        .otherwise(F.concat_ws(" ", own, after, second))
+    )
+    repo = F.when(F.col("doc_id") % 23 == 0, "nowhere").otherwise(F.col("source"))
+    rows = e.select(
+        F.concat(F.lit("o__"), repo, F.lit("-"), F.col("doc_id").cast("string")).alias("instance_id"),
+        F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("lang")).alias("base_commit"),
+        F.when(F.col("doc_id") % 13 == 0, "").otherwise(path).alias("file"),
+        F.when(F.col("doc_id") % 17 == 0, "x").when(F.col("doc_id") % 19 == 0, "999999").otherwise(F.col("n").cast("string")).alias("line"),
+        stmt.alias("statements"),
+    )
+    return rows, sources
+
+
+_CHECKED = (
+    _RECORDED
+    + r""",
+  t AS (SELECT *, CASE WHEN file = '' OR line = '' THEN 'no_location' WHEN base_commit = '' THEN 'error:no_base_commit' WHEN doc_id % 23 = 0 THEN 'error:repo_missing' WHEN doc_id % 29 = 0 THEN 'error:path_or_commit_missing'
+      WHEN NOT regexp_full_match(line, '[0-9]+') THEN 'error:bad_line' WHEN line::bigint NOT BETWEEN 1 AND len(lines) THEN 'error:line_out_of_range' END AS stopped,
+    [trim(regexp_replace(x, '\s+', ' ', 'g')) for x in lines] AS c, [regexp_replace(x, '\s+', '', 'g') for x in lines] AS z, trim(regexp_replace(statements, '\s+', ' ', 'g')) AS cs, regexp_replace(statements, '\s+', '', 'g') AS zs FROM s),
+  x AS (SELECT *, regexp_replace(lines[n], '^\s+|\s+$', '', 'g') AS own, ([k for k in range(2, 26) if n + k - 1 <= len(lines) AND replace(array_to_string(z[n:n + k - 1], ''), '"', '''') = replace(zs, '"', '''')])[1] AS wrapped,
+    ([d for d in flatten([[-k, k] for k in range(1, 11)]) if n + d >= 1 AND n + d <= len(lines) AND replace(c[n + d], '"', '''') = replace(cs, '"', '''')])[1] AS moved FROM t),
+  y AS (SELECT *, coalesce(stopped, CASE WHEN own = regexp_replace(statements, '^\s+|\s+$', '', 'g') THEN 'match' WHEN c[n] = cs OR z[n] = zs THEN 'whitespace' WHEN wrapped IS NOT NULL THEN 'multiline' WHEN replace(c[n], '"', '''') = replace(cs, '"', '''') THEN 'quote_diff'
+    WHEN moved IS NOT NULL THEN 'line_offset' WHEN contains(statements, '...') THEN 'paraphrase' ELSE 'mismatch' END) AS status FROM x)"""
+)
+
+
+@query(
+    _CHECKED
+    + """ SELECT instance_id, file, line, status, CASE WHEN stopped IS NULL THEN own ELSE '' END AS repo_line, CASE status WHEN 'multiline' THEN 'spans ' || wrapped || ' lines'
+    WHEN 'line_offset' THEN 'actual line ' || (n + moved) || ' (Δ' || CASE WHEN moved > 0 THEN '+' ELSE '' END || moved || ')' WHEN 'paraphrase' THEN 'recorded statement is shorthand' ELSE '' END AS detail FROM y"""
+)
 def f12_check_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checked(spark, sf_dir).select("doc_id", "n", statements.check(F.col("lines"), F.col("n"), F.col("stmt")).alias("status"))
+    return statements.check_rows(*recorded(spark, sf_dir)).select("instance_id", "file", "line", "status", "repo_line", "detail")
 
 
-@query(r"""WITH p AS (SELECT doc_id, text, coalesce(lead(text) OVER (PARTITION BY source, lang ORDER BY doc_id), '') AS other FROM documents)
-  SELECT doc_id, CASE WHEN regexp_replace(replace(text, '"', ''''), '\s+', '', 'g') = regexp_replace(replace(other, '"', ''''), '\s+', '', 'g') THEN 'good' WHEN length(other) / greatest(1, length(text)) <= 1.5 THEN 'safe' ELSE 'unsafe' END AS bucket FROM p""")
-def f13_classify_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+@query(_CHECKED + " SELECT status, count(*) AS n FROM y GROUP BY 1")
+def a4_check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.check_rows(*recorded(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(_CHECKED + """, k AS (SELECT count(*) AS rows, count(DISTINCT instance_id) AS instances, count(*) FILTER (status IN ('match', 'whitespace', 'multiline', 'quote_diff')) AS agree,
+  count(*) FILTER (status IN ('line_offset', 'paraphrase', 'mismatch')) AS review FROM y) SELECT *, round(agree / nullif(agree + review, 0), 6) AS share_agreeing FROM k""")
+def a6_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.check_summary(statements.check_rows(*recorded(spark, sf_dir)))
+
 
-    pairs = table(spark, sf_dir, "documents").withColumn("other", F.coalesce(F.lead("text").over(Window.partitionBy("source", "lang").orderBy("doc_id")), F.lit("")))
-    return pairs.select("doc_id", statements.change(F.col("text"), F.col("other")).alias("bucket"))
+@query(r"""WITH p AS (SELECT d.doc_id, coalesce(d.text, '') AS cur, coalesce(o.text, '') AS ext FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1),
+  n AS (SELECT *, trim(regexp_replace(cur, '\s+', ' ', 'g')) AS c, trim(regexp_replace(ext, '\s+', ' ', 'g')) AS e FROM p), r AS (SELECT *, length(e) / greatest(1, length(c)) AS ratio FROM n),
+  b AS (SELECT *, CASE WHEN regexp_replace(cur, '^\s+|\s+$', '', 'g') = regexp_replace(ext, '^\s+|\s+$', '', 'g') THEN 'exact match' WHEN regexp_replace(replace(cur, '"', ''''), '\s+', '', 'g') = regexp_replace(replace(ext, '"', ''''), '\s+', '', 'g') THEN 'whitespace/quote only'
+    WHEN ratio <= 1.5 THEN 'same statement reformatted (x)' WHEN c <> '' AND contains(e, c) THEN 'sub-statement pointer, balloons x' ELSE 'differs / paraphrase (x)' END AS reason FROM r)
+  SELECT doc_id, CASE WHEN reason = 'exact match' THEN 'good' WHEN reason LIKE 'wh%' OR reason LIKE 'same%' THEN 'safe' ELSE 'unsafe' END AS bucket, reason, CASE WHEN reason LIKE '%x' OR reason LIKE '%x)' THEN round(ratio, 6) END AS ratio FROM b""")
+def f13_classify_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the one with the next id."""
+    d = table(spark, sf_dir, "documents")
+    other = d.select((F.col("doc_id") - 1).alias("_id"), F.col("text").alias("other"))
+    found = statements.change(F.coalesce("text", F.lit("")), F.coalesce("other", F.lit("")))
+    pairs = d.join(other, F.col("doc_id") == F.col("_id"), "left").select("doc_id", found.alias("c"))
+    return pairs.select("doc_id", "c.bucket", F.regexp_replace("c.reason", r"x[0-9.]+", "x").alias("reason"), F.round("c.ratio", 6).alias("ratio"))
 
 
 @query("""WITH o AS (SELECT l_orderkey AS unit, l_linenumber AS line FROM lineitem), s AS (SELECT DISTINCT l_orderkey AS unit, l_linenumber - l_linenumber % 2 AS "start", l_linenumber - l_linenumber % 2 + 2 AS "end" FROM lineitem WHERE l_quantity > 25)
@@ -299,14 +431,14 @@ def j12_span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(trim(coalesce(url, '')), '\\', '/', 'g'), '^[./]+', '') AS file, regexp_replace(regexp_replace(url, '^.*?__', ''), '-[0-9]+$', '') AS repo,
-  rtrim(replace(trim(regexp_replace(html[1:300], '\s+', ' ', 'g')), ' ', ''), ',:;') AS loose, list_extract(string_split(url, '__'), -1) AS short, lower(trim(url)) AS label, regexp_extract(url, '[^-]*$') AS number,
+  rtrim(replace(trim(regexp_replace(html, '\s+', ' ', 'g')), ' ', ''), ',:;') AS loose, list_extract(string_split(url, '__'), -1) AS short, lower(trim(url)) AS label, regexp_extract(url, '[^-]*$') AS number,
   CASE WHEN regexp_matches(regexp_extract(url, '[^/]*$'), '^[0-9]+$') THEN regexp_extract(url, '[^/]*$')::bigint END AS line FROM pages""")
 def f1_text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id",
         T.norm_file("url").alias("file"),
         T.repo_name("url").alias("repo"),
-        T.loose_stmt(F.substring("html", 1, 300)).alias("loose"),
+        T.loose_stmt("html").alias("loose"),
         T.short_id("url").alias("short"),
         T.enum("url").alias("label"),
         T.change_number("url").alias("number"),
@@ -319,27 +451,54 @@ def f1_text_normalize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.loose_stmt("html").alias("loose"))
 
 
-_CASE = {"click": "failure", "view": "skipped", "purchase": "error"}
+_CASE = """SELECT event_id, user_id, event_type, ts, CASE event_type WHEN 'click' THEN 'failure' WHEN 'view' THEN 'skipped' WHEN 'purchase' THEN 'error' END AS d,
+    CASE event_id % 6 WHEN 0 THEN concat('XFAIL: ', event_type) WHEN 1 THEN 'unexpectedly passing' WHEN 2 THEN 'Expected test failure' WHEN 3 THEN 'XPASS(strict)' WHEN 4 THEN 'for now' END AS m,
+    CASE event_id % 4 WHEN 0 THEN 'tests.test_a' WHEN 1 THEN 'tests.test_a.Case.Inner' WHEN 2 THEN '' ELSE 'other.Case' END AS c, CASE WHEN event_id % 5 <> 0 THEN 'tests/test_a.py' END AS f,
+    CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('t', user_id) END AS name FROM {events}"""
+_NODES = f"""WITH e AS ({_CASE.format(events="events")}), k AS (SELECT *, CASE WHEN d IN ('failure', 'error') THEN 'failed' WHEN d = 'skipped' THEN CASE WHEN m LIKE 'XFAIL%' OR m LIKE 'Expected%' THEN 'xfailed' WHEN m LIKE 'XPASS%' OR m LIKE 'unexp%' THEN 'passed' ELSE 'skipped' END ELSE 'passed' END AS bucket,
+    CASE WHEN f IS NULL THEN CASE WHEN c = '' THEN name ELSE c || '::' || name END WHEN c IN ('', 'tests.test_a') THEN CASE WHEN name = '' THEN f ELSE f || '::' || name END
+    WHEN c = 'tests.test_a.Case.Inner' THEN f || '::Case.Inner::' || name ELSE c || '::' || name END AS node FROM e)"""
+
+
+def event_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as test cases: (event_id, user_id, run: the day, pos, bucket, node)."""
+    e = spark.sql(_CASE, events=table(spark, sf_dir, "events"))
+    return e.select("event_id", "user_id", F.to_date("ts").alias("run"), F.col("event_id").alias("pos"), results.categorize(F.col("d"), F.col("m")).alias("bucket"), results.node_id(F.col("c"), F.col("f"), F.col("name")).alias("node"))
 
 
-@query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'failure' WHEN 'view' THEN 'skipped' WHEN 'purchase' THEN 'error' END AS d, CASE event_id % 3 WHEN 0 THEN 'XFAIL: ' || event_type WHEN 1 THEN 'unexpectedly passing' END AS m,
-    CASE event_id % 4 WHEN 0 THEN 'tests.test_a' WHEN 1 THEN 'tests.test_a.Case' WHEN 2 THEN '' ELSE 'other.Case' END AS c, CASE WHEN event_id % 5 <> 0 THEN 'tests/test_a.py' END AS f, 't' || user_id AS name FROM events)
-  SELECT event_id, CASE WHEN d IN ('failure', 'error') THEN 'failed' WHEN d = 'skipped' THEN CASE WHEN m LIKE 'XFAIL%' THEN 'xfailed' WHEN m IS NOT NULL THEN 'passed' ELSE 'skipped' END ELSE 'passed' END AS bucket,
-    CASE WHEN f IS NULL THEN concat_ws('::', nullif(c, ''), name) WHEN c = '' OR c = 'tests.test_a' THEN f || '::' || name WHEN c = 'tests.test_a.Case' THEN f || '::Case::' || name ELSE f || '::other::Case::' || name END AS node FROM e""")
+@query(_NODES + " SELECT event_id, bucket, node FROM k")
 def f14_test_categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    decisive = F.expr("CASE " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in _CASE.items()) + " END")
-    message = F.expr("CASE event_id % 3 WHEN 0 THEN 'XFAIL: ' || event_type WHEN 1 THEN 'unexpectedly passing' END")
-    cls = F.expr("CASE event_id % 4 WHEN 0 THEN 'tests.test_a' WHEN 1 THEN 'tests.test_a.Case' WHEN 2 THEN '' ELSE 'other.Case' END")
-    file = F.expr("CASE WHEN event_id % 5 <> 0 THEN 'tests/test_a.py' END")
-    return e.select("event_id", results.categorize(decisive, message).alias("bucket"), results.node_id(cls, file, F.expr("'t' || user_id")).alias("node"))
+    return event_cases(spark, sf_dir).select("event_id", "bucket", "node")
+
+
+_IN = "sha256(coalesce(string_agg(node, ',' ORDER BY event_id) FILTER (bucket = '{0}'), '')) AS {0}"
+
+
+@query(_NODES + " SELECT ts::date AS run, " + ", ".join(_IN.format(b) for b in results.BUCKETS) + " FROM k GROUP BY 1")
+def a31_test_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.test_buckets(event_cases(spark, sf_dir)).select("run", *[F.sha2(F.array_join(b, ","), 256).alias(b) for b in results.BUCKETS])
+
+
+@query(_NODES + " SELECT node, string_agg(DISTINCT bucket, ',' ORDER BY bucket) AS buckets FROM k GROUP BY 1 HAVING count(DISTINCT bucket) > 1")
+def x6_flaky_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.flaky(event_cases(spark, sf_dir)).select("node", F.array_join("buckets", ",").alias("buckets"))
 
 
-@query("""WITH e AS (SELECT event_type, user_id, day(ts) AS d FROM events), b AS (SELECT event_type, user_id, count(*) FILTER (d = 1) AS x, count(*) FILTER (d = 2) AS y FROM e GROUP BY 1, 2)
-  SELECT event_type, user_id, greatest(x - y, 0) AS only_a, greatest(y - x, 0) AS only_b FROM b WHERE x <> y""")
+def _day_pairs(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events of every day's base, the day before it in the table, and those of the day itself, with `run`: the day."""
+    days = sorted(results.by_count(events.filter("day IS NOT NULL"), "day"))
+    runs = F.broadcast(spark.createDataFrame(list(zip(days[1:], days)), "run date, base date"))
+    base, run = (events.join(runs, F.col("day") == F.col(c)) for c in ("base", "run"))
+    return base, run
+
+
+@query("""WITH e AS (SELECT ts::date AS day, event_type, user_id FROM events), p AS (SELECT day, lag(day) OVER (ORDER BY day) AS base FROM (SELECT DISTINCT day FROM e)),
+  r AS (SELECT p.day AS run, event_type, user_id, 1 AS x, 0 AS y FROM e JOIN p ON e.day = base UNION ALL SELECT p.day, event_type, user_id, 0, 1 FROM e JOIN p ON e.day = p.day WHERE base IS NOT NULL)
+  SELECT run, event_type, user_id, greatest(sum(x) - sum(y), 0)::bigint AS only_a, greatest(sum(y) - sum(x), 0)::bigint AS only_b FROM r GROUP BY 1, 2, 3 HAVING sum(x) <> sum(y)""")
 def x6_run_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("d", F.dayofmonth("ts"))
-    return results.run_difference(e.filter("d = 1"), e.filter("d = 2"), ["event_type", "user_id"])
+    """Every day's run against the one before, whatever the order."""
+    a, b = _day_pairs(spark, table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")))
+    return results.run_difference(a, b, ["run", "event_type", "user_id"])
 
 
 @query("""WITH e AS (SELECT ts::date AS day, event_type, user_id, row_number() OVER (PARTITION BY ts::date, event_type ORDER BY ts, event_id) AS pos FROM events),
@@ -348,14 +507,9 @@ def x6_run_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT run, event_type, pos, user_id, greatest(sum(x) - sum(y), 0)::bigint AS only_a, greatest(sum(y) - sum(x), 0)::bigint AS only_b FROM r GROUP BY 1, 2, 3, 4 HAVING sum(x) <> sum(y)""")
 def x6_run_equality_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day's run against the one before, by bucket, position in it and node."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     e = e.withColumn("pos", F.row_number().over(Window.partitionBy("day", "event_type").orderBy("ts", "event_id")))
-    days = sorted(r[0] for r in e.filter("day IS NOT NULL").select("day").distinct().collect())
-    runs = F.broadcast(spark.createDataFrame(list(zip(days[1:], days)), "run date, base date"))
-    a, b = (e.join(runs, F.col("day") == F.col(c)) for c in ("base", "run"))
-    return results.run_difference(a, b, ["run", "event_type", "pos", "user_id"])
+    return results.run_difference(*_day_pairs(spark, e), ["run", "event_type", "pos", "user_id"])
 
 
 @query("""SELECT doc_id, coalesce(quality::varchar, '') AS quality, coalesce(t.tag, '') AS tag FROM documents LEFT JOIN labels USING (doc_id)
@@ -368,9 +522,8 @@ def p2_explode_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY 1""")
 def a32_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    first, last = (results.first_row(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], last=x).select("o_custkey", F.col("o_orderkey").alias(n)) for x, n in ((False, "first_order"), (True, "last_order")))
-    return first.join(last, "o_custkey")
+    order = F.struct("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(order)["o_orderkey"].alias("first_order"), F.max(order)["o_orderkey"].alias("last_order"))
 
 
 @query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS n FROM pages""")
@@ -387,13 +540,14 @@ def p8_error_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", reason.alias("reason"))
 
 
-@query("""WITH r AS (SELECT source AS model, lang AS instance, max((quality = 1)::int) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id) WHERE source IN ('src0', 'src3') GROUP BY 1, 2)
-  SELECT lang AS instance, coalesce(max(CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' END) FILTER (model = 'src0'), 'missing') AS src0, coalesce(max(CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' END) FILTER (model = 'src3'), 'missing') AS src3
-  FROM (SELECT DISTINCT lang FROM documents) LEFT JOIN r ON instance = lang GROUP BY 1""")
+@query("""WITH r AS (SELECT source AS model, lang AS instance, max((quality = 1)::int) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
+  f AS (SELECT i.lang AS instance, m.source AS model, CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' ELSE 'missing' END AS v FROM (SELECT DISTINCT lang FROM documents) i CROSS JOIN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) m LEFT JOIN r ON r.instance = i.lang AND r.model = m.source)
+  SELECT * FROM (PIVOT f ON model USING max(v) GROUP BY instance)""")
 def k10_result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix with a column for every model of the table."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    ok = d.filter("source IN ('src0', 'src3')").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("source").alias("model"), F.col("lang").alias("instance"), (F.col("quality") == 1).alias("resolved"))
-    return results.result_matrix(ok, d.select(F.col("lang").alias("instance")), ["src0", "src3"])
+    ok = d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("source").alias("model"), F.col("lang").alias("instance"), (F.col("quality") == 1).alias("resolved"))
+    return results.result_matrix(ok, d.select(F.col("lang").alias("instance")), results.by_count(d.filter("source IS NOT NULL"), "source"))
 
 
 @query("""WITH r AS (SELECT source AS model, lang AS instance, max((quality = 1)::int) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2)
@@ -405,3 +559,6 @@ def k10_result_matrix_all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("source").alias("model"), F.col("lang").alias("instance"), (F.col("quality") == 1).alias("resolved"))
     models = results.by_count(d.filter("source IS NOT NULL"), "source")
     return results.result_matrix(ok, d.select(F.col("lang").alias("instance")), models).unpivot("instance", [F.col(f"`{m}`") for m in models], "model", "resolved")
+
+
+from accordant.plans import more  # noqa: E402, F401  (registers its queries)

@@ -6,55 +6,89 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(instance_id, doc VARIANT) of every *.json file; the id falls back to the file's name.  Files that aren't JSON have a null doc."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select("value", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("stem"))
+    """(instance_id, stem, doc VARIANT) of every *.json file, by stem; the id falls back to the stem, the file's name.  Files that
+    aren't JSON have a null doc; a missing folder has no documents."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], "instance_id string, stem string").withColumn("doc", F.try_parse_json(F.lit(None).cast("string")))
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("stem"))
     doc = raw.select("stem", F.try_parse_json("value").alias("doc"))
-    return doc.select(F.coalesce(F.nullif(F.try_variant_get("doc", "$.instance_id", "string"), F.lit("")), "stem").alias("instance_id"), "doc")
+    return doc.select(F.coalesce(F.nullif(F.try_variant_get("doc", "$.instance_id", "string"), F.lit("")), "stem").alias("instance_id"), "stem", "doc").orderBy("stem")
 
 
 def locations(documents: DataFrame, field: str = "root_cause") -> DataFrame:
     """(instance_id, idx, file, line, stmt) of a document's locations; entries that aren't objects are passed over."""
-    documents.createOrReplaceTempView("_accordant_documents")
-    found = documents.sparkSession.sql(
-        f"SELECT instance_id, pos AS idx, value FROM _accordant_documents, LATERAL variant_explode(variant_get(doc, '$.{field}', 'variant'))"
-    ).filter("schema_of_variant(value) LIKE 'OBJECT%'")
+    entries = F.try_variant_get("doc", f"$.{field}", "array<variant>")
+    found = documents.select("instance_id", F.posexplode(entries).alias("idx", "value")).filter("schema_of_variant(value) LIKE 'OBJECT%'")
     text = lambda k: F.coalesce(F.try_variant_get("value", f"$.{k}", "string"), F.lit(""))
     return found.select("instance_id", "idx", text("file").alias("file"), F.try_variant_get("value", "$.line", "bigint").alias("line"), text("statement").alias("stmt"))
 
 
+def reasoning(documents: DataFrame) -> DataFrame:
+    """(instance_id, reasoning) with '' for a missing one."""
+    return documents.select("instance_id", F.coalesce(F.try_variant_get("doc", "$.reasoning", "string"), F.lit("")).alias("reasoning"))
+
+
 def csv_table(spark: SparkSession, path: str) -> DataFrame:
     """All-string CSV with a header; quoted line ends and a byte-order mark are fine."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ids: the last word of each line, and of that what follows the last double underscore."""
+    """Distinct ids, sorted: the last word of each line, and of that what follows the last double underscore."""
     word = F.element_at(F.split(F.trim("value"), r"\s+"), -1)
-    return spark.read.text(path).filter(F.trim("value") != "").select(F.element_at(F.split(word, "__"), -1).alias("instance")).distinct()
+    return spark.read.text(path).filter(F.trim("value") != "").select(F.element_at(F.split(word, "__"), -1).alias("instance")).distinct().orderBy("instance")
+
+
+def plain_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The trimmed lines as ids, as often as they stand."""
+    return spark.read.text(path).select(F.trim("value").alias("instance")).filter("instance <> ''")
 
 
 def junit_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(classname, name, file, decisive, message) of a JUnit report's test cases."""
-    child = "struct<_message:string, _VALUE:string>"
-    schema = f"_classname string, _name string, _file string, failure {child}, error {child}, skipped {child}"
-    rows = spark.read.format("xml").option("rowTag", "testcase").schema(schema).load(path)
-    decisive = F.when(F.col("failure").isNotNull(), "failure").when(F.col("error").isNotNull(), "error").when(F.col("skipped").isNotNull(), "skipped")
-    return rows.select(F.col("_classname").alias("classname"), F.col("_name").alias("name"), F.col("_file").alias("file"), decisive.alias("decisive"), F.col("skipped._message").alias("message"))
+    """(file_path, pos, classname, name, file, decisive, message) of JUnit reports' test cases, in document order.
+
+    decisive: the first child that is a failure, an error or skipped, message: that child's.  Each test case is parsed by
+    Spark's XML reader as text, children in order.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    plain = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
+    case = raw.select("file_path", F.posexplode(F.regexp_extract_all(plain, F.lit(r"(?s)(<testcase\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?</testcase>))"), 1)).alias("pos", "x"))
+    head = F.from_xml(F.regexp_replace(F.regexp_extract("x", r"(?s)^(<testcase\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>", 1), "$", "/>"), "struct<_classname: string, _name: string, _file: string>", {"rowTag": "testcase"})
+    child = F.regexp_extract("x", r"(?s)^<testcase\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?>.*?(<(?:failure|error|skipped)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>", 1)
+    tag = F.regexp_extract(child, "^<([a-z]+)", 1)
+    message = F.from_xml(F.concat(F.lit("<c"), F.regexp_replace(child, "^<[a-z]+", ""), F.lit("/>")), "struct<_message: string>", {"rowTag": "c"})["_message"]
+    return case.select(
+        "file_path", "pos", head["_classname"].alias("classname"), head["_name"].alias("name"), head["_file"].alias("file"), F.nullif(tag, F.lit("")).alias("decisive"), F.when(tag != "", message).alias("message")
+    )
+
+
+def exit_messages(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, role, exit_status) of the messages of every *.traj.json below the path; of several files of a folder the first by path."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.traj.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    first = raw.groupBy(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).agg(F.min_by(F.struct("file", "value"), "file").alias("x"))
+    messages = F.from_json("x.value", "struct<messages: array<struct<role: string, extra: struct<exit_status: string>>>>")["messages"]
+    return first.select(F.col("x.file").alias("file"), F.posexplode(messages).alias("pos", "m")).select("file", "pos", "m.role", F.col("m.extra.exit_status").alias("exit_status"))
 
 
 def run_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(instance, resolved) of every report.json below the path: of several for an instance the first by path; of a
-    report the first entry; resolved is false where it isn't given."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "report.json").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """(model, instance, resolved) of every <model>/<instance>/logs/run_evaluation/**/report.json below the path: of several for an
+    instance the first by path; of a report the first entry; resolved is false where it isn't given."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "report.json").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     entry = F.map_values(F.from_json("value", "map<string, struct<resolved: boolean>>"))
-    rows = raw.select(F.element_at(F.split("file", "/"), -2).alias("instance"), "file", F.coalesce(F.get(entry, 0)["resolved"], F.lit(False)).alias("resolved"))
-    return rows.groupBy("instance").agg(F.min_by("resolved", "file").alias("resolved"))
+    part = lambda k: F.regexp_extract("file", "([^/]+)/([^/]+)/logs/run_evaluation/", k)
+    rows = raw.select(part(1).alias("model"), part(2).alias("instance"), "file", F.coalesce(F.get(entry, 0)["resolved"], F.lit(False)).alias("resolved")).filter("instance <> ''")
+    return rows.groupBy("model", "instance").agg(F.min_by("resolved", "file").alias("resolved"))
 
 
 def exit_statuses(spark: SparkSession, path: str) -> DataFrame:
     """(status, instance) of exit-status files: a name with a colon, then its instances as list items."""
-    lines = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "exit_statuses*.yaml").text(path)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "exit_statuses*.yaml").text(path, wholetext=True)
     blocks = lines.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^  (\S+:(?:\n\s+- .+)+)"), 1)).alias("b"))
     return blocks.select(F.regexp_extract("b", r"^(\S+):", 1).alias("status"), F.explode(F.regexp_extract_all("b", F.lit(r"- ['\"]?([^'\"\n]+)"), 1)).alias("instance"))
 

@@ -40,6 +40,6 @@ def test_readers(spark, tmp_path):
     junit = tmp_path / "r.xml"
     junit.write_text('<testsuite><testcase classname="m.T" name="a" file="m.py"/><testcase classname="m" name="b" file="m.py"><failure message="no"/></testcase><testcase name="c"><skipped message="xfail"/></testcase></testsuite>')
     rows = {r["name"]: (r["decisive"], r["message"]) for r in readers.junit_cases(spark, str(junit)).collect()}
-    assert rows == {"a": (None, None), "b": ("failure", None), "c": ("skipped", "xfail")}
+    assert rows == {"a": (None, None), "b": ("failure", "no"), "c": ("skipped", "xfail")}
     (tmp_path / "ids.txt").write_text("1 django__django-11\n\n2 a__b-3\n2 a__b-3\n")
     assert sorted(r[0] for r in readers.id_list(spark, str(tmp_path / "ids.txt")).collect()) == ["b-3", "django-11"]
