@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes: which documents are linked, and their components.
 
-Documents with the same shingle set form one class, named by two 64-bit digests of the set and its size; the join
-works on one representative of each class.
+Documents with the same shingle set form one class, named by 96 bits of digest of the set and its size; the join works
+on one representative of each class.
 
 1. A pass over the texts gives each document's set size and digest, and each task's frequent shingles.  The
    frequent shingles (at most FREQUENT, by count) only order the sets: they come last.  Any order gives the
@@ -19,7 +19,7 @@ works on one representative of each class.
 4. The links found (a forest of each task's) are joined to components.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.  A text of fewer words than k is one shingle; a text without
-words (or null) has no shingle and is linked with nothing.  Shingles are compared by 64-bit hashes, classes by 128
+words (or null) has no shingle and is linked with nothing.  Shingles are compared by 64-bit hashes, classes by 96
 bits.  Repeated rows are one class and get a row each.  A null id sorts last and names a component only if all its
 ids are null.  Only ids and texts are read, and `keep_one` hands other columns on whatever their names; an empty
 table gives an empty result.
@@ -43,7 +43,7 @@ FREQUENT, TOLD_FROM = 200_000, 4
 #: Groups in a band of a list whose pairs are made one by one.
 SHORT_LIST = 64
 #: Shingles that one verifying task holds, about.
-UNIT_SHINGLES = 1_000_000
+UNIT_SHINGLES = 2_000_000
 
 
 def _sets(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -61,10 +61,11 @@ def _sets(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def _digest(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set."""
+    """A 64-bit and another 32-bit digest of each set."""
     sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x51ED270B, 0xA24BAED4)]
     size = np.diff(first).astype(np.uint64)
-    return tuple(mix((s[first[1:]] - s[first[:-1]]) ^ (size * np.uint64(0x9E3779B97F4A7C15))).view(np.int64) for s in sums)
+    one, two = (mix((s[first[1:]] - s[first[:-1]]) ^ (size * np.uint64(0x9E3779B97F4A7C15))) for s in sums)
+    return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _described(k: int):
@@ -84,13 +85,13 @@ def _described(k: int):
                     del told[s]
 
         for b in batches:
-            size, one, two = (np.zeros(b.num_rows, np.int64) for _ in range(3))
+            size, one, two = (np.zeros(b.num_rows, t) for t in (np.int64, np.int64, np.int32))
             for lo, hi, h, first in _sets(b.column(3), k):
                 size[lo:hi] = np.diff(first)
                 one[lo:hi], two[lo:hi] = _digest(h, first)
                 held.append(h)
                 n_held += len(h)
-                if n_held > 2_000_000:
+                if n_held > 4_000_000:
                     count(held)
                     held, n_held = [], 0
             none = pa.nulls(b.num_rows, pa.int64())
@@ -99,9 +100,9 @@ def _described(k: int):
         if held:
             count(held)
         if told:
-            none = pa.nulls(len(told), pa.int64())
+            none, no_check = pa.nulls(len(told), pa.int64()), pa.nulls(len(told), pa.int32())
             s, c = np.array(list(told), np.uint64).view(np.int64), np.array(list(told.values()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(told), kind), none, none, none, none, none, pa.array(s), pa.array(c)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(told), kind), none, none, none, none, no_check, pa.array(s), pa.array(c)], names)
 
     return run
 
@@ -251,13 +252,13 @@ def _grouped(documents: DataFrame, k: int, percent: int, id_col: str, text_col:
     bounded_batches(spark)
     docs = documents.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["_id"].dataType.simpleString()
-    both = docs.mapInArrow(_described(k), f"_id {kind}, _h long, _g long, size long, class long, check long, shingle long, count long")
+    both = docs.mapInArrow(_described(k), f"_id {kind}, _h long, _g long, size long, class long, check int, shingle long, count long")
     both = materialise(both.withColumn("row", F.monotonically_increasing_id()), "described")
     described = both.filter("size IS NOT NULL").drop("shingle", "count")
     frequent = both.filter("size IS NULL").groupBy("shingle").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "shingle").limit(FREQUENT).toPandas()
     order = share(spark, _Order(frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64)))
 
-    entries = docs.select("text").mapInArrow(_prefixed(k, percent, order), "shingle long, grp long, at long, size long, class long, check long")
+    entries = docs.select("text").mapInArrow(_prefixed(k, percent, order), "shingle long, grp long, at long, size long, class long, check int")
     # A list of one entry is of no further use; tasks may have met the same class, so entries count once.
     listed = Window.partitionBy("shingle")
     several = entries.withColumn("n", F.count("*").over(listed)).filter("n > 1").drop("n").distinct()
@@ -295,8 +296,8 @@ def _grouped(documents: DataFrame, k: int, percent: int, id_col: str, text_col:
     # Texts stay where they are: a bitmap picks one row of each class in the scan, and what it lets through besides
     # goes in the join with the members.
     marks = share(spark, bitmap(member.select("h")))
-    sets = docs.select("text", "_h").mapInArrow(_whole(k, marks), "class long, check long, size long, shingles binary")
-    sets = sets.join(member.select("class", "check", "family", "node"), ["class", "check"]).dropDuplicates(["node"])
+    sets = docs.select("text", "_h").mapInArrow(_whole(k, marks), "class long, check int, size long, shingles binary")
+    sets = sets.join(member.select("class", "check", "family", "node"), ["class", "check"]).dropDuplicates(["class", "check"])
     sets = materialise(sets.select("node", "family", "size", "shingles"), "sets")
 
     # Blocks: a band of set sizes (sizes two bands apart can't link), cut by hash where a band is large.
