@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, quality, toxicity, url_filter
+from . import bpe, chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, quality, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -117,6 +117,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "_metadata.file_name", "_metadata.row_index")
+    placed = sharding.shuffled(documents, 40, row_id=["file_name", "row_index"])
+    return placed.select(
+        "doc_id",
+        sharding.weight().alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -164,5 +178,6 @@ def queries() -> dict:
         op8_toxicity,
         op9_bpe_coding,
         op10_exact_dedup,
+        op13_external_shuffle,
     ]
     return {f.__name__: f for f in found}
