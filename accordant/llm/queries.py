@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, quality, sharding, toxicity, url_filter
+from . import bpe, chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, quality, search, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -117,6 +117,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n = search.build(table(spark, sf_dir, "documents"))
+    found = search.search(index, n, table(spark, sf_dir, "benchmark"), k=50)
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op13_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "_metadata.file_name", "_metadata.row_index")
     placed = sharding.shuffled(documents, 40, row_id=["file_name", "row_index"])
@@ -132,6 +138,7 @@ def op13_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
@@ -163,6 +170,18 @@ ORACLE = {
         best AS (SELECT text_sha256, count(*) AS group_size, arg_min(r, (-n, doc_id IS NULL, doc_id, r)) AS keep FROM d GROUP BY 1)
         SELECT d.doc_id, k.doc_id AS keep_id, group_size, d.r = keep AS kept, text_sha256
         FROM d JOIN best USING (text_sha256) JOIN d k ON k.r = keep""".replace("JOIN d k ON k.r = keep", "JOIN (SELECT r, doc_id FROM d) k ON k.r = keep"),
+    "op12_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS w FROM documents),
+        c AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+        tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), c),
+        m AS (SELECT r, doc_id, 100 - 50 + (50 * len(w) * n) // l AS m FROM d, c WHERE len(w) > 0),
+        b AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')) AS w FROM benchmark),
+        asked AS (SELECT i, item_id, unnest(w) AS term FROM b),
+        scores AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }
 
 
@@ -178,6 +197,7 @@ def queries() -> dict:
         op8_toxicity,
         op9_bpe_coding,
         op10_exact_dedup,
+        op12_lexical_search,
         op13_external_shuffle,
     ]
     return {f.__name__: f for f in found}
