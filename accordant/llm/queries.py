@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, quality, search, sharding, toxicity, url_filter
+from . import align, bpe, chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, quality, search, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -117,6 +117,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, n = search.build(table(spark, sf_dir, "documents"))
     found = search.search(index, n, table(spark, sf_dir, "benchmark"), k=50)
@@ -197,6 +202,7 @@ def queries() -> dict:
         op8_toxicity,
         op9_bpe_coding,
         op10_exact_dedup,
+        op11_token_alignment,
         op12_lexical_search,
         op13_external_shuffle,
     ]
