@@ -25,8 +25,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _said(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+
+
 def _joined(spans: Column) -> Column:
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    return F.concat_ws(",", _said(spans))
 
 
 def _number(kind: str) -> Column:
@@ -40,7 +44,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *[_number(kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        F.when(F.size("base") > 0, F.concat_ws(",", _joined(F.col("base")), F.when(F.size("terms") > 0, _joined(by_kind)))).otherwise("").alias("spans"),
+        F.concat_ws(",", F.concat(_said(F.col("base")), _said(by_kind))).alias("spans"),
         _joined(F.col("terms")).alias("term_spans"),
     )
 
