@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +32,10 @@ _ESCAPE = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c"}
 _UNESCAPE = {"\\": "\\", "h": "#", "l": "<", "c": ":"}
 
 
-@lru_cache(maxsize=1024)
+#: Characters of rendered turns that a worker keeps, at most: successive prefixes render the same turns.
+KEPT_CHARS = 16 << 20
+
+
 def escape(text: str) -> str:
     """A text in which no control string of the template can stand."""
     return re.sub(r"[\\#<:]", lambda m: _ESCAPE[m[0]], text)
@@ -43,9 +45,25 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\\hlc])", lambda m: _UNESCAPE[m[1]], text)
 
 
+_turns: dict[tuple[str, str], str] = {}
+_kept = 0
+
+
+def _turn(role: str, text: str) -> str:
+    """A rendered turn, kept for the prefixes to come; once KEPT_CHARS are held all are given up."""
+    global _kept
+    piece = f"### {escape(role)}: {escape(text)}</turn>\n"
+    if _kept > KEPT_CHARS:
+        _turns.clear()
+        _kept = 0
+    _turns[role, text] = piece
+    _kept += len(piece)
+    return piece
+
+
 def default_template(turns: list[dict]) -> str:
     """### role: text</turn> for each turn, with control strings in roles and texts escaped."""
-    return "".join(f"### {escape(t['role'])}: {escape(t['text'])}</turn>\n" for t in turns)
+    return "".join([_turns.get((t["role"], t["text"])) or _turn(t["role"], t["text"]) for t in turns])
 
 
 _TURN = re.compile(r"### ([^:]*): ([^<]*)</turn>\n")

@@ -58,11 +58,21 @@ def test_a_late_rewrite_is_seen_in_spark(spark):
 
 
 def test_long_conversations_take_little_time():
+    at = time.time()
+    found = chat_format.spans(turns_of(5000), chat_format.default_template)
+    assert not found["rewrites"] and [s["end"] for s in found["spans"]][-1] == len(found["output"])
+    assert time.time() - at < 60
     at = time.time()
     assert not chat_format.spans(turns_of(600), chat_format.default_template)["rewrites"]
     assert time.time() - at < 20
 
 
+def test_turns_that_are_no_longer_kept_are_rendered_again(monkeypatch):
+    monkeypatch.setattr(chat_format, "KEPT_CHARS", 100)
+    turns = turns_of(60)
+    assert chat_format.read_back(chat_format.spans(turns, chat_format.default_template)["output"]) == turns
+
+
 def test_nulls_ties_clashes_and_empty_tables(spark):
     rows = [(1, 0, "user", "a", 9), (1, 1, None, None, 9), (1, None, "assistant", "first", 9), (None, 0, "user", "x", 9), (None, 0, "user", "x", 9), (2, 0, "assistant", "", 9), (3, 5, "assistant", "y" * 100_000, 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, output int")
