@@ -133,7 +133,8 @@ def rated_sample(documents: DataFrame, labels: DataFrame, grade: Column, most: i
     rate = min(1.0, most / max(1, total))
     chosen = given.filter(F.pmod(F.xxhash64(F.lit("rated"), "_id"), F.lit(1_000_000)) < int(1_000_000 * rate))
     chosen = F.broadcast(chosen.limit(2 * most))  # bounded by the sample's size, so the texts need no shuffle
-    found = documents.filter(F.char_length(text_col) <= most_chars).join(chosen, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "_grade")
+    own = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).filter(F.char_length("text") <= most_chars)
+    found = own.join(chosen, F.col("_doc") == F.col("_id")).select("text", "_grade")
     rows = found.orderBy(F.xxhash64("text"), "text").limit(2 * most).toArrow()
     return rows["text"].to_pylist(), rows["_grade"].to_pylist()
 

@@ -253,7 +253,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, usable: Column, mos
     chosen = given.filter(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1_000_000)) < 1_000_000 * F.coalesce(*part))
     most_rows = 2 * (most_toxic + most_ordinary)
     chosen = F.broadcast(chosen.limit(most_rows))  # bounded by the sample's size, so the texts need no shuffle
-    found = documents.filter(F.char_length(text_col) <= most_chars).join(chosen, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "_label")
+    own = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).filter(F.char_length("text") <= most_chars)
+    found = own.join(chosen, F.col("_doc") == F.col("_id")).select("text", "_label")
     rows = found.orderBy(F.xxhash64("text"), "text").limit(most_rows).toArrow()
     return rows["text"].to_pylist(), rows["_label"].to_pylist(), counts.get(1, 0) / sum(counts.get(k, 0) for k in most)
 
