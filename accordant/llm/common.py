@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import numpy as np
@@ -24,8 +26,37 @@ BATCH_BYTES = 4 << 20
 #: 64-bit words of the bitmap that tells which rows may be dropped: a broadcast of at most so many rows.
 MAP_WORDS = 1 << 17
 
-_written: list[str] = []
-_shared: list[Any] = []
+
+class Scratch:
+    """What operators share and write on behalf of one run."""
+
+    def __init__(self):
+        self.written: list[str] = []
+        self.shared: list[Any] = []
+
+
+_run: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Gives up at its end what operators called inside have shared and written, and nothing else.
+
+    For callers that write their own result inside: results of these operators that are not written by then can't be
+    computed any more.  Results made outside of it keep what they need.
+    """
+    own = Scratch()
+    before = _run.set(own)
+    try:
+        yield own
+    finally:
+        _run.reset(before)
+        for held in own.shared:
+            held.destroy()
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in own.written:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,31 +89,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/accordant-{uuid.uuid4().hex}"
-    _written.append(folder)
+    if run := _run.get():
+        run.written.append(folder)
     df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def share(spark: SparkSession, value: Any):
-    """A broadcast that `release` gives up again."""
+    """A broadcast; inside `scratch`, until its end."""
     held = spark.sparkContext.broadcast(value)
-    _shared.append(held)
+    if run := _run.get():
+        run.shared.append(held)
     return held
 
 
-def release(spark: SparkSession) -> None:
-    """Give up what operators have shared and written so far: for callers that have written their own result.
-
-    Results that are not written yet can't be computed any more afterwards.
-    """
-    while _shared:
-        _shared.pop().destroy()
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """(_id, _h, _g): a row by its id and 128 bits of hash of its text; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))

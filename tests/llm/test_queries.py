@@ -86,7 +86,8 @@ def test_personal_data(spark, tables):
         r = found[d["doc_id"]]
         assert r["base_sha256"] == sha(said)
         assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(b[0] == k for b in base) for k in ("email", "ip", "card", "phone")]
-        assert set(said.split(",")) <= set(r["spans"].split(","))
+        terms = sorted((k, int(s), int(e)) for k, s, e in (x.split(":") for x in filter(None, r["term_spans"].split(","))))
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for k, s, e in [*base, *terms])
 
 
 def test_chats_read_back(spark, tables):
