@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant.llm import bpe, decontam, exact_dedup, ngram_join, quality
-from accordant.llm.common import release, shared_folder, table
+from accordant.llm.common import scratch, shared_folder, table
 from accordant.llm.queries import grade, tokenizer_file
 
 #: SQL can't express the trained classifier, so the pipeline is tested against a brute-force version.
@@ -53,12 +53,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet to the shared folder and read again.
 
-    What a stage shared and wrote on its way is given up once its result is written.
+    What a stage shared and wrote on its way is given up once its result is written; other callers' results stay.
     """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        release(spark)
     return docs
