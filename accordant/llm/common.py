@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from accordant.scratch import materialise, scratch, share, shared_folder  # noqa: F401
+
 #: Most edges that one task joins up in memory (16 bytes each).
 EDGES_PER_TASK = 1_000_000
 #: A key that this share of all rows or more have is matched by a broadcast: there can be at most so many such keys.
@@ -27,56 +24,10 @@ BATCH_BYTES = 4 << 20
 MAP_WORDS = 1 << 17
 
 
-class Scratch:
-    """What operators share and write on behalf of one run."""
-
-    def __init__(self):
-        self.written: list[str] = []
-        self.shared: list[Any] = []
-
-
-_run: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Scratch]:
-    """Gives up at its end what operators called inside have shared and written, and nothing else.
-
-    For callers that write their own result inside: results of these operators that are not written by then can't be
-    computed any more.  Results made outside of it keep what they need.
-    """
-    own = Scratch()
-    before = _run.set(own)
-    try:
-        yield own
-    finally:
-        _run.reset(before)
-        for held in own.shared:
-            held.destroy()
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for folder in own.written:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Where that is unset, a session on this machine alone (tests) gets a new local folder; a cluster has no such way out.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="accordant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Sets the session's bytes of an Arrow batch to BATCH_BYTES, unless it is set to less."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -85,24 +36,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/accordant-{uuid.uuid4().hex}"
-    if run := _run.get():
-        run.written.append(folder)
-    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
-def share(spark: SparkSession, value: Any):
-    """A broadcast; inside `scratch`, until its end."""
-    held = spark.sparkContext.broadcast(value)
-    if run := _run.get():
-        run.shared.append(held)
-    return held
-
-
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """(_id, _h, _g): a row by its id and 128 bits of hash of its text; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
