@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.functions import text as T
+from accordant.operators.numbering import numbered
 
 
 def result_matrix(results: DataFrame, instances: DataFrame, models: list[str]) -> DataFrame:
@@ -138,6 +139,21 @@ def run_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return n.select(*keys, F.greatest(F.col("x") - F.col("y"), F.lit(0)).alias("only_a"), F.greatest(F.col("y") - F.col("x"), F.lit(0)).alias("only_b"))
 
 
+def consecutive(events: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of each run's base, the run before it in the table, and those of the run itself, both with `run` and `base`; for
+    any number of runs.  The first run, which has no base, and rows without a run are left out."""
+    at = numbered(events.select(F.col(run).alias("run")).filter("run IS NOT NULL").distinct(), ["run"])
+    pairs = at.join(at.select(F.col("run").alias("base"), (F.col("at") + 1).alias("at")), "at").select("run", "base")
+    own = events.select(*[c for c in events.columns if c not in ("run", "base")], F.col(run).alias("_run"))
+    return tuple(own.join(pairs, F.col("_run") == F.col(c)).drop("_run") for c in ("base", "run"))
+
+
+def as_text(wide: DataFrame, row: str) -> DataFrame:
+    """(row, cells): the other columns of a wide table as `name=cell`, comma-joined in the columns' order."""
+    cells = [F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("string")) for c in wide.columns if c != row]
+    return wide.select(row, F.concat_ws(",", *cells).alias("cells"))
+
+
 def sample_rank(key: Column, seed: int) -> Column:
     """A number that orders whole-number keys at random, the same in any engine: a multiplicative hash modulo 2**31 - 1."""
     return F.pmod((F.pmod(key, F.lit(2147483647)) + seed) * F.lit(48271), F.lit(2147483647))
@@ -152,12 +168,12 @@ def validation_sheet(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataF
 def request_grid(instances: DataFrame, providers: list[str], instance: str = "instance", limit: int = 0) -> DataFrame:
     """Two orderings for each provider and instance, numbered c0, c1, ... in order of instance, ordering, provider.
 
-    limit: only the first so many instances, 0 for all.  The distinct ids (what people annotated) are numbered in one window.
+    limit: only the first so many instances, 0 for all.
     """
     if not providers:
         raise ValueError("no jurors are left")
     ids = instances.select(F.col(instance).alias("instance")).distinct()
-    ranked = ids.withColumn("at", F.row_number().over(Window.orderBy("instance")) - 1)
+    ranked = numbered(ids, ["instance"])
     ranked = ranked.filter(F.col("at") < limit) if limit else ranked
     names = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(v).alias("provider")) for k, v in enumerate(providers)])
     grid = ranked.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordering")).select("*", F.explode(names).alias("x"))

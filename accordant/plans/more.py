@@ -174,9 +174,9 @@ def k12_missing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_RUNS + """, n AS (SELECT substr(model, 4) AS model, status, count(*)::varchar AS n FROM s GROUP BY ALL), g AS (SELECT m.model, t.status, coalesce(n, '-') AS n FROM (SELECT DISTINCT model FROM n) m CROSS JOIN (SELECT DISTINCT status FROM n) t LEFT JOIN n USING (model, status))
-  SELECT * FROM (PIVOT g ON status USING max(n) GROUP BY model)""")
+  SELECT model, string_agg(g.status || '=' || g.n, ',' ORDER BY t.total DESC, g.status) AS cells FROM g JOIN (SELECT status, count(*) AS total FROM s GROUP BY 1) t ON t.status = g.status GROUP BY 1""")
 def k11_ordered_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.ordered_pivot(unreported(spark, sf_dir), "model", "status", "src")
+    return results.as_text(results.ordered_pivot(unreported(spark, sf_dir), "model", "status", "src"), "model")
 
 
 @query("SELECT source AS model, count(DISTINCT doc_id) AS n, sha256(string_agg(DISTINCT doc_id::varchar, ',' ORDER BY doc_id::varchar)) AS resolved FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND source IS NOT NULL GROUP BY 1")

@@ -484,21 +484,13 @@ def x6_flaky_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.flaky(event_cases(spark, sf_dir)).select("node", F.array_join("buckets", ",").alias("buckets"))
 
 
-def _day_pairs(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The events of every day's base, the day before it in the table, and those of the day itself, with `run`: the day."""
-    days = sorted(results.by_count(events.filter("day IS NOT NULL"), "day"))
-    runs = F.broadcast(spark.createDataFrame(list(zip(days[1:], days)), "run date, base date"))
-    base, run = (events.join(runs, F.col("day") == F.col(c)) for c in ("base", "run"))
-    return base, run
-
-
 @query("""WITH e AS (SELECT ts::date AS day, event_type, user_id FROM events), p AS (SELECT day, lag(day) OVER (ORDER BY day) AS base FROM (SELECT DISTINCT day FROM e)),
   r AS (SELECT p.day AS run, event_type, user_id, 1 AS x, 0 AS y FROM e JOIN p ON e.day = base UNION ALL SELECT p.day, event_type, user_id, 0, 1 FROM e JOIN p ON e.day = p.day WHERE base IS NOT NULL)
   SELECT run, event_type, user_id, greatest(sum(x) - sum(y), 0)::bigint AS only_a, greatest(sum(y) - sum(x), 0)::bigint AS only_b FROM r GROUP BY 1, 2, 3 HAVING sum(x) <> sum(y)""")
 def x6_run_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day's run against the one before, whatever the order."""
-    a, b = _day_pairs(spark, table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")))
-    return results.run_difference(a, b, ["run", "event_type", "user_id"])
+    pairs = results.consecutive(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "day")
+    return results.run_difference(*pairs, ["run", "event_type", "user_id"])
 
 
 @query("""WITH e AS (SELECT ts::date AS day, event_type, user_id, row_number() OVER (PARTITION BY ts::date, event_type ORDER BY ts, event_id) AS pos FROM events),
@@ -509,7 +501,7 @@ def x6_run_equality_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day's run against the one before, by bucket, position in it and node."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     e = e.withColumn("pos", F.row_number().over(Window.partitionBy("day", "event_type").orderBy("ts", "event_id")))
-    return results.run_difference(*_day_pairs(spark, e), ["run", "event_type", "pos", "user_id"])
+    return results.run_difference(*results.consecutive(e, "day"), ["run", "event_type", "pos", "user_id"])
 
 
 @query("""SELECT doc_id, coalesce(quality::varchar, '') AS quality, coalesce(t.tag, '') AS tag FROM documents LEFT JOIN labels USING (doc_id)
@@ -541,13 +533,15 @@ def p8_error_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT source AS model, lang AS instance, max((quality = 1)::int) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
-  f AS (SELECT i.lang AS instance, m.source AS model, CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' ELSE 'missing' END AS v FROM (SELECT DISTINCT lang FROM documents) i CROSS JOIN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) m LEFT JOIN r ON r.instance = i.lang AND r.model = m.source)
-  SELECT * FROM (PIVOT f ON model USING max(v) GROUP BY instance)""")
+  f AS (SELECT i.lang AS instance, m.source AS model, CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' ELSE 'missing' END AS v FROM (SELECT DISTINCT lang FROM documents) i CROSS JOIN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) m LEFT JOIN r ON r.instance = i.lang AND r.model = m.source), c AS (SELECT source AS model, count(*) AS n FROM documents GROUP BY 1)
+  SELECT instance, string_agg(model || '=' || v, ',' ORDER BY n DESC, model) AS cells FROM f JOIN c USING (model) GROUP BY 1""")
 def k10_result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix with a column for every model of the table."""
+    """The matrix with a column for every model of the table, the most frequent first; a row's cells as one string, as SQL
+    can't name columns by data."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     ok = d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("source").alias("model"), F.col("lang").alias("instance"), (F.col("quality") == 1).alias("resolved"))
-    return results.result_matrix(ok, d.select(F.col("lang").alias("instance")), results.by_count(d.filter("source IS NOT NULL"), "source"))
+    models = results.by_count(d.filter("source IS NOT NULL"), "source")
+    return results.as_text(results.result_matrix(ok, d.select(F.col("lang").alias("instance")), models), "instance")
 
 
 @query("""WITH r AS (SELECT source AS model, lang AS instance, max((quality = 1)::int) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2)
