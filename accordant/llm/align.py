@@ -4,10 +4,10 @@
    turn: its state is the side that leads and the bytes by which it leads, and it always reads the side behind.  A
    transition depends on the state and the next token alone, so each worker keeps the ones it has met and follows them
    by lookup.  Where nothing dangles both sides end together and a group closes.
-2. All token occurrences of a group are linked.  Groups recur, so a slice of documents (SLICE_BYTES of text) names each distinct
-   group once, with its id pairs and how often each occurs in it; documents hold numbers of groups, and the work on pairs
-   is NumPy over whole slices.  Slices are written to the shared folder: a document's totals, and its distinct pairs as
-   numbers into the slice's list of pairs.
+2. Neither tokenizer has a token across a single space between two words, so nothing dangles there: a worker keeps the
+   transducer's whole run over a word it has met, with its groups' text and id pairs.  All token occurrences of a group are
+   linked.  For a slice of documents (SLICE_BYTES of text) NumPy adds up runs to documents; slices are written to the shared
+   folder: a document's totals, and its distinct pairs as numbers into the slice's list of pairs.
 3. Spark adds up how many documents hold each pair, and finds the highest count of each first id.
 4. Each slice asks once for each of its pairs; pairs that very many slices ask for are sent by a bounded broadcast.  The answers
    meet their slice, and a document's links are weighed by them.
@@ -23,7 +23,10 @@ occurrences, are what is kept.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,12 @@ from .kernels import binary_column
 
 #: Bytes of text that a slice of documents holds, about; a longer document is alone.
 SLICE_BYTES = 2 << 20
-#: Texts are handed to the piece model this many bytes at a time, about.
-CALL_BYTES = 1 << 18
-#: States and groups that a worker keeps, at most; then it starts anew.
-MOST_STATES, MOST_GROUPS = 200_000, 200_000
+#: States, words and characters of words that a worker keeps, at most, before the next slice; then it starts anew.
+MOST_STATES, MOST_WORDS, MOST_CHARS = 200_000, 400_000, 8 << 20
+#: Words that the piece model is given at a time.
+CALL_WORDS = 64
+#: Links of a group whose pairs are written out before they are counted, at most.
+SMALL = 4096
 #: Pairs that this share of all requests or more ask for are broadcast: at most so many.
 OFTEN = 10_000
 
@@ -52,7 +57,10 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = [self._bytes(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())]
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.pieces = [self._bytes(x) for x in names]
+        #: Whether no piece goes on behind another character with a space, so that words are encoded one by one.
+        self.by_words = not any("▁" in x.lstrip("▁") for x in names)
 
     def _bytes(self, piece: str) -> bytes:
         if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
@@ -63,6 +71,12 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
+_TOTALS = ["n_a", "n_b", "n_groups", "n_links"]
+#: Single spaces between two characters that are no white space.  Neither tokenizer has a token across such a place: A's
+#: pattern starts a piece at the space, and B joins none of its pieces over it (`Pieces.by_words`).
+_WORDS = re.compile(r"(?<=\S) (?=\S)")
+
+
 class State:
     """The leading side's dangling bytes, and where each next token of the other side leads."""
 
@@ -103,28 +117,82 @@ class Transducer:
         s.next[token] = to
         return to
 
-    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-        """(a from, a to, b from, b to) of each group; both sides must spell the same bytes."""
+    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        """How many tokens of A and of B stand before the end of each group; both sides must spell the same bytes."""
         if len(self.states) > MOST_STATES:
             self.begin()
-        start, s = self.start, self.start
-        i = j = low = lower = 0
-        n = len(a) + len(b)
-        while i + j < n:
+        start, s, step = self.start, self.start, self._step
+        ends, others = [], []
+        i = j = 0
+        n, m = len(a), len(b)
+        while i < n or j < m:
             if s.reads:
                 token = b[j]
                 j += 1
             else:
                 token = a[i]
                 i += 1
-            s = s.next.get(token) or self._step(s, token)
+            s = s.next.get(token) or step(s, token)
             if s is start:
-                yield low, i, lower, j
-                low, lower = i, j
+                ends.append(i)
+                others.append(j)
+        return ends, others
+
+
+class Runs(NamedTuple):
+    """The transducer's runs over words, each from nothing dangling to nothing dangling; a word that a side doesn't spell
+    is not good and has none."""
+
+    good: np.ndarray
+    totals: np.ndarray  # rows: tokens of A, of B, groups, links
+    said: list[str]  # the groups
+    wide: np.ndarray  # how many distinct id pairs
+    keys: np.ndarray  # the pairs (A << 32 | B), word by word
+    times: np.ndarray  # how often each occurs
+
+    @staticmethod
+    def none(words: int) -> Runs:
+        zeros = np.zeros(words, np.int64)
+        return Runs(zeros > 0, np.zeros((4, words), np.int64), [""] * words, zeros, zeros[:0], zeros[:0])
+
+    @staticmethod
+    def joined(parts: list[Runs]) -> Runs:
+        own = list(zip(*parts))
+        return Runs(np.concatenate(own[0]), np.concatenate(own[1], 1), list(chain.from_iterable(own[2])), *[np.concatenate(x) for x in own[3:]])
+
+
+def _summed(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, sum of n) of the distinct (document, key), in that order."""
+    if not len(doc):
+        return doc, key, n
+    order = np.lexsort((key, doc))
+    doc, key, n = doc[order], key[order], n[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
+    return doc[first], key[first], np.add.reduceat(n, first)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, `size` many, one behind the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, pair, times) of groups of n tokens of A from x on and m of B from y on.  Pairs of small groups may repeat; of
+    large ones each distinct pair is there once."""
+    small = np.flatnonzero(n * m <= SMALL)
+    each = n[small] * m[small]
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    group = np.repeat(small, each)
+    key = a[x[group] + at // m[group]] << 32 | b[y[group] + at % m[group]]
+    parts = [(group, key, np.ones(len(key), np.int64))]
+    for g in np.flatnonzero(n * m > SMALL).tolist():
+        (p, k), (q, r) = (np.unique(side[z : z + w], return_counts=True) for side, z, w in ((a, x[g], n[g]), (b, y[g], m[g])))
+        parts.append((np.full(len(p) * len(q), g), (p[:, None] << 32 | q).ravel(), (k[:, None] * r).ravel()))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 class Aligner:
-    """Both tokenizers, the transducer, and the groups met so far: their texts and pairs."""
+    """Both tokenizers, the transducer, and its runs over the words met so far."""
 
     def __init__(self, first: str, second: str):
         self.first, self.second = coder_of(first), Pieces(second)
@@ -132,35 +200,65 @@ class Aligner:
         self.begin()
 
     def begin(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.said: list[str] = []
-        self.links: list[int] = []
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def _named(self, a: tuple, b: tuple) -> int:
-        """The number of a group: its text, links, and the pairs of its ids with how often each occurs."""
-        k = self.number[a, b] = len(self.said)
-        self.said.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-        self.links.append(len(a) * len(b))
-        (x, n), (y, m) = (np.unique(np.array(side, np.int64), return_counts=True) for side in (a, b))
-        self.pairs.append(((x[:, None] << 32 | y).ravel(), (n[:, None] * m).ravel()))
-        return k
-
-    def align(self, text: str, b: list[int]) -> tuple[int, int, list[int]] | None:
-        """(tokens of A, of B, numbers of the groups in order); null where a side doesn't spell the space and the text."""
-        raw = b" " + text.encode()
-        pieces = self.second.pieces
-        if b"".join([pieces[t] for t in b]) != raw:
-            return None
+        self.place: dict[str, int] = {}
+        self.runs, self.chars = Runs.none(0), 0
+
+    def words(self, text: str) -> list[str]:
+        return _WORDS.split(text) if self.second.by_words else [text]
+
+    def _over(self, words: list[str]) -> Runs:
+        """The runs over words that may stand in one text, a space before each."""
+        text = " ".join(words)
+        raw, pieces = b" " + text.encode(), self.second.pieces
         a = self.first.plain(" " + text)
-        if self.first.decode(a) != raw:
-            return None
-        number, named, out = self.number, self._named, []
-        for i, k, j, m in self.transducer.groups(a, b):
-            key = (tuple(a[i:k]), tuple(b[j:m]))
-            g = number.get(key)
-            out.append(named(*key) if g is None else g)
-        return len(a), len(b), out
+        b = list(chain.from_iterable(self.second.encode([" ".join(words[k : k + CALL_WORDS]) for k in range(0, len(words), CALL_WORDS)])))
+        if b"".join([pieces[t] for t in b]) != raw or self.first.decode(a) != raw:
+            half = len(words) // 2
+            return Runs.joined([self._over(words[:half]), self._over(words[half:])]) if half else Runs.none(1)
+        ends, others = self.transducer.ends(a, b)
+        said, i, j = [], 0, 0
+        for k, m in zip(ends, others):
+            if k - i == 1 == m - j:
+                said.append(f"{a[i]}|{b[j]}")
+            else:
+                said.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
+            i, j = k, m
+        a, b, ends, others = (np.array(x, np.int64) for x in (a, b, ends, others))
+        n, m = np.diff(ends, prepend=0), np.diff(others, prepend=0)
+        passed = np.cumsum(self.first.widths[a])[ends - 1]  # bytes up to each group's end
+        behind = np.cumsum([len(w.encode()) + 1 for w in words])  # and to each word's
+        last = np.searchsorted(passed, behind)  # each word's last group
+        if not np.array_equal(passed[last], behind):
+            raise ValueError("a token reaches over the end of a word")
+        groups = np.diff(last + 1, prepend=0)
+        word = np.repeat(np.arange(len(words)), groups)
+        totals = np.stack([np.bincount(word, x, len(words)).astype(np.int64) for x in (n, m, np.ones(len(n)), n * m)])
+        group, key, times = _pairs(a, b, ends - n, n, others - m, m)
+        own, key, times = _summed(word[group], key, times)
+        stops = np.append(0, last + 1).tolist()
+        return Runs(np.ones(len(words), bool), totals, [";".join(said[x:y]) for x, y in zip(stops, stops[1:])], np.bincount(own, minlength=len(words)), key, times)
+
+    def numbers(self, texts: list[str | None]) -> list[list[int]]:
+        """The words of each text as numbers into `runs`; those that are new are encoded together where they may stand in one text."""
+        if len(self.place) > MOST_WORDS or self.chars > MOST_CHARS:
+            self.begin()
+        before, place = len(self.place), self.place
+        out = [[place.setdefault(w, len(place)) for w in self.words(t)] if t else [] for t in texts]
+        new = list(islice(place, before, None))
+        alone = [not self.second.by_words or w[0].isspace() or w[-1].isspace() or "▁" in w for w in new]
+        order = [k for k, x in enumerate(alone) if not x] + [k for k, x in enumerate(alone) if x]
+        together = [new[k] for k in order[: len(new) - sum(alone)]]
+        parts = [Runs.none(0), *([self._over(together)] if together else []), *[self._over([new[k]]) for k in order[len(together) :]]]
+        for k, w in enumerate([*together, *[new[k] for k in order[len(together) :]]], before):
+            place[w] = k
+        if sum(alone):  # they were numbered in the order they were met in
+            back = np.empty(len(new), np.int64)
+            back[order] = np.arange(before, before + len(new))
+            moved = back.tolist()
+            out = [[w if w < before else moved[w - before] for w in own] for own in out]
+        self.runs = Runs.joined([self.runs, *parts])
+        self.chars += sum(map(len, new))
+        return out
 
 
 _aligners: dict[tuple, Aligner] = {}
@@ -174,65 +272,25 @@ def aligner_of(first: str, second: str) -> Aligner:
     return _aligners[first, second]
 
 
-def _summed(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, key, sum of n) of the distinct (document, key), in that order."""
-    if not len(doc):
-        return doc, key, n
-    order = np.lexsort((key, doc))
-    doc, key, n = doc[order], key[order], n[order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-    return doc[first], key[first], np.add.reduceat(n, first)
-
-
-def _calls(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CALL_BYTES each."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CALL_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def aligned(aligner: Aligner, texts: list[str | None]) -> dict[str, np.ndarray | list]:
     """What a slice of texts holds: totals and digest of each, its distinct pairs as numbers into `pairs`, their numbers of
     links, and in how many of the texts each pair is."""
-    if len(aligner.said) > MOST_GROUPS:
-        aligner.begin()
-    n_a, n_b, n_groups, n_links = (np.zeros(len(texts), np.int64) for _ in range(4))
-    digests = [""] * len(texts)
-    docs, groups, times = [], [], []
-    for lo, hi in _calls(texts):
-        for d, b in enumerate(aligner.second.encode([t or "" for t in texts[lo:hi]]), lo):
-            found = aligner.align(texts[d], b) if texts[d] else None
-            if not found:
-                continue
-            n_a[d], n_b[d], own = found
-            n_groups[d] = len(own)
-            said, links = aligner.said, aligner.links
-            digests[d] = hashlib.sha256(";".join([said[g] for g in own]).encode()).hexdigest()
-            n_links[d] = sum([links[g] for g in own])
-            g, n = np.unique(np.array(own, np.int64), return_counts=True)
-            docs.append(np.full(len(g), d))
-            groups.append(g)
-            times.append(n)
-    none = [np.zeros(0, np.int64)]
-    doc, group, n = (np.concatenate(x or none) for x in (docs, groups, times))
-    held, place = np.unique(group, return_inverse=True)
-    sizes = np.array([len(aligner.pairs[g][0]) for g in held.tolist()], np.int64)
-    keys, many = (np.concatenate([aligner.pairs[g][k] for g in held.tolist()] or none) for k in (0, 1))
-    first = np.cumsum(sizes) - sizes
-    wide = sizes[place]
-    at = np.repeat(first[place] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
-    pairs, pair = np.unique(keys, return_inverse=True)
-    doc, pair, n = _summed(np.repeat(doc, wide), pair[at], np.repeat(n, wide) * many[at])
-    return {
-        "n_a": n_a,
-        "n_b": n_b,
-        "n_groups": n_groups,
-        "n_links": n_links,
+    cut, runs = aligner.numbers(texts), aligner.runs
+    size = np.array([len(own) for own in cut], np.int64)
+    word = np.fromiter(chain.from_iterable(cut), np.int64, size.sum())
+    doc = np.repeat(np.arange(len(texts)), size)
+    bad = np.zeros(len(texts), bool)
+    bad[doc[~runs.good[word]]] = True
+    said = runs.said
+    digests = [hashlib.sha256(";".join([said[w] for w in own]).encode()).hexdigest() if own and not no else "" for own, no in zip(cut, bad.tolist())]
+    keep = ~bad[doc]
+    doc, word, n = _summed(doc[keep], word[keep], np.ones(keep.sum(), np.int64))
+    out = {c: np.bincount(doc, n * runs.totals[k][word], len(texts)).astype(np.int64) for k, c in enumerate(_TOTALS)}
+    each, first = runs.wide[word], (np.cumsum(runs.wide) - runs.wide)[word]
+    at = _ranges(first, each)
+    pairs, pair = np.unique(runs.keys[at], return_inverse=True)
+    doc, pair, n = _summed(np.repeat(doc, each), pair, np.repeat(n, each) * runs.times[at])
+    return out | {
         "digests": digests,
         "pairs": pairs,
         "held": np.bincount(pair, minlength=len(pairs)),
@@ -242,7 +300,6 @@ def aligned(aligner: Aligner, texts: list[str | None]) -> dict[str, np.ndarray |
     }
 
 
-_TOTALS = ["n_a", "n_b", "n_groups", "n_links"]
 _KEPT = {"ends": np.int64, "pair": np.uint32, "times": np.int64}
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -75,9 +76,10 @@ def found(spark, docs):
     return sorted(map(tuple, align.align(df, A, B).collect()), key=str)
 
 
-@pytest.mark.parametrize("size", [2 << 20, 30])
-def test_equals_byte_offsets(spark, coders, monkeypatch, size):
+@pytest.mark.parametrize("size,small", [(2 << 20, 4096), (30, 4096), (2 << 20, 1)])
+def test_equals_byte_offsets(spark, coders, monkeypatch, size, small):
     monkeypatch.setattr(align, "SLICE_BYTES", size)
+    monkeypatch.setattr(align, "SMALL", small)
     assert found(spark, HARD) == plain(coders, HARD)
 
 
@@ -92,14 +94,30 @@ def test_empty_table_and_forgetting(spark, coders, monkeypatch):
     assert found(spark, []) == []
     own = align.Aligner(A, B)
     monkeypatch.setattr(align, "MOST_STATES", 3)
-    monkeypatch.setattr(align, "MOST_GROUPS", 3)
+    monkeypatch.setattr(align, "MOST_WORDS", 3)
     texts = [t for _, t in HARD]
     first, again = align.aligned(own, texts), align.aligned(own, texts)
     assert first["digests"] == again["digests"] and first["pairs"].tolist() == again["pairs"].tolist()
 
 
+def test_words_are_encoded_as_in_their_text(coders):
+    own, draw = align.Aligner(A, B), random.Random(3)
+    assert own.second.by_words
+    parts = ["a", "the", "don't", "'s", "x\n", "\n", "\t", " ", "  ", "\xa0", "\u3000", "\x1c", "\x85", "é", "日本", "1234", "...", "!?", "<s>", "<|endoftext|>", "🙂", "e\u0301", "__", "z" * 60]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) + draw.choice(["", " ", " ", "  "]) for _ in range(draw.randrange(1, 12)))
+        a, x, b, y = coders(text)
+        good = b"".join(x) == b"".join(y) == (" " + text).encode()
+        (words,), runs = own.numbers([text]), own.runs
+        assert all(runs.good[words]) == good, repr(text)
+        if good and text:
+            assert runs.totals[:2, words].sum(1).tolist() == [len(a), len(b)]
+            said = ";".join(runs.said[w] for w in words).replace(";", "|").split("|")
+            assert [",".join(said[::2]), ",".join(said[1::2])] == [",".join(map(str, a)), ",".join(map(str, b))], repr(text)
+
+
 def test_transducer_follows_either_side():
     own = align.Transducer([b"", b"ab", b"c", b"abc", b"d"], [b"", b"a", b"bcab", b"cd"])
-    assert list(own.groups([3, 1, 2, 4], [1, 2, 3])) == [(0, 2, 0, 2), (2, 4, 2, 3)]
+    assert own.ends([3, 1, 2, 4], [1, 2, 3]) == ([2, 4], [2, 3])
     with pytest.raises(ValueError):
-        list(own.groups([4], [1]))
+        own.ends([4], [1])
