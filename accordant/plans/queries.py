@@ -555,4 +555,4 @@ def k10_result_matrix_all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.result_matrix(ok, d.select(F.col("lang").alias("instance")), models).unpivot("instance", [F.col(f"`{m}`") for m in models], "model", "resolved")
 
 
-from accordant.plans import more  # noqa: E402, F401  (registers its queries)
+from accordant.plans import changes, more  # noqa: E402, F401  (they register their queries)

@@ -98,3 +98,41 @@ def variant_catalog(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.patch").load(path).select("path")
     name = F.regexp_extract("path", r"([^/]+)/([0-9]+)(_unverified)?\.patch$", 2)
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("instance"), name.try_cast("int").alias("rule"), (~F.col("path").contains("_unverified")).alias("verified")).filter("rule IS NOT NULL")
+
+
+def _named_json(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(instance, name, value): files below <instance>/ whose names fit, whole."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    part = lambda k: F.regexp_extract("file", r"([^/]+)/([^/]+)$", k)
+    return raw.select(F.col("_metadata.file_path").alias("file"), "value").select(part(1).alias("instance"), part(2).alias("name"), "value")
+
+
+def variant_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(instance, rule, verified, lines) of the <instance>/<rule>[_unverified]-gt.json files: the line numbers after the variant's patch."""
+    rows = _named_json(spark, path, "*-gt.json")
+    return rows.select(
+        "instance",
+        F.regexp_extract("name", "^([0-9]+)", 1).try_cast("int").alias("rule"),
+        (~F.contains("name", F.lit("_unverified"))).alias("verified"),
+        F.from_json("value", "array<bigint>").alias("lines"),
+    ).filter("rule IS NOT NULL")
+
+
+def combined_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(instance, rule, combined) of the <instance>/<rule>-summary.json files: the rules that a variant puts together."""
+    rows = _named_json(spark, path, "*-summary.json")
+    return rows.select("instance", F.regexp_extract("name", "^([0-9]+)", 1).try_cast("int").alias("rule"), F.from_json("value", "array<int>").alias("combined")).filter("rule IS NOT NULL")
+
+
+def variant_patches(spark: SparkSession, path: str) -> DataFrame:
+    """(instance, rule, verified, text) of the <instance>/<rule>[_unverified].patch files."""
+    rows = _named_json(spark, path, "*.patch")
+    rule = F.regexp_extract("name", r"^([0-9]+)(_unverified)?\.patch$", 1).try_cast("int")
+    return rows.select("instance", rule.alias("rule"), (~F.contains("name", F.lit("_unverified"))).alias("verified"), F.col("value").alias("text")).filter("rule IS NOT NULL")
+
+
+def instance_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(instance, field, content): every file of an instance bundle <instance>/<field>.<ending>, a field each."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    part = lambda k: F.regexp_extract("file", r"([^/]+)/([^/]+?)\.[^./]+$", k)
+    return raw.select(part(1).alias("instance"), part(2).alias("field"), F.col("value").alias("content")).filter("instance <> ''")
