@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordant.operators.joins import distinct_keys, lookup
+from accordant.scratch import materialise
+
 #: Labels from least to most divergent (fixed values).
 LABELS = ["aligned", "partial", "divergent", "contradictory"]
 #: Lowest kappa of each band (fixed values).
@@ -16,17 +19,25 @@ LOWEST_BAND = "poor (< chance)"
 SETS_PER_BLOCK = 2000
 
 
-def overlaps(elements: DataFrame) -> DataFrame:
-    """elements: (granularity, unit, side, item), not nec. distinct.  (granularity, unit, a, b, both): set sizes of each unit."""
-    sides = elements.filter("item IS NOT NULL").groupBy("granularity", "unit", "item").agg(F.max(F.when(F.col("side") == "A", 1).otherwise(0)).alias("a"), F.max(F.when(F.col("side") == "B", 1).otherwise(0)).alias("b"))
+def shared_items(elements: DataFrame) -> DataFrame:
+    """elements: (granularity, unit, side, item), not nec. distinct.  (granularity, unit, item, a, b): which sides have an item."""
+    return elements.filter("item IS NOT NULL").groupBy("granularity", "unit", "item").agg(F.max(F.when(F.col("side") == "A", 1).otherwise(0)).alias("a"), F.max(F.when(F.col("side") == "B", 1).otherwise(0)).alias("b"))
+
+
+def overlaps(sides: DataFrame) -> DataFrame:
+    """Rows of shared_items to (granularity, unit, a, b, both): set sizes of each unit."""
     return sides.groupBy("granularity", "unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("both"))
 
 
 def set_metrics(elements: DataFrame, places: int = 6, granularities: list[str] | None = None) -> DataFrame:
     """Macro and micro Jaccard and Dice by granularity; 1 where there is nothing to compare, as in a granularity without elements."""
+    return _set_metrics(shared_items(elements), places, granularities)
+
+
+def _set_metrics(sides: DataFrame, places: int, granularities: list[str] | None) -> DataFrame:
     union = F.col("a") + F.col("b") - F.col("both")
     found = (
-        overlaps(elements)
+        overlaps(sides)
         .groupBy("granularity")
         .agg(F.avg(F.when(union > 0, F.col("both") / union)).alias("m"), F.sum("both").alias("i"), F.sum(union).alias("u"), F.sum(F.col("a") + F.col("b")).alias("s"))
     )
@@ -53,12 +64,13 @@ def masi(a: Column, b: Column, both: Column) -> Column:
 
 
 def _closeness(block: pa.Table) -> pa.Table:
-    """Sum of times * times * (1 - MASI distance) over the pairs of sets of two blocks, by a product of their item matrices."""
-    side, times = (block[c].to_numpy() for c in ("side", "times"))
+    """Sum of times * times * (1 - MASI distance) over the pairs of sets of two blocks, by a product of their item matrices.
+    Sets are as large as `size` says; of what they share only `items` counts here."""
+    side, times, size = (block[c].to_numpy() for c in ("side", "times", "size"))
     items = block["items"].combine_chunks()
-    size = np.diff(items.offsets.to_numpy())
+    held = np.diff(items.offsets.to_numpy())
     token = np.unique(items.values.to_numpy(), return_inverse=True)[1] if len(items.values) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(size)), size)
+    row = np.repeat(np.arange(len(size)), held)
     mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     inside = not len(other)  # a block against itself
     other = mine if inside else other
@@ -81,24 +93,60 @@ def _closeness(block: pa.Table) -> pa.Table:
     return pa.table({"granularity": block["granularity"][:1], "close": pa.array([total])})
 
 
+#: An item that so many distinct sets hold or fewer is a light one: its sets meet as rows.
+LIGHT = 32
+
+
+def closeness(kinds: DataFrame, light: int = LIGHT) -> DataFrame:
+    """(granularity, close): the sum of times * times * (1 - MASI distance) over all ordered pairs of sets, with themselves.
+
+    kinds: (granularity, items, times), distinct sets that aren't empty.  Only pairs that share an item count.  Items that at
+    most `light` sets hold are inverted: the pairs of sets in their lists are rows, at most `light` for each element.  By the
+    other items alone, sets with the same ones and the same size are one; these are dealt into blocks of about
+    SETS_PER_BLOCK, and a task multiplies the item matrices of two blocks.  Pairs from the lists then replace what the
+    blocks made of them.  So work grows with the square only of the number of different heavy parts.
+    """
+    own = materialise(kinds.select("granularity", "times", F.transform("items", lambda x: F.xxhash64(x)).alias("items"), F.size("items").alias("size"), F.monotonically_increasing_id().alias("id")), "kinds")
+    elements = own.select("granularity", "id", F.explode("items").alias("item"))
+    weighed = lookup(elements, distinct_keys(elements, ["granularity", "item"]).withColumn("n", F.col("copies")), ["granularity", "item"])
+    weighed = materialise(weighed, "weighed")
+    heavy = weighed.filter(F.col("n") > light).groupBy("granularity", "id").agg(F.array_sort(F.collect_list("item")).alias("heavy"))
+    sets = materialise(own.drop("items").join(heavy, ["granularity", "id"], "left").withColumn("heavy", F.coalesce("heavy", F.array().cast("array<bigint>"))), "sets")
+    rare = weighed.filter(F.col("n") <= light).select("granularity", "item", "id")
+    other = rare.select("granularity", "item", F.col("id").alias("with"))
+    pairs = rare.join(other, ["granularity", "item"]).filter(F.col("id") <= F.col("with")).groupBy("granularity", "id", "with").agg(F.count("*").alias("both"))
+    first = sets.select("granularity", "id", F.col("size").alias("a"), F.col("times").alias("x"), F.col("heavy").alias("h"))
+    second = sets.select("granularity", F.col("id").alias("with"), F.col("size").alias("b"), F.col("times").alias("y"), F.col("heavy").alias("g"))
+    met = pairs.join(first, ["granularity", "id"]).join(second, ["granularity", "with"]).withColumn("_h", F.size(F.array_intersect("h", "g")))
+    gained = masi(F.col("a"), F.col("b"), F.col("_h")) - masi(F.col("a"), F.col("b"), F.col("_h") + F.col("both"))
+    gained = met.select("granularity", (F.col("x") * F.col("y") * F.when(F.col("id") == F.col("with"), 1).otherwise(2) * gained).alias("close"))
+    alike = materialise(sets.filter(F.size("heavy") > 0).groupBy("granularity", F.col("heavy").alias("items"), "size").agg(F.sum("times").alias("times")), "alike")
+    blocks = alike.groupBy("granularity").agg(F.ceil(F.count("*") / SETS_PER_BLOCK).cast("int").alias("blocks"))
+    dealt = alike.join(F.broadcast(blocks), "granularity").withColumn("own", F.pmod(F.xxhash64("items", "size"), F.col("blocks")).cast("int"))
+    both = dealt.select("granularity", "times", "items", "size", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    both = both.select("granularity", "times", "items", "size", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("z"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+    dense = both.groupBy("granularity", "a", "z").applyInArrow(_closeness, "granularity string, close double")
+    return dense.unionByName(gained).groupBy("granularity").agg(F.sum("close").alias("close"))
+
+
 def alpha(elements: DataFrame, units: DataFrame, places: int = 6, granularities: list[str] | None = None) -> DataFrame:
     """Krippendorff's alpha with MASI distance, by granularity, for all `units` (unit); (granularity, n, observed, expected, alpha).
 
-    Expected disagreement runs over all ordered pairs of the 2n sets.  Equal sets are one with a multiplicity.  Distinct sets
-    are dealt into blocks of about SETS_PER_BLOCK; a task gets two blocks and emits one number, so no pair of sets and no
-    item that many sets share is ever a row.
+    Expected disagreement runs over all ordered pairs of the 2n sets.  Equal sets are one with a multiplicity; their pairs are
+    summed up by `closeness`.
     """
+    return _alpha(shared_items(elements), units, places, granularities)
+
+
+def _alpha(sides: DataFrame, units: DataFrame, places: int, granularities: list[str] | None) -> DataFrame:
     n = units.select("unit").distinct().agg(F.count("*").alias("n"))
-    distinct = elements.filter("item IS NOT NULL").select("granularity", "unit", "side", "item").distinct()
-    held = overlaps(elements).withColumn("d", masi(F.col("a"), F.col("b"), F.col("both"))).groupBy("granularity").agg(F.sum("d").alias("d"))
+    held = overlaps(sides).withColumn("d", masi(F.col("a"), F.col("b"), F.col("both"))).groupBy("granularity").agg(F.sum("d").alias("d"))
+    side = F.filter(F.array(F.when(F.col("a") == 1, "A"), F.when(F.col("b") == 1, "B")), lambda x: x.isNotNull())
+    distinct = sides.select("granularity", "unit", "item", F.explode(side).alias("side"))
     sets = distinct.groupBy("granularity", "unit", "side").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    kinds = sets.groupBy("granularity", "items").agg(F.count("*").cast("double").alias("times"))
-    blocks = kinds.groupBy("granularity").agg(F.ceil(F.count("*") / SETS_PER_BLOCK).cast("int").alias("blocks"), F.sum("times").alias("filled"))
-    dealt = kinds.join(F.broadcast(blocks.select("granularity", "blocks")), "granularity").withColumn("own", F.pmod(F.xxhash64("items"), F.col("blocks")).cast("int"))
-    pairs = dealt.select("granularity", "times", F.transform("items", lambda x: F.xxhash64(x)).alias("items"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    pairs = pairs.select("granularity", "times", "items", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("z"), (F.col("own") > F.col("with")).cast("int").alias("side"))
-    close = pairs.groupBy("granularity", "a", "z").applyInArrow(_closeness, "granularity string, close double").groupBy("granularity").agg(F.sum("close").alias("close"))
-    out = every(held.join(close, "granularity").join(blocks, "granularity"), granularities).na.fill(0.0, ["d", "close", "filled"]).join(F.broadcast(n))
+    kinds = materialise(sets.groupBy("granularity", "items").agg(F.count("*").cast("double").alias("times")), "sets")
+    filled = kinds.groupBy("granularity").agg(F.sum("times").alias("filled"))
+    out = every(held.join(closeness(kinds), "granularity").join(filled, "granularity"), granularities).na.fill(0.0, ["d", "close", "filled"]).join(F.broadcast(n))
     empty = 2 * F.col("n") - F.col("filled")  # sets without items: at distance 0 from each other, 1 from the rest
     pairs = 2 * F.col("n") * (2 * F.col("n") - 1)
     # All ordered pairs with themselves, minus closeness, minus pairs of empty sets.
@@ -114,6 +162,13 @@ def alpha(elements: DataFrame, units: DataFrame, places: int = 6, granularities:
     )
 
 
+def agreement_report(elements: DataFrame, units: DataFrame, places: int = 6, granularities: list[str] | None = None) -> DataFrame:
+    """Macro and micro Jaccard, Dice, observed and expected disagreement and alpha by granularity: elements are shuffled to
+    their units once, and both kinds of metrics read what is written then."""
+    sides = materialise(shared_items(elements), "sides")
+    return _set_metrics(sides, places, granularities).join(_alpha(sides, units, places, granularities), "granularity")
+
+
 def majority(votes: DataFrame, by: list[str], label: str, rank: Column) -> DataFrame:
     """The most frequent label of each group, of equally frequent ones the highest by rank: (by, label, n, votes)."""
     n = votes.filter(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("n"), F.max(rank).alias("_rank"))

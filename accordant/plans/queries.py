@@ -191,21 +191,33 @@ def a7_agreement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.set_metrics(event_sets(spark, sf_dir), granularities=_GRANULARITIES)
 
 
-@query(
+_ALPHA = (
     _SETS
     + """, sets AS (SELECT g.granularity, u.unit, s.side, list(el.item) FILTER (el.item IS NOT NULL) AS items FROM (SELECT DISTINCT granularity FROM el UNION SELECT 'none') g, (SELECT DISTINCT unit FROM el) u,
       (SELECT unnest(['A', 'B']) AS side) s LEFT JOIN el ON el.granularity = g.granularity AND el.unit = u.unit AND el.side = s.side GROUP BY ALL),
   d AS (SELECT x.granularity, x.unit = y.unit AS own, x.side AS xs, y.side AS ys, coalesce(len(x.items), 0) AS a, coalesce(len(y.items), 0) AS b, coalesce(len(list_intersect(x.items, y.items)), 0) AS i
       FROM sets x JOIN sets y ON x.granularity = y.granularity AND (x.unit <> y.unit OR x.side <> y.side)),
   m AS (SELECT *, CASE WHEN a = 0 AND b = 0 THEN 0.0 WHEN a = 0 OR b = 0 THEN 1.0 ELSE 1 - i / (a + b - i) * CASE WHEN i = a AND i = b THEN 1.0 WHEN i = a OR i = b THEN 2.0 / 3 WHEN i > 0 THEN 1.0 / 3 ELSE 0 END END AS dist FROM d),
-  t AS (SELECT granularity, avg(dist) FILTER (own AND xs = 'A') AS o, avg(dist) AS e, count(*) FILTER (own AND xs = 'A') AS n FROM m GROUP BY 1)
-  SELECT granularity, n, round(o, 6) AS observed, round(e, 6) AS expected, round(CASE WHEN e = 0 THEN 1.0 ELSE 1 - o / e END, 6) AS alpha FROM t"""
+  t AS (SELECT granularity, avg(dist) FILTER (own AND xs = 'A') AS o, avg(dist) AS e, count(*) FILTER (own AND xs = 'A') AS n FROM m GROUP BY 1)"""
 )
+_ALPHA_OF = """SELECT granularity, n, round(o, 6) AS observed, round(e, 6) AS expected, round(CASE WHEN e = 0 THEN 1.0 ELSE 1 - o / e END, 6) AS alpha FROM t"""
+_METRICS_OF = """SELECT granularity, round(coalesce(avg(CASE WHEN a + b - both_ > 0 THEN both_ / (a + b - both_) END), 1.0), 6) AS jaccard_macro,
+    round(sum(both_) / sum(a + b - both_), 6) AS jaccard_micro, round(2 * sum(both_) / sum(a + b), 6) AS dice FROM ov GROUP BY 1 UNION ALL SELECT 'none', 1.0, 1.0, 1.0"""
+
+
+@query(_ALPHA + " " + _ALPHA_OF)
 def a12_krippendorff_masi(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = event_sets(spark, sf_dir)
     return agreement.alpha(sets, sets, granularities=_GRANULARITIES)
 
 
+@query(f"{_ALPHA}, al AS ({_ALPHA_OF}), me AS ({_METRICS_OF}) SELECT * FROM me JOIN al USING (granularity)")
+def a13_agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric at every granularity."""
+    sets = event_sets(spark, sf_dir)
+    return agreement.agreement_report(sets, sets, granularities=_GRANULARITIES)
+
+
 def _priority_rank(c: str = "o_orderpriority") -> Column:
     return -F.substring(F.col(c), 1, 1).cast("int")
 
