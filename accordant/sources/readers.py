@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordant.sources.junit import junit_cases  # noqa: F401
+
 
 def _there(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,24 +52,6 @@ def plain_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("instance")).filter("instance <> ''")
 
 
-def junit_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, pos, classname, name, file, decisive, message) of JUnit reports' test cases, in document order.
-
-    decisive: the first child that is a failure, an error or skipped, message: that child's.  Each test case is parsed by
-    Spark's XML reader as text, children in order.
-    """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    plain = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
-    case = raw.select("file_path", F.posexplode(F.regexp_extract_all(plain, F.lit(r"(?s)(<testcase\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?</testcase>))"), 1)).alias("pos", "x"))
-    head = F.from_xml(F.regexp_replace(F.regexp_extract("x", r"(?s)^(<testcase\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>", 1), "$", "/>"), "struct<_classname: string, _name: string, _file: string>", {"rowTag": "testcase"})
-    child = F.regexp_extract("x", r"(?s)^<testcase\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?>.*?(<(?:failure|error|skipped)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>", 1)
-    tag = F.regexp_extract(child, "^<([a-z]+)", 1)
-    message = F.from_xml(F.concat(F.lit("<c"), F.regexp_replace(child, "^<[a-z]+", ""), F.lit("/>")), "struct<_message: string>", {"rowTag": "c"})["_message"]
-    return case.select(
-        "file_path", "pos", head["_classname"].alias("classname"), head["_name"].alias("name"), head["_file"].alias("file"), F.nullif(tag, F.lit("")).alias("decisive"), F.when(tag != "", message).alias("message")
-    )
-
-
 def exit_messages(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, role, exit_status) of the messages of every *.traj.json below the path; of several files of a folder the first by path."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.traj.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
