@@ -193,3 +193,25 @@ def fields_long(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row per key and field: (key, field, content), null contents as ''."""
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("content")) for f in fields])
     return df.select(key, F.explode(parts).alias("x")).select(key, "x.*")
+
+
+def with_status(statuses: DataFrame, *status: str, limit: int = 0) -> DataFrame:
+    """(at, unit): the units that have one of the statuses, numbered from 0 by id; limit: only the first so many, 0 for all."""
+    found = numbered(statuses.filter(F.col("status").isin(*status)).select("unit"), ["unit"]).select("at", "unit")
+    return found.filter(F.col("at") < limit) if limit else found
+
+
+def members(instances: DataFrame, pilot: DataFrame, key: str = "instance") -> DataFrame:
+    """The instances whose id a list of pilots (key) has, as often as they stand; Spark sends the list around if it is short."""
+    return instances.join(pilot.select(key).distinct(), key, "left_semi").select(*instances.columns)
+
+
+def first_seen_counts(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """(at, column, n): how often each value occurs, the most frequent first, of equally frequent ones the first seen in the order."""
+    found = rows.groupBy(column).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
+    return numbered(found.withColumn("_less", -F.col("n")), ["_less", "_first"]).select("at", column, "n")
+
+
+def flagged(aggregated: DataFrame) -> DataFrame:
+    """The flagged units numbered from 0 by id, with final, order0, order1 and flag_reason: what a person looks at."""
+    return numbered(aggregated.filter("flagged").select("unit", "final", "order0", "order1", "flag_reason"), ["unit"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.operators import lines, patches
+from accordant import chains
+from accordant.operators import documents, lines, patches, results, statements
 from accordant.plans.more import _SOURCE, order_sources
 from accordant.plans.registry import query, table
 
@@ -68,3 +69,53 @@ def e17_variant_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = patches.truth_differences(expected, found, ["o"])
     said = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("o", said("only_expected"), said("only_carried"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS at, o_orderkey AS unit FROM orders WHERE o_orderstatus = 'F'")
+def p4_status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.with_status(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit"), F.col("o_orderstatus").alias("status")), "F")
+
+
+@query("SELECT o_orderkey, o_custkey AS instance FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)")
+def p5_pilot_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of those customers whose number is a supplier's too."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("instance"))
+    return results.members(orders, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instance")))
+
+
+@query("""SELECT c_custkey, '{"custkey":' || c_custkey || ',"segment":"' || c_mktsegment || '"}' AS kept, '{"custkey":' || c_custkey || ',"nation":' || (c_nationkey + 1) || ',"segment":"' || c_mktsegment || '"}' AS changed FROM customer""")
+def p25_document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents, with a field dropped, and with that field set."""
+    fields = F.to_json(F.struct(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")))
+    doc = F.parse_json(fields)
+    changed = documents.with_field(doc, "nation", (F.col("c_nationkey") + 1).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.to_json(documents.without_field(doc, "nation")).alias("kept"), F.to_json(changed).alias("changed"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY n DESC, first) - 1 AS at, o_custkey, n FROM (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1)""")
+def o3_first_seen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.first_seen_counts(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"])
+
+
+@query(r"""SELECT doc_id, left(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 120) AS shown FROM documents""")
+def o7_shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", chains.shown("text").alias("shown"))
+
+
+_EDITED = r"""WITH d AS (SELECT doc_id, doc_id % 6 AS kind, coalesce(text, '') AS t FROM documents),
+  p AS (SELECT doc_id, CASE kind WHEN 0 THEN ' ' || t || ' ' WHEN 1 THEN replace(replace(t, ' ', '  '), '"', chr(39)) WHEN 2 THEN t || '.' WHEN 3 THEN left(t, 20) WHEN 4 THEN 'zzz qqq' ELSE '' END AS cur, t AS ext FROM d),
+  n AS (SELECT *, trim(regexp_replace(cur, '\s+', ' ', 'g')) AS c, trim(regexp_replace(ext, '\s+', ' ', 'g')) AS e FROM p),
+  r AS (SELECT *, length(e) / greatest(1, length(c)) AS ratio, regexp_replace(cur, '^\s+|\s+$', '', 'g') = regexp_replace(ext, '^\s+|\s+$', '', 'g') AS exact,
+    regexp_replace(replace(cur, '"', chr(39)), '\s+', '', 'g') = regexp_replace(replace(ext, '"', chr(39)), '\s+', '', 'g') AS alike FROM n)
+  SELECT doc_id, CASE WHEN exact THEN 'good' WHEN alike OR ratio <= 1.5 THEN 'safe' ELSE 'unsafe' END AS bucket,
+    CASE WHEN exact THEN 'exact match' WHEN alike THEN 'whitespace/quote only' WHEN ratio <= 1.5 THEN 'same statement reformatted (x)' WHEN c <> '' AND contains(e, c) THEN 'sub-statement pointer, balloons x' ELSE 'differs / paraphrase (x)' END AS reason FROM r"""
+
+
+@query(_EDITED)
+def f13_classify_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against a changed copy of itself, so that all outcomes occur."""
+    t, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 6
+    spaced = F.translate(F.replace(t, F.lit(" "), F.lit("  ")), '"', "'")
+    cur = F.when(kind == 0, F.concat(F.lit(" "), t, F.lit(" "))).when(kind == 1, spaced).when(kind == 2, F.concat(t, F.lit("."))).when(kind == 3, F.left(t, F.lit(20))).when(kind == 4, "zzz qqq").otherwise("")
+    found = table(spark, sf_dir, "documents").select("doc_id", statements.change(cur, t).alias("c"))
+    return found.select("doc_id", "c.bucket", F.regexp_replace("c.reason", r"x[0-9.]+", "x").alias("reason"))

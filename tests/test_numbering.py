@@ -38,3 +38,14 @@ def test_any_number_of_runs(spark):
     found = results.run_difference(base, run, ["run", "node"])
     assert found.count() == 2 * 749 and found.agg(F.count_distinct("run")).first()[0] == 749
     assert {tuple(r) for r in found.filter("run = 2").collect()} == {(2, "z0", 1, 0), (2, "z1", 0, 1)}
+
+
+def test_units_for_people_are_numbered(spark):
+    aggregated = spark.createDataFrame([("b", "partial", None, None, "low confidence", True), ("a", "aligned", None, None, "", False), ("A", None, None, None, "no valid verdicts", True)], "unit string, final string, order0 string, order1 string, flag_reason string, flagged boolean")
+    assert [(r["at"], r["unit"]) for r in results.flagged(aggregated).orderBy("at").collect()] == [(0, "A"), (1, "b")]
+    statuses = spark.createDataFrame([("c", "agree"), ("a", "agree"), ("b", "conflict")], "unit string, status string")
+    assert [tuple(r) for r in results.with_status(statuses, "agree", limit=1).collect()] == [(0, "a")]
+    pilot = spark.createDataFrame([("x",), ("x",), ("z",)], "instance string")
+    assert results.members(spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "instance string, v int"), pilot).count() == 2
+    seen = results.first_seen_counts(spark.createDataFrame([("q", 1), ("r", 2), ("r", 4), ("q", 3), ("s", 0)], "c string, at int"), "c", ["at"])
+    assert [tuple(r) for r in seen.orderBy("at").collect()] == [(0, "q", 2), (1, "r", 2), (2, "s", 1)]
