@@ -28,15 +28,19 @@ def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str = "co
     by a broadcast, which can hold FREQUENT rows at most, so that their rows stay where they are; all others by a join.
     """
     more = [c for c in keyed.columns if c not in (*keys, copies)]
-    total = keyed.agg(F.sum(copies)).first()[0] or 0
-    held = keyed.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*more).alias("_said"), (F.col(copies) * FREQUENT >= total).alias("_often"))
+    keyed = materialise(keyed, "keyed")  # read three times
+    total, most = keyed.agg(F.sum(copies), F.max(copies)).first()
+    held = keyed.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*more).alias("_said"), (F.col(copies) * FREQUENT >= (total or 0)).alias("_often"))
     names = {k: f"_k_{k}" for k in keys}
+    said = [F.col(f"_said.{c}").alias(c) for c in more]
+    if not most or most * FREQUENT < total:  # no key is that frequent
+        return rows.join(held, same(rows, held, names), how).select(*[rows[c] for c in rows.columns], *said)
     often = F.broadcast(held.filter("_often"))
     first = rows.join(often, same(rows, often, names), "left").select(*[rows[c] for c in rows.columns], F.col("_often").isNotNull().alias("_met"), "_said")
     left = first.filter("NOT _met").drop("_met", "_said")
     rare = held.filter("NOT _often")
     rest = left.join(rare, same(left, rare, names), how).select(*[left[c] for c in rows.columns], "_said")
-    return first.filter("_met").drop("_met").unionByName(rest).select(*rows.columns, *[F.col(f"_said.{c}").alias(c) for c in more])
+    return first.filter("_met").drop("_met").unionByName(rest).select(*rows.columns, *said)
 
 
 def distinct_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +63,12 @@ def containing(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "
     one that ends before it starts contains nothing; null keys contain nothing.
     """
     more = more or []
-    spots = distinct_keys(points.select(*keys, at), [*keys, at])
+    spots = materialise(distinct_keys(points.select(*keys, at), [*keys, at]), "spots")
+    return lookup(points, first_spans(spots, spans, keys, at, more), [*keys, at]).select(*points.columns, "start", "end", *more)
+
+
+def first_spans(spots: DataFrame, spans: DataFrame, keys: list[str], at: str, more: list[str]) -> DataFrame:
+    """Distinct positions (keys, at, ...) with start, end and `more` of the first span that contains each, as in `containing`."""
     start, end = F.col("start").cast("long"), F.col("end").cast("long")
     whole = spans.select(*keys, F.struct(start.alias("start"), end.alias("end"), *more).alias("_span"), _level(start, end).alias("_level")).filter("_span.start <= _span.end")
     bins = F.expr("sequence(shiftright(_span.start, _level), shiftright(_span.end, _level))")
@@ -69,9 +78,9 @@ def containing(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "
     asked = asked.withColumn("_bin", F.expr(f"shiftright(cast(`{at}` AS bigint), _level)"))
     met = asked.join(homes, [*keys, "_level", "_bin"]).filter((F.col("_span.start") <= F.col(at)) & (F.col(at) <= F.col("_span.end")))
     best = met.groupBy(*keys, at).agg(F.min_by("_span", F.struct("_span.start", "_span.end")).alias("_span"))
-    known = spots.join(best, [*keys, at], "left").select(*keys, at, "copies", "_span")
     kinds = {c: spans.schema[c].dataType for c in ("start", "end")}
-    return lookup(points, known, [*keys, at]).select(*points.columns, *[F.col(f"_span.{c}").cast(kinds[c]).alias(c) if c in kinds else F.col(f"_span.{c}").alias(c) for c in ("start", "end", *more)])
+    own = [F.col(f"_span.{c}").cast(kinds[c]).alias(c) if c in kinds else F.col(f"_span.{c}").alias(c) for c in ("start", "end", *more)]
+    return spots.join(best, [*keys, at], "left").select(*spots.columns, *own)
 
 
 def nearest(points: DataFrame, rows: DataFrame, keys: list[str], at: str, position: str, within: int) -> DataFrame:

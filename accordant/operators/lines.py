@@ -12,7 +12,6 @@ import tokenize
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
-import numpy as np
 import pyarrow as pa
 from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
@@ -22,75 +21,80 @@ from accordant.functions import text as T
 
 #: Rows that a table function emits at a time, at most.
 ROWS = 20_000
-#: Tokens that are no part of a statement.
-_SILENT = [tokenize.NEWLINE, tokenize.NL, tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT]
+#: Tokens that are neither part of a statement nor its end.
+_SILENT = [tokenize.NL, tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT]
 #: Fingerprints are numbers in base 256 modulo this prime, which was drawn at random.
 PRIME = 1983613069789375879
 
 
-def _per_file(files: DataFrame, keys: list[str], given: list[str], schema: str, emit: Callable, seen: Accumulator | None) -> DataFrame:
-    """emit(values of `given`) yields record batches without the keys; seen counts the files that went through."""
-    kinds = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+def _per_file(files: DataFrame, keys: list[str], given: list[str], kinds: dict[str, tuple[str, pa.DataType]], emit: Callable, seen: Accumulator | None) -> DataFrame:
+    """emit(values of `given`) returns the rows of a file as lists, a list a column; rows of many small files leave together,
+    those of a large one in pieces.  seen counts the files that went through."""
+    schema = ", ".join([*[f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys], *[f"{c} {kind}" for c, (kind, _) in kinds.items()]])
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                if seen is not None:
-                    seen.add(1)
-                for found in emit(*[b.column(n + j)[i] for j in range(len(given))]):
-                    own = [b.column(k).take(pa.array(np.full(found.num_rows, i))) for k in range(n)]
-                    yield pa.RecordBatch.from_arrays([*own, *found.columns], [*keys, *found.schema.names])
-
-    return files.select(*keys, *given).mapInArrow(run, f"{kinds}, {schema}")
-
-
-def statement_spans(source: str) -> tuple[np.ndarray, np.ndarray]:
+            if seen is not None:
+                seen.add(b.num_rows)
+            values = zip(*[b.column(n + j).to_pylist() for j in range(len(given))])
+            owner, held = [], [[] for _ in kinds]
+
+            def full() -> pa.RecordBatch:
+                own = [b.column(k).take(pa.array(owner, pa.int64())) for k in range(n)]
+                return pa.RecordBatch.from_arrays([*own, *[pa.array(c, kind) for c, (_, kind) in zip(held, kinds.values())]], [*keys, *kinds])
+
+            for i, value in enumerate(values):
+                found = emit(*value)
+                for at in range(0, len(found[0]), ROWS):
+                    if len(owner) >= ROWS:
+                        yield full()
+                        owner, held = [], [[] for _ in kinds]
+                    owner += [i] * len(found[0][at : at + ROWS])
+                    for c, column in zip(held, found):
+                        c += column[at : at + ROWS]
+            if owner:
+                yield full()
+
+    return files.select(*keys, *given).mapInArrow(run, schema)
+
+
+def statement_spans(source: str) -> list[tuple[int, int]]:
     """First and last lines (from 1) of the logical lines of Python source, up to the first token that can't be read."""
-    kinds, rows = [], []
+    spoken = []
     with suppress(tokenize.TokenError, SyntaxError):
         for token in tokenize.generate_tokens(io.StringIO(source).readline):
-            kinds.append(token.type)
-            rows.append(token.start[0])
-    kinds, rows = np.array(kinds, np.int64), np.array(rows, np.int64)
-    ends = np.flatnonzero(kinds == tokenize.NEWLINE)
-    spoken = np.flatnonzero(~np.isin(kinds, _SILENT))
-    before = np.searchsorted(spoken, np.append(-1, ends))  # tokens spoken before each end
-    full = np.diff(before) > 0
-    return rows[spoken[before[:-1][full]]], rows[ends[full]]
-
-
-def _statements(text: pa.Scalar) -> Iterator[pa.RecordBatch]:
-    source = text.as_py() or ""
-    start, end = statement_spans(source)
-    lines = source.split("\n")
-    for at in range(0, len(start), ROWS):
-        own = slice(at, at + ROWS)
-        body = ["\n".join(lines[a - 1 : z]) for a, z in zip(start[own].tolist(), end[own].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(start[own], pa.int32()), pa.array(end[own], pa.int32()), pa.array(body, pa.string())], ["start", "end", "body"])
+            if token.type not in _SILENT:
+                spoken.append((token.type == tokenize.NEWLINE, token.start[0]))
+    ends = [k for k, (last, _) in enumerate(spoken) if last]
+    # Behind each end begins the next line, unless it is an end itself.
+    return [(spoken[a + 1][1], spoken[z][1]) for a, z in zip([-1, *ends], ends) if z > a + 1]
+
+
+def _statements(source: str | None) -> tuple[list, list, list]:
+    spans = statement_spans(source or "")
+    lines = (source or "").split("\n")
+    return [a for a, _ in spans], [z for _, z in spans], ["\n".join(lines[a - 1 : z]) for a, z in spans]
 
 
 def logical_lines(files: DataFrame, keys: list[str], text: str = "text", seen: Accumulator | None = None) -> DataFrame:
     """(keys, start, end, body): the logical lines of each Python file, with their text as it stands."""
-    return _per_file(files, keys, [text], "start int, end int, body string", _statements, seen)
+    kinds = {"start": ("int", pa.int32()), "end": ("int", pa.int32()), "body": ("string", pa.string())}
+    return _per_file(files, keys, [text], kinds, _statements, seen)
 
 
 def fingerprint(raw: bytes) -> int:
     return int.from_bytes(raw, "big") % PRIME
 
 
-def _indexed(lines: pa.Scalar, squashed: pa.Scalar) -> Iterator[pa.RecordBatch]:
-    lines, squashed = lines.values, [x.encode() for x in squashed.as_py()]
-    sizes = np.cumsum([0, *map(len, squashed)])
-    prints = [0]
-    for x in squashed:
-        prints.append((prints[-1] * pow(256, len(x), PRIME) + fingerprint(x)) % PRIME)
-    prints, empty = np.array(prints, np.int64), np.array([not x for x in squashed])
-    followed = np.append(empty[1:], False)
-    for at in range(0, len(lines), ROWS):
-        own, n = slice(at, at + ROWS), min(ROWS, len(lines) - at)
-        columns = [pa.array(np.arange(at + 1, at + n + 1), pa.int32()), lines.slice(at, n), pa.array(sizes[:-1][own]), pa.array(sizes[1:][own]), pa.array(prints[:-1][own]), pa.array(prints[1:][own]), pa.array(empty[own]), pa.array(followed[own])]
-        yield pa.RecordBatch.from_arrays(columns, ["pos", "source_line", "low", "high", "low_print", "high_print", "blank", "blank_next"])
+def _indexed(lines: list[str], squashed: list[str]) -> tuple[list, ...]:
+    raw = [x.encode() for x in squashed]
+    sizes, prints = [0], [0]
+    for x in raw:
+        sizes.append(sizes[-1] + len(x))
+        prints.append((prints[-1] * pow(256, len(x), PRIME) + fingerprint(x)) % PRIME if x else prints[-1])
+    empty = [not x for x in raw]
+    return list(range(1, len(lines) + 1)), lines, sizes[:-1], sizes[1:], prints[:-1], prints[1:], empty, [*empty[1:], False]
 
 
 def line_index(files: DataFrame, keys: list[str], text: str = "text", seen: Accumulator | None = None) -> DataFrame:
@@ -101,8 +105,9 @@ def line_index(files: DataFrame, keys: list[str], text: str = "text", seen: Accu
     """
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     given = files.select(*keys, lines.alias("_lines"), F.transform(lines, T.squash).alias("_squashed"))
-    schema = "pos int, source_line string, low long, high long, low_print long, high_print long, blank boolean, blank_next boolean"
-    return _per_file(given, keys, ["_lines", "_squashed"], schema, _indexed, seen)
+    long, flag = ("long", pa.int64()), ("boolean", pa.bool_())
+    kinds = {"pos": ("int", pa.int32()), "source_line": ("string", pa.string()), "low": long, "high": long, "low_print": long, "high_print": long, "blank": flag, "blank_next": flag}
+    return _per_file(given, keys, ["_lines", "_squashed"], kinds, _indexed, seen)
 
 
 def between(low: Column, high: Column, squashed: Column) -> Column:

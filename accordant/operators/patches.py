@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.operators.joins import containing
+from accordant.scratch import materialise
 
 #: Where a file's last segment ends.
 LAST = (1 << 62) - 1
@@ -89,6 +90,7 @@ def segments(changed: DataFrame, keys: list[str]) -> DataFrame:
 def carried(points: DataFrame, changed: DataFrame, keys: list[str], file: str = "file", line: str = "line") -> DataFrame:
     """The points (keys, file, line, ...) with new_file and new_line: where the patch of their keys puts their line, null where
     it takes the line away.  Files that the patch doesn't touch keep their lines."""
+    changed = materialise(changed, "edits")  # read three times
     spans = segments(changed, keys).withColumnRenamed("old_file", file)
     touched = changed.select(*keys, F.col("old_file").alias(file)).filter(F.col(file).isNotNull()).distinct().withColumn("_touched", F.lit(True))
     found = containing(points, spans, [*keys, file], line, ["new_file", "shift"])

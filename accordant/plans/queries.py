@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant.functions import text as T
-from accordant.operators import agreement, reconcile, results, statements
+from accordant.operators import agreement, joins, reconcile, results, statements
 from accordant.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 def order_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,7 +439,7 @@ def j12_span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     start = F.col("l_linenumber") - F.col("l_linenumber") % 2
     spans = line.filter("l_quantity > 25").select(F.col("l_orderkey").alias("unit"), start.alias("start"), (start + 2).alias("end")).distinct()
-    return statements.containing(line.select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("line")), spans, ["unit"])
+    return joins.containing(line.select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("line")), spans, ["unit"])
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(trim(coalesce(url, '')), '\\', '/', 'g'), '^[./]+', '') AS file, regexp_replace(regexp_replace(url, '^.*?__', ''), '-[0-9]+$', '') AS repo,
