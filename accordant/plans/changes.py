@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant import chains
-from accordant.operators import documents, lines, patches, results, statements
+from accordant.operators import bitmaps, documents, lines, patches, results, statements
 from accordant.plans.more import _SOURCE, order_sources
 from accordant.plans.registry import query, table
 
@@ -119,3 +119,16 @@ def f13_classify_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     cur = F.when(kind == 0, F.concat(F.lit(" "), t, F.lit(" "))).when(kind == 1, spaced).when(kind == 2, F.concat(t, F.lit("."))).when(kind == 3, F.left(t, F.lit(20))).when(kind == 4, "zzz qqq").otherwise("")
     found = table(spark, sf_dir, "documents").select("doc_id", statements.change(cur, t).alias("c"))
     return found.select("doc_id", "c.bucket", F.regexp_replace("c.reason", r"x[0-9.]+", "x").alias("reason"))
+
+
+@query("""WITH u AS (SELECT user_id, ts::date AS d, list_sort(list(DISTINCT event_type)) AS t FROM events GROUP BY 1, 2), g AS (SELECT DISTINCT event_type AS t FROM events),
+  m AS (SELECT user_id, d, string_agg(CASE WHEN list_contains(u.t, g.t) THEN '1' ELSE '0' END, '' ORDER BY g.t) AS mask FROM u, g GROUP BY 1, 2)
+  SELECT 'region ' || mask AS name, count(*) AS n FROM m GROUP BY 1 UNION ALL SELECT 'size ' || event_type, count(DISTINCT (user_id, ts::date)) FROM events GROUP BY event_type UNION ALL SELECT 'union', count(*) FROM u""")
+def x3_bitmap_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' days by event type: sizes, the union and all regions."""
+    events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type")
+    sets = bitmaps.group_bitmaps(events, "event_type", ["user_id", "day"])
+    groups = sorted(results.by_count(events, "event_type"))
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c)).alias("name")
+    out = bitmaps.region_counts(sets, groups).select(named("region ", "mask"), "n").unionByName(bitmaps.sizes(sets).select(named("size ", "group"), "n"))
+    return out.unionByName(bitmaps.union_size(sets).select(F.lit("union").alias("name"), "n"))
