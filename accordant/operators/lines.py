@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import tokenize
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -83,6 +84,25 @@ def logical_lines(files: DataFrame, keys: list[str], text: str = "text", seen: A
     return _per_file(files, keys, [text], kinds, _statements, seen)
 
 
+def _asked(source: str | None, asked: list[dict]) -> tuple[list, ...]:
+    spans = statement_spans(source or "")
+    starts = [a for a, _ in spans]
+    lines = (source or "").split("\n")
+    found = []
+    for x in asked:
+        k = bisect_right(starts, x["n"]) - 1  # spans of a file don't overlap
+        a, z = spans[k] if k >= 0 and spans[k][1] >= x["n"] else (None, None)
+        found.append((x["n"], x["copies"], a, z, None if a is None else "\n".join(lines[a - 1 : z])))
+    return tuple(map(list, zip(*found)))
+
+
+def logical_lines_at(files: DataFrame, keys: list[str], text: str, asked: str, seen: Accumulator | None = None) -> DataFrame:
+    """(keys, n, copies, start, end, body): for each line in the list `asked` (structs of n and copies) the logical line of the
+    Python file that it belongs to, nulls where there is none."""
+    kinds = {"n": ("long", pa.int64()), "copies": ("long", pa.int64()), "start": ("int", pa.int32()), "end": ("int", pa.int32()), "body": ("string", pa.string())}
+    return _per_file(files, keys, [text, asked], kinds, _asked, seen)
+
+
 def fingerprint(raw: bytes) -> int:
     return int.from_bytes(raw, "big") % PRIME
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accordant.functions import text as T
 from accordant.operators import agreement, reconcile, results, statements
 from accordant.plans.registry import query, table
+from accordant.scratch import materialise
 
 # Each order is a source file: a def line, then per line item an assignment, one wrapped over two lines, or a comment.
 _SOURCE = """WITH i AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
@@ -25,7 +26,7 @@ _SOURCE = """WITH i AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s,
 
 
 def order_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(recorded rows, source files) made from orders."""
+    """(recorded rows, source files) made from orders, written once."""
     item = F.struct(*[F.col(c).alias(n) for c, n in (("l_linenumber", "n"), ("l_partkey", "p"), ("l_suppkey", "s"))])
     orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     text = lambda x: x.cast("string")
@@ -49,7 +50,7 @@ def order_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         F.when(k % 7 == 6, "six").otherwise(text(k + 1)).alias("line"),
         stmt.alias("statements"),
     )
-    return rows, sources
+    return materialise(rows, "rows"), materialise(sources, "sources")
 
 
 @query(_SOURCE + " SELECT instance_id, line, start_line, end_line, extracted_statement, note FROM f")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accordant.functions import text as T
 from accordant.operators import agreement, joins, reconcile, results, statements
 from accordant.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
+from accordant.scratch import materialise
 
 def order_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as two raters' locations: side by line status, file by return flag."""
@@ -383,7 +384,7 @@ def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("doc_id") % 17 == 0, "x").when(F.col("doc_id") % 19 == 0, "999999").otherwise(F.col("n").cast("string")).alias("line"),
         stmt.alias("statements"),
     )
-    return rows, sources
+    return materialise(rows, "rows"), materialise(sources, "sources")
 
 
 _CHECKED = (
