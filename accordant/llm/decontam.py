@@ -4,7 +4,9 @@ The training text is cut into shards of a few megabytes inside the tasks.  A sha
 the benchmark's vocabulary (0: a word that no benchmark item has, which also ends every document), and its
 suffixes are sorted by their first words.  Every benchmark suffix is then binary-searched in every shard; the
 range it finds holds all places where a window of the item stands verbatim, and runs of such places are the
-longest verbatim matches.  Suffixes that meet a 0 before the shortest window ends can't hold a window and are
+longest verbatim matches.  A bucket table over the leading words of a shard's suffixes says first for which benchmark
+suffixes that range is empty, so the search itself is for those whose leading words stand in the shard (collisions
+of buckets only add searches).  Suffixes that meet a 0 before the shortest window ends can't hold a window and are
 left out of the array, which changes no result.
 
 The documents are read in one pass without a shuffle.  The benchmark is broadcast; one of more than PART_BYTES of
@@ -27,10 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, same, share
-from .kernels import ALNUM_WORDS, slices, text_bytes, words
+from .kernels import ALNUM_WORDS, mix, slices, text_bytes, words
 
 #: Most bytes of benchmark text that are broadcast at once.
 PART_BYTES = 8 << 20
+#: Buckets of a shard's table over the leading words of its suffixes.
+BUCKETS = 1 << 22
+
+
+def _bucket(leading: np.ndarray) -> np.ndarray:
+    return (mix(leading.astype(np.uint64)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 class Windows:
     """The windows of some benchmark items as word numbers, ready for searching."""
 
@@ -68,6 +78,7 @@ class Windows:
             low.append(a)
             high.append(z)
         self.low, self.high = low, high
+        self.bucket = np.where(low[0] == high[0], _bucket(low[0]), BUCKETS)  # the last one: too short to have one bucket
 
     def find(self, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (word position, window) with the window at that position of the documents (hashes, words each)."""
@@ -93,13 +104,18 @@ class Windows:
             for j in range(k * self.per, (k + 1) * self.per):
                 key = key * self.base + np.where(left[suffix] > j, padded[suffix + j], 0)
             keys.append(key)
+        filled = np.zeros(BUCKETS + 1, bool)
+        filled[_bucket(keys[0])] = filled[BUCKETS] = True
+        asked = np.flatnonzero(filled[self.bucket])
+        if not len(asked):
+            return none, none
         order = np.lexsort(keys[::-1])
         suffix, keys = suffix[order], [k[order] for k in keys]
-        first, last = _bound(keys, self.low, False), _bound(keys, self.high, True)
+        first, last = _bound(keys, [x[asked] for x in self.low], False), _bound(keys, [x[asked] for x in self.high], True)
         many = np.maximum(last - first, 0)
         found = np.flatnonzero(many)
         many = many[found]
-        window = np.repeat(found, many)
+        window = np.repeat(asked[found], many)
         place = np.repeat(first[found], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         return suffix[place], window
 
