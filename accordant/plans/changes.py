@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant import chains
-from accordant.operators import bitmaps, documents, lines, patches, results, statements
+from accordant.operators import alignment, bitmaps, documents, lines, patches, results, statements
 from accordant.plans.more import _SOURCE, order_sources
 from accordant.plans.registry import query, table
 
@@ -132,3 +132,20 @@ def x3_bitmap_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda kind, c: F.concat(F.lit(kind), F.col(c)).alias("name")
     out = bitmaps.region_counts(sets, groups).select(named("region ", "mask"), "n").unionByName(bitmaps.sizes(sets).select(named("size ", "group"), "n"))
     return out.unionByName(bitmaps.union_size(sets).select(F.lit("union").alias("name"), "n"))
+
+
+# The lengths for one more row of the base are the running maximum of: one more than before the place left of it where the nodes
+# are equal, the length so far elsewhere.
+@query("""WITH RECURSIVE e AS (SELECT ts::date AS day, event_type, user_id, row_number() OVER (PARTITION BY ts::date, event_type ORDER BY ts, event_id) AS k FROM events),
+  p AS (SELECT day, lag(day) OVER (ORDER BY day) AS base FROM (SELECT DISTINCT day FROM e)),
+  a AS (SELECT p.day AS run, event_type, k, user_id FROM e JOIN p ON e.day = base), b AS (SELECT p.day AS run, event_type, k, user_id FROM e JOIN p ON e.day = p.day WHERE base IS NOT NULL),
+  g AS (SELECT run, event_type, sum(x)::bigint AS n, sum(y)::bigint AS m FROM (SELECT run, event_type, 1 AS x, 0 AS y FROM a UNION ALL SELECT run, event_type, 0, 1 FROM b) GROUP BY 1, 2),
+  l AS (SELECT run, event_type, k AS j, user_id, 0::bigint AS i, 0::bigint AS best FROM b
+    UNION ALL SELECT l.run, l.event_type, l.j, l.user_id, l.i + 1, max(CASE WHEN a.user_id = l.user_id THEN 1 + l.diagonal ELSE l.best END) OVER (PARTITION BY l.run, l.event_type ORDER BY l.j)
+      FROM (SELECT *, coalesce(lag(best) OVER (PARTITION BY run, event_type ORDER BY j), 0) AS diagonal FROM l) l JOIN a ON a.run = l.run AND a.event_type = l.event_type AND a.k = l.i + 1),
+  c AS (SELECT run, event_type, max(best) AS kept FROM l GROUP BY 1, 2)
+  SELECT g.run, g.event_type, coalesce(kept, 0)::bigint AS kept, (n - coalesce(kept, 0))::bigint AS removed, (m - coalesce(kept, 0))::bigint AS added FROM g LEFT JOIN c ON c.run = g.run AND c.event_type = g.event_type""")
+def x6_run_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's run against the one before as ordered lists: what stays in a shortest edit script, goes and comes."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return alignment.changed(*results.consecutive(e, "day"), ["run", "event_type"], ["ts", "event_id"], "user_id")
