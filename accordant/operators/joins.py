@@ -11,6 +11,14 @@ from accordant.scratch import materialise
 FREQUENT = 10_000
 #: A span of 2**k positions is at home in two bins of level k at most; more than so many levels can't be.
 LEVELS = 63
+#: Rows of a task whose stage sorts them several times, or joins and lists them by a key.
+ROWS_AT_ONCE = 100_000
+
+
+def pieces(*tables: DataFrame) -> int:
+    """How many partitions the largest of the tables should be dealt to, so that a task's share, and with it the memory of its
+    sorts, doesn't grow with the input.  Spark neither joins such partitions again nor holds itself to the session's number."""
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, *[-(-t.count() // ROWS_AT_ONCE) for t in tables])
 
 
 def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:

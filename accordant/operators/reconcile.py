@@ -3,7 +3,8 @@
 Every pass pairs locations that agree on a key, the i-th of one side with the i-th of the other, in order; what is
 left goes to the next pass.  All keys hold the file, so the whole operator needs one shuffle by unit and file: a
 location is matched in a pass if its place in its class is not beyond the other side's count, and pairs are put
-together by a last aggregation on the same keys.  A unit with very many locations is split by file.
+together by a last aggregation on the same keys.  A unit with very many locations is split by file.  The sorts of all
+passes stand in one stage and keep their memory to its end, so its tasks get a fixed share of the rows (`pieces`).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.functions import text as T
+from accordant.operators.joins import pieces
 
 #: Largest line shift that counts as minor.
 TOLERANCE = 10
@@ -24,12 +26,14 @@ def match(locs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     locations of one side only; same_file says whether the other side has any location in that file.  Null lines
     equal each other; a null line on either side has no delta and blocks.
     """
-    rows = locs.select("unit", "side", "idx", "file", "line", "stmt", T.loose_stmt("stmt").alias("loose")).repartition("unit", "file")
+    rows = locs.select("unit", "side", "idx", "file", "line", "stmt", T.loose_stmt("stmt").alias("loose")).repartition(pieces(locs), "unit", "file")
     rows = rows.withColumns({"step": F.lit(None).cast("int"), "place": F.lit(None).cast("long"), "k_line": F.lit(None).cast(rows.schema["line"].dataType), "k_text": F.lit(None).cast("string")})
     peers = None
     for step, (line, words) in enumerate((("line", "stmt"), (None, "stmt"), ("line", None), (None, "loose")), 1):
         # One sort a pass: by key, side and place.  The i-th of B stands behind all of A, and counts need no order.
-        key = [F.col("unit"), F.col("file"), F.col("step").isNull(), *[F.col(c) for c in (words, line) if c]]
+        # Keys are columns, as Spark sorts again for each window whose key holds an expression.
+        rows = rows.withColumn("_free", F.col("step").isNull())
+        key = ["unit", "file", "_free", *[c for c in (words, line) if c]]
         cls = Window.partitionBy(*key)
         rows = rows.withColumn("_rank", F.row_number().over(cls.orderBy("side", "idx")).cast("long"))
         rows = rows.withColumns({"_a": F.count_if(F.col("side") == "A").over(cls), "_all": F.count("*").over(cls)})
@@ -45,29 +49,21 @@ def match(locs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
             changes["k_line"] = F.when(hit, F.col(line)).otherwise(F.col("k_line"))
         if words:
             changes["k_text"] = F.when(hit, F.col(words)).otherwise(F.col("k_text"))
-        rows = rows.withColumns(changes).drop("_rank", "_a", "_all")
-    side = lambda s: F.max(F.when(F.col("side") == s, F.struct("idx", "line", "stmt", "loose")))
-    pairs = (
-        rows.filter("step IS NOT NULL")
-        .groupBy("unit", "file", "step", "k_line", "k_text", "place")
-        .agg(side("A").alias("a"), side("B").alias("b"))
-        .select("unit", "file", "step", F.col("a.idx").alias("a_idx"), F.col("b.idx").alias("b_idx"), F.abs(F.col("a.line") - F.col("b.line")).alias("line_delta"), (F.col("a.loose") == F.col("b.loose")).alias("_loose"), F.lit(True).alias("same_file"))
-    )
-    extra = rows.filter("step IS NULL").select(
-        "unit",
-        "file",
-        F.lit(5).alias("step"),
-        F.when(F.col("side") == "A", F.col("idx")).alias("a_idx"),
-        F.when(F.col("side") == "B", F.col("idx")).alias("b_idx"),
-        F.lit(None).cast(pairs.schema["line_delta"].dataType).alias("line_delta"),
-        F.lit(False).alias("_loose"),
-        (F.col("peers") > 0).alias("same_file"),
-    )
+        rows = rows.withColumns(changes).drop("_free", "_a", "_all", *(["_rank"] if step < 4 else []))
+    # What no pass took is a pair of one: its rank in the last pass, whose class has no other such row, tells it apart.
+    alone = F.col("step").isNull()
+    rows = rows.withColumns({"step": F.coalesce("step", F.lit(5)), "place": F.when(alone, F.col("_rank")).otherwise(F.col("place")), "k_text": F.when(alone, F.col("loose")).otherwise(F.col("k_text"))})
+    side = lambda s: F.max(F.when(F.col("side") == s, F.struct("idx", "line", "loose")))
+    pairs = rows.groupBy("unit", "file", "step", "k_line", "k_text", "place").agg(side("A").alias("a"), side("B").alias("b"), F.max("peers").alias("peers"))
+    pairs = pairs.select(
+        "unit", "file", "step", F.col("a.idx").alias("a_idx"), F.col("b.idx").alias("b_idx"), F.abs(F.col("a.line") - F.col("b.line")).alias("line_delta"),
+        F.coalesce(F.col("a.loose") == F.col("b.loose"), F.lit(False)).alias("_loose"), ((F.col("step") < 5) | (F.col("peers") > 0)).alias("same_file"),
+    )
     near = F.coalesce(F.col("line_delta") <= tolerance, F.lit(False))
     kind = F.when(F.col("step") == 1, "agreed").when(F.col("step") == 2, "line_mismatch").when((F.col("step") == 3) & F.col("_loose"), "statement_formatting")
     kind = kind.when(F.col("step") == 3, "statement_mismatch").when(F.col("step") == 4, "line_and_formatting_mismatch").otherwise("extra_location")
     severity = F.when(F.col("step") == 1, "none").when(F.col("step").isin(2, 4) & near, "minor").when((F.col("step") == 3) & F.col("_loose"), "minor").otherwise("blocking")
-    return pairs.unionByName(extra).select("unit", "file", "step", kind.alias("type"), severity.alias("severity"), "a_idx", "b_idx", "line_delta", "same_file")
+    return pairs.select("unit", "file", "step", kind.alias("type"), severity.alias("severity"), "a_idx", "b_idx", "line_delta", "same_file")
 
 
 def status(units: DataFrame, matches: DataFrame) -> DataFrame:
@@ -135,7 +131,12 @@ def merged(resolved: DataFrame, matches: DataFrame, documents: DataFrame, diffs:
     documents: (unit, side, document, reasoning, n_locations: raw entries, odd ones too).  The metadata has the status, the
     primary side, the exact matches and the raw entries of both, the other side's reasoning, the conflicts (under
     unresolved_conflicts or, with a resolution, resolved_conflicts) and the other differences (diffs: unit, field, a, b).
+
+    Matches are counted and read, so they should be a written table.  All tables are dealt by unit to as many partitions as
+    they ask for, where units are listed and joined without another shuffle.
     """
+    n = pieces(matches, documents)
+    resolved, matches, documents, diffs = (t.repartition(n, "unit") for t in (resolved, matches, documents, diffs))
     found = F.struct("step", "type", "severity", "file", "a_idx", "b_idx", "line_delta")
     conflicts = matches.groupBy("unit").agg(F.count_if(F.col("step") == 1).alias("exact"), F.sort_array(F.collect_list(F.when(F.col("step") > 1, found))).alias("conflicts"))
     other = diffs.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("field", "a", "b"))).alias("informational"))

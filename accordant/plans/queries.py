@@ -16,6 +16,7 @@ def order_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("l_linestatus") == "O", "A").otherwise("B")
     stmt = F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string"), F.when(F.col("l_partkey") % 3 == 0, ",").otherwise(""))
     place = Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_partkey", "l_suppkey", "l_linenumber")
+    line = line.repartition(joins.pieces(line), "l_orderkey")
     return line.select(F.col("l_orderkey").alias("unit"), side.alias("side"), F.row_number().over(place).alias("idx"), F.col("l_returnflag").alias("file"), (F.col("l_linenumber") * 3).alias("line"), stmt.alias("stmt"))
 
 
@@ -84,11 +85,11 @@ _CHOSEN = "CASE unit % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'skip' WHEN
     CASE WHEN c = 'skip' THEN false WHEN c IS NOT NULL THEN true ELSE status <> 'conflict' END AS mergeable FROM (SELECT *, {_CHOSEN} AS c FROM status)"""
 )
 def p20_resolution_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(reconcile.match(order_locations(spark, sf_dir)))
+    return _resolved(materialise(reconcile.match(order_locations(spark, sf_dir)).select("unit", "severity"), "matches"))
 
 
 def _resolved(matches: DataFrame) -> DataFrame:
-    status = reconcile.status(matches, matches)
+    status = materialise(reconcile.status(matches, matches), "status")
     choices = status.select("unit", F.expr(_CHOICES).alias("choice")).filter("choice IS NOT NULL")
     return reconcile.resolve(status, choices, {"second": "B"}, include_minor=True)
 
@@ -109,7 +110,7 @@ _DOCS = "SELECT l_orderkey AS unit, CASE WHEN l_linestatus = 'O' THEN 'A' ELSE '
 )
 def p21_merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged documents of both raters, from the matches, the resolutions and the other differences."""
-    matches = reconcile.match(order_locations(spark, sf_dir))
+    matches = materialise(reconcile.match(order_locations(spark, sf_dir)), "matches")
     side = F.when(F.col("l_linestatus") == "O", "A").otherwise("B").alias("side")
     docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("unit"), side).agg(F.max("l_returnflag").alias("reasoning"), F.count("*").alias("n_locations"))
     docs = docs.withColumn("document", F.concat("side", F.col("unit").cast("string")))
