@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def _text(x: Column | str) -> Column:
     return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What `body` makes of the value, which is worked out once a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm_file(x) -> Column:
     """Trimmed, backslashes as slashes, without any leading dots and slashes."""
     return F.regexp_replace(F.regexp_replace(F.trim(_text(x)), r"\\", "/"), r"^[./]+", "")

@@ -26,9 +26,10 @@ _SOURCE = """WITH i AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s,
 
 
 def order_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(recorded rows, source files) made from orders, written once."""
+    """(recorded rows, source files) made from orders, which are put together and written once."""
     item = F.struct(*[F.col(c).alias(n) for c, n in (("l_linenumber", "n"), ("l_partkey", "p"), ("l_suppkey", "s"))])
     orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    orders = materialise(orders, "orders")
     text = lambda x: x.cast("string")
     line = F.transform(
         "items",
@@ -50,7 +51,7 @@ def order_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         F.when(k % 7 == 6, "six").otherwise(text(k + 1)).alias("line"),
         stmt.alias("statements"),
     )
-    return materialise(rows, "rows"), materialise(sources, "sources")
+    return rows, sources
 
 
 @query(_SOURCE + " SELECT instance_id, line, start_line, end_line, extracted_statement, note FROM f")

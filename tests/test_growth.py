@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from accordant.operators import joins, reconcile
+from accordant.operators import joins, reconcile, statements
 
 
 def test_matching_deals_rows_to_tasks_of_a_fixed_share(spark, monkeypatch):
@@ -11,3 +11,19 @@ def test_matching_deals_rows_to_tasks_of_a_fixed_share(spark, monkeypatch):
     n = F.col("id")
     locs = spark.range(20_000).select((n % 3000).alias("unit"), F.when(n % 2 == 0, "A").otherwise("B").alias("side"), n.cast("int").alias("idx"), F.concat(F.lit("f"), n % 2).alias("file"), (n % 5).cast("int").alias("line"), F.lit("s").alias("stmt"))
     assert reconcile.match(locs).rdd.getNumPartitions() == 40
+
+
+def nodes(tree: str, name: str) -> int:
+    return tree.count(name)
+
+
+def test_expressions_are_worked_out_once(spark):
+    """The margin of a statement used to be worked out again for each of its lines, squeezed texts for each way to say them."""
+    row = spark.createDataFrame([(["    a", "      b", "", "    c"], "x  y", "x y z")], "lines array<string>, cur string, ext string")
+    margin = row.select(statements.dedented(F.col("lines"), F.lit(1), F.lit(4)).alias("t"))
+    assert margin.first()["t"] == "a\n  b\n\nc"
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert nodes(plan(margin), "regexp_extract(") == 1
+    change = row.select(statements.change(F.col("cur"), F.col("ext")).alias("c"))
+    assert tuple(change.first()["c"]) == ("unsafe", "sub-statement pointer, balloons x1.67", 5 / 3)
+    assert nodes(plan(change), "regexp_replace(") == 6
