@@ -15,8 +15,10 @@ LABELS = ["aligned", "partial", "divergent", "contradictory"]
 #: Lowest kappa of each band (fixed values).
 BANDS = [(0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.0, "slight")]
 LOWEST_BAND = "poor (< chance)"
-#: Sets in a block, of which pairs are compared in one task.
-SETS_PER_BLOCK = 2000
+#: Sets in a block, of which pairs are compared in one task; a set goes to as many tasks as there are blocks.
+SETS_PER_BLOCK = 8000
+#: Items that a product counts at a time, and sets of a size that are looked up at a time, which stay in the processor's cache.
+COLUMNS, STRIP = 512, 64
 
 
 def shared_items(elements: DataFrame) -> DataFrame:
@@ -63,6 +65,35 @@ def masi(a: Column, b: Column, both: Column) -> Column:
     return F.when((a == 0) & (b == 0), 0.0).when((a == 0) | (b == 0), 1.0).otherwise(1 - both / (a + b - both) * m)
 
 
+def _shared(row: np.ndarray, token: np.ndarray, own: np.ndarray, other: np.ndarray, bits: int, lanes: int) -> np.ndarray:
+    """How many items each of `own` shares with each of `other`, `lanes` counts of so many bits to a whole number below 2**24.
+
+    Lane k holds the k-th of equal parts of `other`.  Floats keep such numbers exactly, so one product of item matrices
+    counts for all lanes."""
+    part = -(-len(other) // lanes)
+    both = np.zeros((len(own), part), np.float32)
+    at, to = np.full(int(row.max(initial=0)) + 1, -1), np.full(int(row.max(initial=0)) + 1, -1)
+    at[own[own < len(at)]], to[other[other < len(to)]] = np.flatnonzero(own < len(at)), np.flatnonzero(other < len(to))
+    for low in range(0, int(token.max(initial=-1)) + 1, COLUMNS):
+        use = (token >= low) & (token < low + COLUMNS)
+        wide = min(COLUMNS, int(token.max()) + 1 - low)
+        r, t = row[use], token[use] - low
+        mine, theirs = np.zeros((len(own), wide), np.float32), np.zeros((part, wide), np.float32)
+        here = at[r] >= 0
+        mine[at[r[here]], t[here]] = 1
+        for k in range(lanes):
+            here = (to[r] >= 0) & (to[r] // part == k)
+            theirs[to[r[here]] - k * part, t[here]] += 1 << bits * k
+        both += mine @ theirs.T
+    return both
+
+
+def _near(shared: np.ndarray, a: float, b: np.ndarray) -> np.ndarray:
+    """1 - MASI distance of sets of sizes a and b that share so many items."""
+    steps = np.where((shared == a) & (shared == b), 1.0, np.where((shared == a) | (shared == b), 2 / 3, np.where(shared > 0, 1 / 3, 0.0)))
+    return shared / np.maximum(1, a + b - shared) * steps
+
+
 def _closeness(block: pa.Table) -> pa.Table:
     """Sum of times * times * (1 - MASI distance) over the pairs of sets of two blocks, by a product of their item matrices.
     Sets are as large as `size` says; of what they share only `items` counts here."""
@@ -74,23 +105,29 @@ def _closeness(block: pa.Table) -> pa.Table:
     mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     inside = not len(other)  # a block against itself
     other = mine if inside else other
-    place = np.zeros(len(size), np.int64)
-    place[mine], place[other] = np.arange(len(mine)), np.arange(len(other))
-    both = np.zeros((len(mine), len(other)), np.float32)
-    for low in range(0, int(token.max(initial=-1)) + 1, 2048):  # a few columns at a time
-        use = (token >= low) & (token < low + 2048)
-        dense = []
-        for own, which in ((mine, 0), (other, 0 if inside else 1)):
-            at = use & (side[row] == which)
-            m = np.zeros((len(own), 2048), np.float32)
-            m[place[row[at]], token[at] - low] = 1
-            dense.append(m)
-        both += dense[0] @ dense[1].T
-    a, b = size[mine][:, None], size[other][None, :]
-    steps = np.where((both == a) & (both == b), 1.0, np.where((both == a) | (both == b), 2 / 3, np.where(both > 0, 1 / 3, 0.0)))
-    close = both / np.maximum(1, a + b - both) * steps
-    total = float(times[mine] @ close @ times[other]) * (1 if inside else 2)
-    return pa.table({"granularity": block["granularity"][:1], "close": pa.array([total])})
+    mine = mine[np.argsort(size[mine], kind="stable")]
+    most = int(min(held[mine].max(initial=0), held[other].max(initial=0)))
+    bits = max(1, most.bit_length())
+    lanes = max(1, min(24 // bits, len(other)))
+    both = _shared(row, token, mine, other, bits, lanes)
+    sizes, kind = np.unique(size[other], return_inverse=True)
+    shared, b = np.arange(1 << bits, dtype=np.float64)[None, :], sizes[:, None].astype(np.float64)
+    total, part = 0.0, both.shape[1]
+    for a in np.unique(size[mine]):
+        first, last = np.searchsorted(size[mine], [a, a + 1])
+        # What two sizes and a count come to is looked up, if there are fewer such cases than pairs.
+        few = len(sizes) << bits <= (last - first) * len(other)
+        close = _near(shared, a, b).ravel() if few else None
+        for at in range(first, last, STRIP):
+            rows = slice(at, min(at + STRIP, last))
+            packed = both[rows].astype(np.int64)
+            for k in range(lanes):
+                own = other[k * part : (k + 1) * part]
+                count = (packed[:, : len(own)] >> bits * k) & ((1 << bits) - 1)
+                if few:
+                    count += kind[k * part : (k + 1) * part] << bits
+                total += float(times[mine[rows]] @ ((close.take(count, mode="clip") if few else _near(count, a, size[own][None, :].astype(np.int64))) @ times[own]))
+    return pa.table({"granularity": block["granularity"][:1], "close": pa.array([total * (1 if inside else 2)])})
 
 
 #: An item that so many distinct sets hold or fewer is a light one: its sets meet as rows.

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +41,28 @@ def test_sparse_sets_make_few_pairs(spark):
 def test_empty_sets_of_sets(spark):
     none = spark.createDataFrame([], "granularity string, items array<string>, times double")
     assert agreement.closeness(none).count() == 0
+
+
+@pytest.mark.parametrize("names, most", [(120, 46), (3000, 700), (5, 2)])
+@pytest.mark.parametrize("inside", [True, False])
+def test_packed_counts_are_those_of_all_pairs(names, most, inside):
+    """Sets whose counts share a number of a product, by several columns, with many sizes and with few."""
+    draw = random.Random(most)
+    sets = [sorted(draw.sample(range(names), draw.randrange(1, min(most, names) + 1))) for _ in range(61)]
+    side = [0 if inside else k % 2 for k in range(61)]
+    times = [float(draw.randrange(1, 4)) for _ in sets]
+    block = pa.table({"granularity": ["g"] * 61, "times": times, "items": pa.array(sets, pa.list_(pa.int64())), "size": pa.array(map(len, sets), pa.int32()), "side": pa.array(side, pa.int32())})
+    pairs = [(x, y) for x in range(61) for y in range(61) if inside or side[x] != side[y]]
+    want = sum(times[x] * times[y] * masi(set(sets[x]), set(sets[y])) for x, y in pairs)
+    assert agreement._closeness(block)["close"][0].as_py() == pytest.approx(want, rel=1e-12)
+
+
+def test_work_follows_items_and_blocks(monkeypatch):
+    """A product used to be 2,048 columns wide, whatever items there are, and a set went to four times as many tasks."""
+    assert agreement.SETS_PER_BLOCK >= 8000
+    made = []
+    zeros = np.zeros
+    monkeypatch.setattr(agreement.np, "zeros", lambda shape, *a: made.append(shape) or zeros(shape, *a))
+    sets = [[k % 7, 7 + k % 5] for k in range(35)]
+    agreement._closeness(pa.table({"granularity": ["g"] * 35, "times": [1.0] * 35, "items": pa.array(sets, pa.list_(pa.int64())), "size": pa.array([2] * 35, pa.int32()), "side": pa.array([0] * 35, pa.int32())}))
+    assert max(x[1] for x in made if isinstance(x, tuple)) <= 12
