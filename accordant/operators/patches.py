@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions import text as T
 from accordant.operators.joins import containing
 from accordant.scratch import materialise
 
@@ -21,8 +22,8 @@ _HEAD = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 def _name(head: Column, mark: str) -> Column:
     """The file that a `--- ` or `+++ ` line names, without a/ or b/ and without a time stamp; null for /dev/null and none."""
     said = F.regexp_extract(head, rf"(?m)^{mark} (.*)$", 1)
-    plain = F.regexp_replace(F.regexp_replace(said, "[\t\r].*$", ""), '^"?[ab]/|"$', "")
-    return F.when((said != "") & ~said.startswith("/dev/null"), plain)
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, "[\t\r].*$", ""), '^"?[ab]/|"$', "")
+    return T.let(said, lambda x: F.when((x != "") & ~x.startswith("/dev/null"), plain(x)))
 
 
 def hunks(patches: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -38,9 +39,11 @@ def hunks(patches: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     files = files.select(*keys, "_file", parts.alias("_parts")).filter(F.size("_parts") > 1)
     head = F.get("_parts", 0)
     each = files.select(*keys, "_file", _name(head, "---").alias("old_file"), _name(head, r"\+\+\+").alias("new_file"), F.posexplode(F.slice("_parts", 2, 1 << 30)).alias("hunk", "_h"))
-    number = lambda k: F.regexp_extract("_h", _HEAD, k)
+    # One look at a head for its four numbers.
+    each = each.filter(F.col("_h").rlike(_HEAD)).withColumn("_n", F.split(F.regexp_replace("_h", _HEAD + "(?s:.*)", "$1 $2 $3 $4"), " ", -1))
+    number = lambda k: F.get("_n", k - 1)
     count = lambda k: F.when(number(k) == "", 1).otherwise(number(k).try_cast("int"))
-    each = each.filter(F.col("_h").rlike(_HEAD)).select(
+    each = each.select(
         *keys, "_file", "old_file", "new_file", "hunk", *[c.alias(n) for c, n in ((number(1).cast("long"), "old_start"), (count(2), "old_count"), (number(3).cast("long"), "new_start"), (count(4), "new_count"))], F.slice(F.split("_h", "\n", -1), 2, 1 << 30).alias("lines")
     )
     return each

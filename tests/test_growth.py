@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from accordant.operators import joins, reconcile, statements
+from accordant.operators import joins, patches, reconcile, statements
 
 
 def test_matching_deals_rows_to_tasks_of_a_fixed_share(spark, monkeypatch):
@@ -27,3 +27,11 @@ def test_expressions_are_worked_out_once(spark):
     change = row.select(statements.change(F.col("cur"), F.col("ext")).alias("c"))
     assert tuple(change.first()["c"]) == ("unsafe", "sub-statement pointer, balloons x1.67", 5 / 3)
     assert nodes(plan(change), "regexp_replace(") == 6
+
+
+def test_heads_of_hunks_are_read_once(spark):
+    """A head used to be matched anew for each of its numbers, and twice for counts; missing counts are one."""
+    text = "--- a/x\n+++ b/x\n@@ -3 +4,2 @@ f\r\n-a\n+b\n+c\n"
+    found = patches.hunks(spark.createDataFrame([(1, text)], "k int, text string"), ["k"])
+    assert found.select("old_file", "new_file", "old_start", "old_count", "new_start", "new_count").first()[:] == ("x", "x", 3, 1, 4, 2)
+    assert nodes(found._jdf.queryExecution().analyzed().toString(), "regexp_extract(_h") == 0
