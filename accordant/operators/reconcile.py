@@ -66,18 +66,31 @@ def match(locs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     return pairs.select("unit", "file", "step", kind.alias("type"), severity.alias("severity"), "a_idx", "b_idx", "line_delta", "same_file")
 
 
-def status(units: DataFrame, matches: DataFrame) -> DataFrame:
-    """(unit, status): conflict with any blocking match, minor_conflict with any minor one, else agree."""
-    worst = matches.groupBy("unit").agg(F.max(F.when(F.col("severity") == "blocking", 2).when(F.col("severity") == "minor", 1).otherwise(0)).alias("worst"))
+def _dealt(parts: int | None, *tables: DataFrame) -> list[DataFrame]:
+    """The tables dealt by unit to `parts` partitions, where they are grouped and joined without another shuffle; None: as they are."""
+    return [t.repartition(parts, "unit") for t in tables] if parts else list(tables)
+
+
+def status(units: DataFrame, matches: DataFrame, parts: int | None = None) -> DataFrame:
+    """(unit, status): conflict with any blocking match, minor_conflict with any minor one, else agree.
+
+    units may be the matches themselves.  parts: how many partitions to deal units to (`pieces`), else the session's number.
+    """
+    (own,) = _dealt(parts, matches.select("unit", "severity"))
+    worst = own.groupBy("unit").agg(F.max(F.when(F.col("severity") == "blocking", 2).when(F.col("severity") == "minor", 1).otherwise(0)).alias("worst"))
     named = F.when(F.col("worst") == 2, "conflict").when(F.col("worst") == 1, "minor_conflict").otherwise("agree")
-    return units.select("unit").distinct().join(worst, "unit", "left").select("unit", named.alias("status"))
+    if units is not matches:
+        (asked,) = _dealt(parts, units.select("unit"))
+        worst = asked.distinct().join(worst, "unit", "left")
+    return worst.select("unit", named.alias("status"))
 
 
-def counts(matches: DataFrame) -> DataFrame:
-    """(kind, name, n, share): units by status and matches by type, of one pass over the matches."""
+def counts(matches: DataFrame, parts: int | None = None) -> DataFrame:
+    """(kind, name, n, share): units by status and matches by type, of one pass over the matches; parts as in `status`."""
     types = ["agreed", "line_mismatch", "statement_formatting", "statement_mismatch", "line_and_formatting_mismatch", "extra_location"]
     worst = F.max(F.when(F.col("severity") == "blocking", 2).when(F.col("severity") == "minor", 1).otherwise(0))
-    unit = matches.groupBy("unit").agg(worst.alias("worst"), *[F.count_if(F.col("type") == t).alias(t) for t in types])
+    (own,) = _dealt(parts, matches.select("unit", "severity", "type"))
+    unit = own.groupBy("unit").agg(worst.alias("worst"), *[F.count_if(F.col("type") == t).alias(t) for t in types])
     named = F.when(F.col("worst") == 2, "conflict").when(F.col("worst") == 1, "minor_conflict").otherwise("agree")
     row = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), name.alias("name"), n.cast("long").alias("n"))
     found = unit.select(F.explode(F.array(row("status", named, F.lit(1)), *[row("type", F.lit(t), F.col(t)) for t in types])).alias("x")).groupBy("x.kind", "x.name").agg(F.sum("x.n").alias("n"))
@@ -103,16 +116,18 @@ def call_site_diffs(sites: DataFrame) -> DataFrame:
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("unit", shown("a").alias("a"), shown("b").alias("b"))
 
 
-def resolve(statuses: DataFrame, resolutions: DataFrame, names: dict[str, str] | None = None, include_minor: bool = False) -> DataFrame:
+def resolve(statuses: DataFrame, resolutions: DataFrame, names: dict[str, str] | None = None, include_minor: bool = False, parts: int | None = None) -> DataFrame:
     """(unit, status, final, choice, mergeable) under a table (unit, choice): A or B in either case, skip, or a rater's name; blanks
     around it don't count, others say nothing.
 
     final: skipped_by_resolution, resolved (also where both agreed) or the status; mergeable: agreed, resolved, or minor if asked for.
+    parts as in `status`.
     """
     said = F.trim("choice")
     choice = F.when(F.upper(said).isin("A", "B"), F.upper(said)).otherwise(said)
     for name, side in (names or {}).items():
         choice = F.when(said == name, side).otherwise(choice)
+    statuses, resolutions = _dealt(parts, statuses, resolutions)
     known = resolutions.select("unit", choice.alias("choice")).filter(F.col("choice").isin("A", "B", "skip")).groupBy("unit").agg(F.max("choice").alias("choice"))
     final = F.when(F.col("choice") == "skip", "skipped_by_resolution").when(F.col("choice").isNotNull(), "resolved").otherwise(F.col("status"))
     good = ["agree", "resolved"] + (["minor_conflict"] if include_minor else [])
@@ -136,7 +151,7 @@ def merged(resolved: DataFrame, matches: DataFrame, documents: DataFrame, diffs:
     they ask for, where units are listed and joined without another shuffle.
     """
     n = pieces(matches, documents)
-    resolved, matches, documents, diffs = (t.repartition(n, "unit") for t in (resolved, matches, documents, diffs))
+    resolved, matches, documents, diffs = _dealt(n, resolved, matches, documents, diffs)
     found = F.struct("step", "type", "severity", "file", "a_idx", "b_idx", "line_delta")
     conflicts = matches.groupBy("unit").agg(F.count_if(F.col("step") == 1).alias("exact"), F.sort_array(F.collect_list(F.when(F.col("step") > 1, found))).alias("conflicts"))
     other = diffs.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("field", "a", "b"))).alias("informational"))

@@ -65,7 +65,8 @@ def j2_multi_pass_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'type', type, count(*), round(count(*) / sum(count(*)) OVER (), 6) FROM matches GROUP BY type"""
 )
 def a1_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.counts(reconcile.match(order_locations(spark, sf_dir)))
+    locs = order_locations(spark, sf_dir)
+    return reconcile.counts(reconcile.match(locs))
 
 
 @query(_MATCHED + " SELECT CASE WHEN a_idx IS NULL THEN 'B' ELSE 'A' END AS only_in, same_file, count(*) AS n FROM matches WHERE step = 5 GROUP BY ALL")
@@ -89,9 +90,10 @@ def p20_resolution_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolved(matches: DataFrame) -> DataFrame:
-    status = materialise(reconcile.status(matches, matches), "status")
+    parts = joins.pieces(matches)
+    status = materialise(reconcile.status(matches, matches, parts), "status")
     choices = status.select("unit", F.expr(_CHOICES).alias("choice")).filter("choice IS NOT NULL")
-    return reconcile.resolve(status, choices, {"second": "B"}, include_minor=True)
+    return reconcile.resolve(status, choices, {"second": "B"}, include_minor=True, parts=parts)
 
 
 _DOCS = "SELECT l_orderkey AS unit, CASE WHEN l_linestatus = 'O' THEN 'A' ELSE 'B' END AS side, max(l_returnflag) AS reasoning, count(*) AS n FROM lineitem GROUP BY 1, 2"
@@ -112,9 +114,11 @@ def p21_merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged documents of both raters, from the matches, the resolutions and the other differences."""
     matches = materialise(reconcile.match(order_locations(spark, sf_dir)), "matches")
     side = F.when(F.col("l_linestatus") == "O", "A").otherwise("B").alias("side")
-    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("unit"), side).agg(F.max("l_returnflag").alias("reasoning"), F.count("*").alias("n_locations"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), side, "l_returnflag")
+    line = line.repartition(joins.pieces(line), "unit")
+    docs = line.groupBy("unit", "side").agg(F.max("l_returnflag").alias("reasoning"), F.count("*").alias("n_locations"))
     docs = docs.withColumn("document", F.concat("side", F.col("unit").cast("string")))
-    diffs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit")).distinct().filter("unit % 4 = 0").select("unit", F.lit("confidence").alias("field"), F.lit("1").alias("a"), F.lit("2").alias("b"))
+    diffs = line.select("unit").distinct().filter("unit % 4 = 0").select("unit", F.lit("confidence").alias("field"), F.lit("1").alias("a"), F.lit("2").alias("b"))
     m = F.col("merge_metadata")
     size = lambda c: F.when(m[c].isNull(), 0).otherwise(F.size(m[c])).cast("long")
     return reconcile.merged(_resolved(matches), matches, docs, diffs).select(

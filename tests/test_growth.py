@@ -1,8 +1,12 @@
 """What a task holds, and how often work is done, as tables grow."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from accordant.operators import joins, patches, reconcile, statements
+from accordant.plans import queries
 
 
 def test_matching_deals_rows_to_tasks_of_a_fixed_share(spark, monkeypatch):
@@ -13,6 +17,16 @@ def test_matching_deals_rows_to_tasks_of_a_fixed_share(spark, monkeypatch):
     assert reconcile.match(locs).rdd.getNumPartitions() == 40
 
 
+@pytest.mark.parametrize("name", ["p20_resolution_override", "p21_merge_documents"])
+def test_units_are_dealt_to_tasks_of_a_fixed_share(spark, sf, monkeypatch, name):
+    """What follows the matcher used to be grouped and joined by unit in the session's number of partitions, whatever the rows."""
+    monkeypatch.setattr(joins, "ROWS_AT_ONCE", 500)
+    monkeypatch.setattr(queries, "materialise", lambda df, _: df)  # all in one plan
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((?:unit|l_orderkey)#\d+L?(?:, \w+#\d+)*, (\d+)\)", plan)
+    assert len(dealt) > 2 and min(map(int, dealt)) > 9  # of 6,000 rows, some 5,400 matches; the session has 4
+
+
 def nodes(tree: str, name: str) -> int:
     return tree.count(name)
 
