@@ -66,7 +66,7 @@ def j2_multi_pass_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a1_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     locs = order_locations(spark, sf_dir)
-    return reconcile.counts(reconcile.match(locs))
+    return reconcile.counts(reconcile.match(locs), joins.pieces(locs))
 
 
 @query(_MATCHED + " SELECT CASE WHEN a_idx IS NULL THEN 'B' ELSE 'A' END AS only_in, same_file, count(*) AS n FROM matches WHERE step = 5 GROUP BY ALL")

@@ -17,7 +17,7 @@ def test_matching_deals_rows_to_tasks_of_a_fixed_share(spark, monkeypatch):
     assert reconcile.match(locs).rdd.getNumPartitions() == 40
 
 
-@pytest.mark.parametrize("name", ["p20_resolution_override", "p21_merge_documents"])
+@pytest.mark.parametrize("name", ["a1_status_counts", "p20_resolution_override", "p21_merge_documents"])
 def test_units_are_dealt_to_tasks_of_a_fixed_share(spark, sf, monkeypatch, name):
     """What follows the matcher used to be grouped and joined by unit in the session's number of partitions, whatever the rows."""
     monkeypatch.setattr(joins, "ROWS_AT_ONCE", 500)
