@@ -1,11 +1,13 @@
 """What a task holds, and how often work is done, as tables grow."""
 
+import random
 import re
+import tokenize
 
 import pytest
 from pyspark.sql import functions as F
 
-from accordant.operators import joins, patches, reconcile, statements
+from accordant.operators import joins, lines, patches, reconcile, statements
 from accordant.plans import queries
 
 
@@ -49,3 +51,14 @@ def test_heads_of_hunks_are_read_once(spark):
     found = patches.hunks(spark.createDataFrame([(1, text)], "k int, text string"), ["k"])
     assert found.select("old_file", "new_file", "old_start", "old_count", "new_start", "new_count").first()[:] == ("x", "x", 3, 1, 4, 2)
     assert nodes(found._jdf.queryExecution().analyzed().toString(), "regexp_extract(_h") == 0
+
+
+def test_plain_source_is_not_tokenized(monkeypatch):
+    """Every file used to go through the tokenizer; of source that only brackets and margins tell, lines are read at once."""
+    parts = ["x", "if", "1", "007", "1.", "1a", "=", "(", ")", "[", "]", "{", "}", ",", ":", ";", " ", "\n", "\n    ", "\n  ", "# c (", "'a'", "\\\n", "\t", "$", "\u00e9"]
+    draw = random.Random(11)
+    sources = ["".join(draw.choices(parts, [1, 1, 1] + [0.2] * 3 + [1] * 15 + [0.1] * 5, k=draw.randrange(30))) for _ in range(20_000)]
+    plain = [(s, found) for s in sources if (found := lines._plain_spans(s)) is not None]
+    assert len(plain) > 1000 and all(found == lines._spoken_spans(s) for s, found in plain)
+    monkeypatch.setattr(tokenize, "generate_tokens", None)
+    assert lines.statement_spans("def f():\n    # a (\n    v = g(1,\n\n          2)  # b\n\n    x = 3") == [(1, 1), (3, 5), (7, 7)]
