@@ -21,16 +21,17 @@ def pieces(*tables: DataFrame) -> int:
     return max(tables[0].sparkSession.sparkContext.defaultParallelism, *[-(-t.count() // ROWS_AT_ONCE) for t in tables])
 
 
-def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
-    """Null-safe equality on pairs of columns, as a join condition."""
+def same(left: DataFrame, right: DataFrame, pairs: dict[str, str], nulls: bool = True) -> Column:
+    """Equality on pairs of columns, as a join condition: null-safe, for which Spark sorts by two columns a key, or not."""
     condition = F.lit(True)
     for a, b in pairs.items():
-        condition = condition & left[a].eqNullSafe(right[b])
+        condition = condition & (left[a].eqNullSafe(right[b]) if nulls else left[a] == right[b])
     return condition
 
 
-def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str = "copies", how: str = "inner") -> DataFrame:
-    """The rows with what `keyed` (one row a key) says of them, nulls in keys being equal; how: inner or left.
+def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str = "copies", how: str = "inner", nulls: bool = True) -> DataFrame:
+    """The rows with what `keyed` (one row a key) says of them, nulls in keys being equal (or, without `nulls`, equal to
+    nothing); how: inner or left.
 
     copies: the column of `keyed` with the number of rows that have the key.  Keys of one row in FREQUENT or more are matched
     by a broadcast, which can hold FREQUENT rows at most, so that their rows stay where they are; all others by a join.
@@ -42,12 +43,12 @@ def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str = "co
     names = {k: f"_k_{k}" for k in keys}
     said = [F.col(f"_said.{c}").alias(c) for c in more]
     if not most or most * FREQUENT < total:  # no key is that frequent
-        return rows.join(held, same(rows, held, names), how).select(*[rows[c] for c in rows.columns], *said)
+        return rows.join(held, same(rows, held, names, nulls), how).select(*[rows[c] for c in rows.columns], *said)
     often = F.broadcast(held.filter("_often"))
-    first = rows.join(often, same(rows, often, names), "left").select(*[rows[c] for c in rows.columns], F.col("_often").isNotNull().alias("_met"), "_said")
+    first = rows.join(often, same(rows, often, names, nulls), "left").select(*[rows[c] for c in rows.columns], F.col("_often").isNotNull().alias("_met"), "_said")
     left = first.filter("NOT _met").drop("_met", "_said")
     rare = held.filter("NOT _often")
-    rest = left.join(rare, same(left, rare, names), how).select(*[left[c] for c in rows.columns], "_said")
+    rest = left.join(rare, same(left, rare, names, nulls), how).select(*[left[c] for c in rows.columns], "_said")
     return first.filter("_met").drop("_met").unionByName(rest).select(*rows.columns, *said)
 
 

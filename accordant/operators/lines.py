@@ -27,7 +27,7 @@ ROWS = 20_000
 _SILENT = [tokenize.NL, tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT]
 #: Source of names, plain numbers, operators, brackets, spaces and comments in ASCII alone: nothing in it can't be read but for
 #: brackets and margins, and a # always begins a comment.
-_PLAIN = re.compile(r"(?:[A-Za-z_]\w*+|(?:0|[1-9][0-9]*+)(?![\w.])|[-+*/%&|^~<>=.,:;@()\[\]{} \n]|#[\t -~]*+)*+", re.ASCII)
+_PLAIN = re.compile(r"(?:[-+*/%&|^~<>=.,:;@()\[\]{} \n]++|[A-Za-z_]\w*+|(?:0|[1-9][0-9]*+)(?![\w.])|#[\t -~]*+)*+", re.ASCII)
 _BRACKETS = re.compile(r"[()\[\]{}]")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 #: The tokenizer gives up at deeper margins and brackets than these, which are left to it.

@@ -62,3 +62,20 @@ def test_plain_source_is_not_tokenized(monkeypatch):
     assert len(plain) > 1000 and all(found == lines._spoken_spans(s) for s, found in plain)
     monkeypatch.setattr(tokenize, "generate_tokens", None)
     assert lines.statement_spans("def f():\n    # a (\n    v = g(1,\n\n          2)  # b\n\n    x = 3") == [(1, 1), (3, 5), (7, 7)]
+
+
+def test_extraction_reads_rows_once_for_files_and_sorts_by_plain_keys(spark):
+    """Rows used to be put together once more to list the files, and looked up by two columns a key, as if keys could be null."""
+    body = "def f():\n    x = 1 \x0c\n    v = g(1,\n      2)\n"
+    sources = spark.createDataFrame([("p", "c", "a.py", body)], "repo string, commit string, path string, text string")
+    rows = spark.createDataFrame([("o__p-1", "c", f, n, s) for f in ("a.py", "b.py", None) for n in ("2", "4", None) for s in ("x  =  1", "1", None)], "instance_id string, base_commit string, file string, line string, statements string")
+    found = statements.extract(rows, sources)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "coalesce(path" not in plan and "isnull(path" not in plan
+    said = {tuple(r) for r in found.filter("file = 'a.py' AND line IS NOT NULL").select("line", "statements", "start_line", "extracted_statement", "note").collect()}
+    wrapped = "v = g(1,\n  2)"
+    assert said == {
+        ("2", "x  =  1", 2, "x = 1", ""), ("2", "1", 2, "x = 1", ""), ("2", None, 2, "x = 1", ""),
+        ("4", "x  =  1", 3, wrapped, "multiline; current_not_contained"), ("4", "1", 3, wrapped, "multiline"), ("4", None, 3, wrapped, "multiline"),
+    }
+    assert {r["note"] for r in found.filter("file IS NULL OR line IS NULL OR file = 'b.py'").collect()} == {"no_location", "line_not_int (ignored)", "path_or_commit_missing"}
