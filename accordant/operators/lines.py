@@ -14,7 +14,9 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,24 +77,29 @@ def _plain_spans(source: str) -> list[tuple[int, int]] | None:
         return None
     found, margins, opened, first = [], [0], [], 0
     for n, line in enumerate(source.split("\n"), 1):
-        code = line.partition("#")[0].strip(" ")
-        if not code:
+        code = line.lstrip(" ")
+        if not code or code[0] == "#":
             continue
         if not opened:
-            first, wide = n, len(line) - len(line.lstrip(" "))
+            first, wide = n, len(line) - len(code)
             if wide > margins[-1]:
                 margins.append(wide)
+                if len(margins) > _DEEP:
+                    return None
             while wide < margins[-1]:
                 margins.pop()
-            if wide != margins[-1] or len(margins) > _DEEP:
+            if wide != margins[-1]:
                 return None
-        for c in _BRACKETS.findall(code):
-            if c not in _CLOSES:
-                opened.append(c)
-            elif not opened or opened.pop() != _CLOSES[c]:
+        if "#" in code:
+            code = code.partition("#")[0]
+        if "(" in code or ")" in code or "[" in code or "]" in code or "{" in code or "}" in code:
+            for c in _BRACKETS.findall(code):
+                if c not in _CLOSES:
+                    opened.append(c)
+                elif not opened or opened.pop() != _CLOSES[c]:
+                    return None
+            if len(opened) > _DEEP:
                 return None
-        if len(opened) > _DEEP:
-            return None
         if not opened:
             found.append((first, n))
     return None if opened else found
@@ -128,24 +135,58 @@ def logical_lines(files: DataFrame, keys: list[str], text: str = "text", seen: A
     return _per_file(files, keys, [text], kinds, _statements, seen)
 
 
-def _asked(source: str | None, asked: list[int], copies: list[int]) -> tuple[list, ...]:
-    spans = statement_spans(source or "")
-    starts = [a for a, _ in spans]
-    lines = (source or "").split("\n")
-    found = []
-    for n in asked:
-        k = bisect_right(starts, n) - 1  # spans of a file don't overlap
-        a, z = spans[k] if k >= 0 and spans[k][1] >= n else (None, None)
-        found.append((a, z, None if a is None else "\n".join(lines[a - 1 : z])))
-    return asked, copies, *map(list, zip(*found))
-
-
-def logical_lines_at(files: DataFrame, keys: list[str], text: str, asked: str, seen: Accumulator | None = None) -> DataFrame:
-    """(keys, n, copies, start, end, body): for each line in the list `asked` (structs of n and copies) the logical line of the
-    Python file that it belongs to, nulls where there is none."""
-    kinds = {"n": ("long", pa.int64()), "copies": ("long", pa.int64()), "start": ("int", pa.int32()), "end": ("int", pa.int32()), "body": ("string", pa.string())}
-    given = files.select(*keys, text, F.col(f"{asked}.n").alias("_n"), F.col(f"{asked}.copies").alias("_copies"))  # flat lists
-    return _per_file(given, keys, [text, "_n", "_copies"], kinds, _asked, seen)
+def lines_in_turn(rows: DataFrame, keys: list[str], seen: Accumulator | None = None) -> DataFrame:
+    """(keys, row, there, start, end, body): of each row (keys, text, n, row) that stands behind the texts of its keys in a partition
+    the logical line of that Python file that line n belongs to, nulls where there is none.
+
+    Rows whose `row` is null are texts; the first that isn't null counts, and `there` says whether there was any.  A file is cut
+    when its first row comes, and only one file is held at a time, so a task's memory doesn't grow with the rows.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (*keys, "row")}
+    schema = ", ".join([*[f"`{c}` {kind}" for c, kind in kinds.items()], "there boolean, start int, end int, body string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, there, text, starts, spans, lines = None, False, None, None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [b.column(k) for k in range(len(keys))]
+            changed = np.zeros(b.num_rows, bool)
+            for c in own:  # null keys equal nothing
+                changed[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+            changed[0] = held != [c[0].as_py() for c in own]
+            held = [c[-1].as_py() for c in own]
+            asks = pc.is_valid(b.column(len(keys) + 2)).to_numpy(zero_copy_only=False)
+            numbers = b.column(len(keys) + 1).fill_null(0).to_numpy().tolist()
+            found = []
+            for i, (new, ask, said, n) in enumerate(zip(changed.tolist(), asks.tolist(), b.column(len(keys)).to_pylist(), numbers)):
+                if new:
+                    there, text, starts = False, None, None
+                if not ask:
+                    there, text = True, said if text is None else text
+                    continue
+                if not there:
+                    found.append((False, None, None, None))
+                    continue
+                if starts is None:
+                    if seen is not None:
+                        seen.add(1)
+                    spans, lines = statement_spans(text or ""), (text or "").split("\n")
+                    starts = [a for a, _ in spans]
+                k = bisect_right(starts, n) - 1  # spans of a file don't overlap
+                a, z = spans[k] if k >= 0 else (0, -1)
+                if z < n:
+                    found.append((True, None, None, None))
+                else:
+                    found.append((True, a, z, lines[a - 1] if a == z else "\n".join(lines[a - 1 : z])))
+            rest = b.filter(pa.array(asks))
+            types = (pa.bool_(), pa.int32(), pa.int32(), pa.string())
+            for at in range(0, len(found), ROWS):
+                part = rest.slice(at, ROWS)
+                told = [pa.array(c, kind) for c, kind in zip(zip(*found[at : at + ROWS]), types)]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keys))], part.column(len(keys) + 2), *told], [*kinds, "there", "start", "end", "body"])
+
+    return rows.select(*keys, "text", "n", "row").mapInArrow(run, schema)
 
 
 def fingerprint(raw: bytes) -> int:

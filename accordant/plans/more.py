@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant.functions import text as T
-from accordant.operators import agreement, reconcile, results, statements
+from accordant.operators import agreement, joins, reconcile, results, statements
 from accordant.plans.registry import query, table
 from accordant.scratch import materialise
 
@@ -28,7 +28,9 @@ _SOURCE = """WITH i AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s,
 def order_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(recorded rows, source files) made from orders, which are put together and written once."""
     item = F.struct(*[F.col(c).alias(n) for c, n in (("l_linenumber", "n"), ("l_partkey", "p"), ("l_suppkey", "s"))])
-    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    line = table(spark, sf_dir, "lineitem")
+    line = line.repartition(joins.pieces(line), "l_orderkey")  # lists are put together once
+    orders = line.groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     orders = materialise(orders, "orders")
     text = lambda x: x.cast("string")
     line = F.transform(
