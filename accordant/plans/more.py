@@ -69,7 +69,8 @@ def a34_extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SOURCE + " SELECT instance_id, string_agg(line || ':' || start_line || '-' || end_line || ' ' || extracted_statement, '|' ORDER BY line) AS spans FROM f WHERE start_line IS NOT NULL GROUP BY 1")
 def a33_spans_by_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.transform("spans", lambda x: F.concat(x["line"], F.lit(":"), x["start_line"].cast("string"), F.lit("-"), x["end_line"].cast("string"), F.lit(" "), x["statement"]))
-    return statements.spans_by_instance(statements.extract(*order_sources(spark, sf_dir))).select("instance_id", F.array_join(said, "|").alias("spans"))
+    rows, sources = order_sources(spark, sf_dir)
+    return statements.spans_by_instance(statements.extract(rows, sources), joins.pieces(rows)).select("instance_id", F.array_join(said, "|").alias("spans"))
 
 
 @query(_SOURCE + " SELECT instance_id, file, line, statements AS old, extracted_statement AS new FROM f WHERE start_line IS NOT NULL AND statements <> extracted_statement")
