@@ -96,7 +96,7 @@ def test_extraction_deals_rows_to_tasks_of_a_fixed_share(spark, monkeypatch):
         assert (r["start_line"], r["end_line"], r["extracted_statement"], r["note"]) == want
 
 
-@pytest.mark.parametrize("name", ["a34_extract_summary", "a33_spans_by_instance"])
+@pytest.mark.parametrize("name", ["a34_extract_summary", "a33_spans_by_instance", "p22_replacements"])
 def test_extracting_queries_deal_rows_to_tasks_of_a_fixed_share(spark, sf, monkeypatch, name):
     """No exchange of rows, or of what is found for them, stands at the session's number of partitions."""
     monkeypatch.setattr(joins, "ROWS_AT_ONCE", 500)
