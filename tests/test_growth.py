@@ -30,6 +30,14 @@ def test_units_are_dealt_to_tasks_of_a_fixed_share(spark, sf, monkeypatch, name)
     assert len(dealt) > 2 and min(map(int, dealt)) > 9  # of 6,000 rows, some 5,400 matches; the session has 4
 
 
+def test_probe_of_unmatched_rows_deals_them_to_tasks_of_a_fixed_share(spark, sf, monkeypatch):
+    """The windows and pairs of the matcher used to stand in the session's number of partitions here too."""
+    monkeypatch.setattr(joins, "ROWS_AT_ONCE", 500)
+    plan = queries.j3_same_side_probe(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((?:unit|l_orderkey)#\d+L?(?:, \w+#\d+)*, (\d+)\)", plan)
+    assert len(dealt) > 1 and min(map(int, dealt)) > 9  # of 6,000 rows; the session has 4
+
+
 def nodes(tree: str, name: str) -> int:
     return tree.count(name)
 
