@@ -13,6 +13,7 @@ import tokenize
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import suppress
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ _BRACKETS = re.compile(r"[()\[\]{}]")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 #: The tokenizer gives up at deeper margins and brackets than these, which are left to it.
 _DEEP = 50
+#: What may stand behind the margin of a blank line: nothing, or a line end of another kind.
+_ENDS = {"", "\r", "\x85", "\u2028", "\u2029"}
 #: Fingerprints are numbers in base 256 modulo this prime, which was drawn at random.
 PRIME = 1983613069789375879
 
@@ -135,18 +138,28 @@ def logical_lines(files: DataFrame, keys: list[str], text: str = "text", seen: A
     return _per_file(files, keys, [text], kinds, _statements, seen)
 
 
+def dedent(lines: list[str]) -> str:
+    """As the column function `statements.dedented` of all these lines."""
+    bare = [x.lstrip(" \t") for x in lines]
+    if len(lines) == 1:
+        return bare[0].rstrip()
+    wide = len(commonprefix([x[: len(x) - len(b)] if b not in _ENDS else "" for x, b in zip(lines, bare) if b]))
+    return "\n".join([b if b in _ENDS else x[wide:] for x, b in zip(lines, bare)]).lstrip("\n").rstrip()
+
+
 def lines_in_turn(rows: DataFrame, keys: list[str], seen: Accumulator | None = None) -> DataFrame:
-    """(keys, row, there, start, end, body): of each row (keys, text, n, row) that stands behind the texts of its keys in a partition
-    the logical line of that Python file that line n belongs to, nulls where there is none.
+    """(keys, row, there, start, end, statement): of each row (keys, text, n, row) that stands behind the texts of its keys in a
+    partition the logical line of that Python file that line n belongs to, as `dedent` leaves it, nulls where there is none.
 
     Rows whose `row` is null are texts; the first that isn't null counts, and `there` says whether there was any.  A file is cut
     when its first row comes, and only one file is held at a time, so a task's memory doesn't grow with the rows.
     """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (*keys, "row")}
-    schema = ", ".join([*[f"`{c}` {kind}" for c, kind in kinds.items()], "there boolean, start int, end int, body string"])
+    schema = ", ".join([*[f"`{c}` {kind}" for c, kind in kinds.items()], "there boolean, start int, end int, statement string"])
+    nowhere, lost = (True, None, None, None), (False, None, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, there, text, starts, spans, lines = None, False, None, None, [], []
+        held, there, text, starts, spans, lines, told = None, False, None, None, [], [], {}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -166,25 +179,27 @@ def lines_in_turn(rows: DataFrame, keys: list[str], seen: Accumulator | None = N
                     there, text = True, said if text is None else text
                     continue
                 if not there:
-                    found.append((False, None, None, None))
+                    found.append(lost)
                     continue
                 if starts is None:
                     if seen is not None:
                         seen.add(1)
-                    spans, lines = statement_spans(text or ""), (text or "").split("\n")
+                    spans, lines, told = statement_spans(text or ""), (text or "").split("\n"), {}
                     starts = [a for a, _ in spans]
                 k = bisect_right(starts, n) - 1  # spans of a file don't overlap
-                a, z = spans[k] if k >= 0 else (0, -1)
-                if z < n:
-                    found.append((True, None, None, None))
-                else:
-                    found.append((True, a, z, lines[a - 1] if a == z else "\n".join(lines[a - 1 : z])))
+                if k < 0 or spans[k][1] < n:
+                    found.append(nowhere)
+                    continue
+                if k not in told:
+                    a, z = spans[k]
+                    told[k] = (True, a, z, dedent(lines[a - 1 : z]))
+                found.append(told[k])
             rest = b.filter(pa.array(asks))
             types = (pa.bool_(), pa.int32(), pa.int32(), pa.string())
             for at in range(0, len(found), ROWS):
                 part = rest.slice(at, ROWS)
-                told = [pa.array(c, kind) for c, kind in zip(zip(*found[at : at + ROWS]), types)]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keys))], part.column(len(keys) + 2), *told], [*kinds, "there", "start", "end", "body"])
+                said = [pa.array(c, kind) for c, kind in zip(zip(*found[at : at + ROWS]), types)]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keys))], part.column(len(keys) + 2), *said], [*kinds, "there", "start", "end", "statement"])
 
     return rows.select(*keys, "text", "n", "row").mapInArrow(run, schema)
 

@@ -113,6 +113,19 @@ def test_extracting_queries_deal_rows_to_tasks_of_a_fixed_share(spark, sf, monke
     assert len(dealt) >= (2 if name.startswith("a33") else 1) and min(map(int, dealt)) > 9  # of 6,000 rows; the session has 4
 
 
+def test_extracted_text_is_made_once_a_span(spark, sf):
+    """Margins used to be cut by column functions, for each row that asks and again in the filter on what differs; the file and commit
+    of a row went twice, as keys and inside of it."""
+    plan = more.p22_replacements(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_extract(" not in plan and "base_commit, " not in plan
+    draw = random.Random(5)
+    parts = ["a", "b c", " ", "  ", "\t", "\n", "\n  ", "\r", "\x85", "\u2028", "\u2029", "\xa0", "\x1c", "\u3000", "\u200b", "\f"]
+    bodies = spark.createDataFrame([("".join(draw.choices(parts, k=draw.randrange(12))),) for _ in range(5000)], "body string")
+    split = F.split("body", "\n", -1)
+    made = bodies.select("body", statements.dedented(split, F.lit(1), F.size(split)).alias("text")).collect()
+    assert len({r["text"] for r in made}) > 1000 and all(r["text"] == lines.dedent(r["body"].split("\n")) for r in made)
+
+
 @pytest.mark.parametrize("text", [None, "", "a__b-12", "a__b__c-1-23", "b-12", "__-", "a__-1", "a__12", "a__b-", "a__b-x1", "x\n__b-1", "a__b-1\n", "a__b-1\u2028", "\u00e9__\u00fc-9", "a___b-1"])
 def test_repo_names_without_patterns(spark, text):
     """Names are cut without patterns, which took more time than reading the rows; what patterns say of line ends stays."""
