@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,10 +17,17 @@ LABELS = ["aligned", "partial", "divergent", "contradictory"]
 #: Lowest kappa of each band (fixed values).
 BANDS = [(0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.0, "slight")]
 LOWEST_BAND = "poor (< chance)"
-#: Sets in a block, of which pairs are compared in one task; a set goes to as many tasks as there are blocks.
-SETS_PER_BLOCK = 8000
-#: Items that a product counts at a time, and sets of a size that are looked up at a time, which stay in the processor's cache.
-COLUMNS, STRIP = 512, 64
+#: Sets in a block, and their items, of which pairs are compared in one task; a set goes to as many tasks as there are blocks.
+SETS_PER_BLOCK, ITEMS_PER_BLOCK = 32768, 1 << 22
+#: Partitions of the comparison at most; there is one for each pair of blocks up to then.
+PAIRS_AT_ONCE = 10_000
+#: Words of a tile and sets that are compared with it at a time, so that a call has enough to do; words and codes of a tile at most.
+WORDS, STRIP, CELLS = 600, 64, 1 << 20
+#: Operations that a word of 64 sets may take for all counts that may occur; beyond it each set's count is taken apart.
+OPERATIONS = 400
+#: What the two lowest bits, or one of them, add to what a count without them is worth: (count, sign) each.
+GAINS = {0: [(0, 1)], 1: [(1, 1), (0, -1)], 2: [(2, 1), (0, -1)], 3: [(3, 1), (2, -1), (1, -1), (0, 1)]}
+
 
 
 def shared_items(elements: DataFrame) -> DataFrame:
@@ -31,16 +40,22 @@ def overlaps(sides: DataFrame) -> DataFrame:
     return sides.groupBy("granularity", "unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("both"))
 
 
+def rated(elements: DataFrame) -> DataFrame:
+    """Elements to (granularity, unit, a, b): the sets of both sides, in which hashes stand for the items."""
+    item = F.xxhash64("item")
+    chosen = [F.array_sort(F.collect_set(F.when(F.col("side") == side, item))).alias(side.lower()) for side in "AB"]
+    return elements.filter("item IS NOT NULL").groupBy("granularity", "unit").agg(*chosen)
+
+
 def set_metrics(elements: DataFrame, places: int = 6, granularities: list[str] | None = None) -> DataFrame:
     """Macro and micro Jaccard and Dice by granularity; 1 where there is nothing to compare, as in a granularity without elements."""
-    return _set_metrics(shared_items(elements), places, granularities)
+    return _set_metrics(overlaps(shared_items(elements)), places, granularities)
 
 
-def _set_metrics(sides: DataFrame, places: int, granularities: list[str] | None) -> DataFrame:
+def _set_metrics(sizes: DataFrame, places: int, granularities: list[str] | None) -> DataFrame:
     union = F.col("a") + F.col("b") - F.col("both")
     found = (
-        overlaps(sides)
-        .groupBy("granularity")
+        sizes.groupBy("granularity")
         .agg(F.avg(F.when(union > 0, F.col("both") / union)).alias("m"), F.sum("both").alias("i"), F.sum(union).alias("u"), F.sum(F.col("a") + F.col("b")).alias("s"))
     )
     return every(found, granularities).select(
@@ -65,69 +80,234 @@ def masi(a: Column, b: Column, both: Column) -> Column:
     return F.when((a == 0) & (b == 0), 0.0).when((a == 0) | (b == 0), 1.0).otherwise(1 - both / (a + b - both) * m)
 
 
-def _shared(row: np.ndarray, token: np.ndarray, own: np.ndarray, other: np.ndarray, bits: int, lanes: int) -> np.ndarray:
-    """How many items each of `own` shares with each of `other`, `lanes` counts of so many bits to a whole number below 2**24.
-
-    Lane k holds the k-th of equal parts of `other`.  Floats keep such numbers exactly, so one product of item matrices
-    counts for all lanes."""
-    part = -(-len(other) // lanes)
-    both = np.zeros((len(own), part), np.float32)
-    at, to = np.full(int(row.max(initial=0)) + 1, -1), np.full(int(row.max(initial=0)) + 1, -1)
-    at[own[own < len(at)]], to[other[other < len(to)]] = np.flatnonzero(own < len(at)), np.flatnonzero(other < len(to))
-    for low in range(0, int(token.max(initial=-1)) + 1, COLUMNS):
-        use = (token >= low) & (token < low + COLUMNS)
-        wide = min(COLUMNS, int(token.max()) + 1 - low)
-        r, t = row[use], token[use] - low
-        mine, theirs = np.zeros((len(own), wide), np.float32), np.zeros((part, wide), np.float32)
-        here = at[r] >= 0
-        mine[at[r[here]], t[here]] = 1
-        for k in range(lanes):
-            here = (to[r] >= 0) & (to[r] // part == k)
-            theirs[to[r[here]] - k * part, t[here]] += 1 << bits * k
-        both += mine @ theirs.T
-    return both
-
-
-def _near(shared: np.ndarray, a: float, b: np.ndarray) -> np.ndarray:
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin in columns of one length, and that length."""
+    first = np.arange(len(columns[0])) == 0
+    for c in columns:
+        first[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(first), len(first))
+
+
+def _near(shared: np.ndarray | float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """1 - MASI distance of sets of sizes a and b that share so many items."""
-    steps = np.where((shared == a) & (shared == b), 1.0, np.where((shared == a) | (shared == b), 2 / 3, np.where(shared > 0, 1 / 3, 0.0)))
+    steps = np.where((shared == a) & (shared == b), 1.0, np.where((shared == a) | (shared == b), 2 / 3, np.where(np.greater(shared, 0), 1 / 3, 0.0)))
     return shared / np.maximum(1, a + b - shared) * steps
 
 
+class _Sets:
+    """Some sets of a block in a given order: codes of their items one set after the other (`token`, from `begin`), how many, size, times."""
+
+    def __init__(self, token: np.ndarray, begin: np.ndarray, held: np.ndarray, size: np.ndarray, times: np.ndarray, order: np.ndarray):
+        self.held, self.size, self.times = held[order], size[order].astype(float), times[order]
+        self.begin = np.concatenate([[0], np.cumsum(self.held)])
+        self.token = token[np.repeat(begin[order] - self.begin[:-1], self.held) + np.arange(self.begin[-1])]
+
+    def codes(self, start: int, stop: int, none: int) -> np.ndarray:
+        """A row of codes for each of the sets, filled up with `none`."""
+        out = np.full((stop - start, int(self.held[start:stop].max())), none)
+        out[np.arange(out.shape[1]) < self.held[start:stop, None]] = self.token[self.begin[start] : self.begin[stop]]
+        return out
+
+
+def _tiles(other: _Sets, place: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Stretches of words (from, to), the codes that their sets have, and for each code a row of bits, 1 where a set has it, and in
+    the end a row of zeros.  place: each set's bit; ends: the first set of each word.  With many codes a stretch is halved."""
+    cuts = np.linspace(0, len(ends) - 1, -(-(len(ends) - 1) // WORDS) + 1).astype(int).tolist()
+    left = list(zip(cuts[:-1], cuts[1:]))
+    while left:
+        low, high = left.pop()
+        first, last = ends[low], ends[high]
+        codes, row = np.unique(other.token[other.begin[first] : other.begin[last]], return_inverse=True)
+        if len(codes) * (high - low) > CELLS and high - low > 1:
+            left += [(low, (low + high) // 2), ((low + high) // 2, high)]
+            continue
+        bits = np.zeros((len(codes) + 1, high - low), np.uint64)
+        word, bit = (np.repeat(x, other.held[first:last]) for x in (place[first:last] // 64 - low, place[first:last] % 64))
+        np.bitwise_or.at(bits, (row, word), np.uint64(1) << bit.astype(np.uint64))
+        yield low, high, codes, bits
+
+
+def _planes(bits: np.ndarray, listed: np.ndarray, spare: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the rows of bits that are listed for each set, how many are 1 at each place: plane k has the bits 2**k of these numbers.
+    spare: arrays of this shape that are free; those that become free are put there, as new ones cost more than the operations."""
+    levels: list[list[np.ndarray]] = [[]]
+
+    def carry(level: int) -> None:
+        """Two or three planes of a level to one of it and one of the next."""
+        a, b, *more = levels[level]
+        both = np.bitwise_xor(a, b, out=_free(spare, a))
+        np.bitwise_and(a, b, out=a)
+        for c in more:
+            np.bitwise_and(both, c, out=b)
+            np.bitwise_or(a, b, out=a)
+            np.bitwise_xor(both, c, out=both)
+        spare.extend([b, *more])
+        levels[level] = [both]
+        if level + 1 == len(levels):
+            levels.append([])
+        levels[level + 1].append(a)
+
+    rows = np.ascontiguousarray(listed.T)
+    shape = np.broadcast_to(np.uint64(0), (len(listed), bits.shape[1]))
+    for row in rows:
+        levels[0].append(bits.take(row, axis=0, out=_free(spare, shape), mode="clip"))
+        level = 0
+        while len(levels[level]) == 3:
+            carry(level)
+            level += 1
+    level = 0
+    while level < len(levels):
+        if len(levels[level]) > 1:
+            carry(level)
+        level += 1
+    return [have[0] for have in levels]
+
+
+def _free(spare: list[np.ndarray], like: np.ndarray) -> np.ndarray:
+    return spare.pop() if spare else np.empty(like.shape, like.dtype)
+
+
+def _counts(planes: list[np.ndarray], spare: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(n, more, places): where the planes hold n to n + 3 (more 0), and of these places the ones with the lowest bit (1), the next
+    one (2) or both (3), for each multiple n of 4 that occurs.  Places are good until the next ones are asked for."""
+    lowest = [(k + 1, x) for k, x in enumerate(planes[:2])]
+    if len(lowest) == 2:
+        lowest.append((3, np.bitwise_and(*planes[:2], out=_free(spare, planes[0]))))
+    left: list[tuple[int, int, np.ndarray | None]] = [(0, len(planes), None)]
+    while left:
+        number, level, places = left.pop()
+        if level <= 2:
+            if number:
+                yield number, 0, places
+            for bits, plane in lowest:
+                if places is None:
+                    yield number, bits, plane
+                    continue
+                both = np.bitwise_and(places, plane, out=_free(spare, plane))
+                yield number, bits, both
+                spare.append(both)
+            if places is not None:
+                spare.append(places)
+            continue
+        plane = planes[level - 1]
+        one = np.bitwise_and(plane if places is None else places, plane, out=_free(spare, plane))
+        zero = np.invert(one, out=_free(spare, plane)) if places is None else np.bitwise_xor(places, one, out=places)
+        for value, part in ((number, zero), (number | 1 << level - 1, one)):
+            if part.view(bool).any():
+                left.append((value, level - 1, part))
+            else:
+                spare.append(part)
+    spare.extend(planes + [x for _, x in lowest[2:]])
+
+
+def _numbers(planes: list[np.ndarray]) -> np.ndarray:
+    """The numbers that planes hold, one for each place."""
+    kind = np.uint8 if len(planes) <= 8 else np.int32
+    return sum(np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").astype(kind, copy=False) << k for k, x in enumerate(planes))
+
+
+def _met(mine: _Sets, other: _Sets, codes: int, inside: bool) -> float:
+    """Sum of times * times * (1 - MASI distance) over the pairs of two lists of sets, or over all ordered pairs of one (inside).
+
+    Sets of one size and times share words, so what a set shares with 64 of them is counted by operations on bits, and
+    each count that occurs is worth the same for all places of a word.  Where words would be nearly empty, counts are very
+    many or few sets have the same size, words hold any sets and their counts are taken apart."""
+    runs = _runs(other.size, other.times)
+    each = np.diff(runs)
+    classes = _runs(mine.size)
+    mixed = len(classes) * 8 > len(mine.size)
+    full = len(other.size) / (64 * (-(-each // 64)).sum())
+    alone = mixed or min(mine.held.max(), other.held.max()) > OPERATIONS * full
+    first = np.concatenate([[0], np.cumsum(-(-each // 64))[:-1]]) * 64
+    place = np.arange(len(other.size)) + (0 if alone else np.repeat(first - runs[:-1], each))
+    ends = np.searchsorted(place, 64 * np.arange(place[-1] // 64 + 2))
+    if mixed:
+        classes = np.array([0, len(mine.size)])
+    total, times = 0.0, mine.times
+    whole = (times == np.floor(times)).all() and times.max() * 64 * STRIP < 1 << 24
+    kind = np.float32 if whole else np.float64  # sums of whole numbers are exact
+    for low, high, found, bits in _tiles(other, place, ends):
+        known = np.full(codes + 1, len(found))
+        known[found] = np.arange(len(found))
+        use = slice(ends[low], ends[high]) if alone else ends[low:high]
+        size, weight = other.size[use], other.times[use]
+        sizes, kinds = np.unique(size, return_inverse=True)
+        # Inside, larger ones stand for both orders.  What a bit adds to n, and both together add to what each adds.
+        worth = lambda n, a: _near(n, a, size) * weight * (np.where(size > a, 2, size == a) if inside else 1)  # noqa: B023, E731
+        gain = lambda n, more, a: sum(sign * worth(n + k, a) for k, sign in GAINS[more])  # noqa: B023, E731
+        for start, stop in zip(classes[:-1].tolist(), classes[1:].tolist()):
+            if inside and size[-1] < mine.size[start]:
+                continue
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            spare: list[np.ndarray] = []
+            table = None
+            if alone:
+                most = np.arange(min(mine.size[start], size[-1]) + 1)[:, None]
+                if not mixed and len(most) * len(sizes) <= (stop - start) * len(size):  # what each count of each size is worth is looked up
+                    table = _near(most, mine.size[start], sizes) * (np.where(sizes > mine.size[start], 2, sizes == mine.size[start]) if inside else 1)
+            at = start
+            while at < stop:
+                to = min(at + STRIP, stop)
+                while to - at > 1 and (to - at) * mine.held[at:to].max() > CELLS:
+                    to = (at + to) // 2
+                if spare and len(spare[0]) != to - at:
+                    spare.clear()
+                listed = known[mine.codes(at, to, codes)]
+                listed.sort(axis=1)  # what no set of the tile has goes to the end
+                planes = _planes(bits, listed[:, : max(1, (listed < len(found)).sum(axis=1).max())], spare)
+                own, at = slice(at, to), to
+                if alone:
+                    for k in range(at - len(planes[0]), at, 8):
+                        few = slice(k, min(k + 8, at))
+                        counts = _numbers([x[few.start - own.start : few.stop - own.start] for x in planes])[:, place[use] - 64 * low]
+                        if table is None:
+                            total += float(times[few] @ worth(counts, mine.size[few, None]).sum(axis=1))
+                        else:
+                            total += float(times[few] @ (table.take(counts.astype(np.intp) * len(sizes) + kinds) @ weight))
+                    spare.extend(planes)
+                    continue
+                for n, more, places in _counts(planes, spare):
+                    many = np.bitwise_count(places).astype(kind)
+                    met = times[own].astype(kind, copy=False) @ many
+                    sums[n, more] = sums[n, more] + met if (n, more) in sums else met.astype(float)
+            total += sum(float(x @ gain(n, more, mine.size[start])) for (n, more), x in sums.items())
+    return total
+
+
 def _closeness(block: pa.Table) -> pa.Table:
-    """Sum of times * times * (1 - MASI distance) over the pairs of sets of two blocks, by a product of their item matrices.
-    Sets are as large as `size` says; of what they share only `items` counts here."""
+    """Sum of times * times * (1 - MASI distance) over the pairs of sets of two blocks, or of all ordered pairs of one.  Sets are
+    as large as `size` says; of what they share only `items` counts here."""
     side, times, size = (block[c].to_numpy() for c in ("side", "times", "size"))
     items = block["items"].combine_chunks()
-    held = np.diff(items.offsets.to_numpy())
-    token = np.unique(items.values.to_numpy(), return_inverse=True)[1] if len(items.values) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(size)), held)
-    mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    inside = not len(other)  # a block against itself
-    other = mine if inside else other
-    mine = mine[np.argsort(size[mine], kind="stable")]
-    most = int(min(held[mine].max(initial=0), held[other].max(initial=0)))
-    bits = max(1, most.bit_length())
-    lanes = max(1, min(24 // bits, len(other)))
-    both = _shared(row, token, mine, other, bits, lanes)
-    sizes, kind = np.unique(size[other], return_inverse=True)
-    shared, b = np.arange(1 << bits, dtype=np.float64)[None, :], sizes[:, None].astype(np.float64)
-    total, part = 0.0, both.shape[1]
-    for a in np.unique(size[mine]):
-        first, last = np.searchsorted(size[mine], [a, a + 1])
-        # What two sizes and a count come to is looked up, if there are fewer such cases than pairs.
-        few = len(sizes) << bits <= (last - first) * len(other)
-        close = _near(shared, a, b).ravel() if few else None
-        for at in range(first, last, STRIP):
-            rows = slice(at, min(at + STRIP, last))
-            packed = both[rows].astype(np.int64)
-            for k in range(lanes):
-                own = other[k * part : (k + 1) * part]
-                count = (packed[:, : len(own)] >> bits * k) & ((1 << bits) - 1)
-                if few:
-                    count += kind[k * part : (k + 1) * part] << bits
-                total += float(times[mine[rows]] @ ((close.take(count, mode="clip") if few else _near(count, a, size[own][None, :].astype(np.int64))) @ times[own]))
-    return pa.table({"granularity": block["granularity"][:1], "close": pa.array([total * (1 if inside else 2)])})
+    begin, held = items.offsets.to_numpy()[:-1], np.diff(items.offsets.to_numpy())
+    coded = items.values.dictionary_encode()
+    sets = lambda which, *by: _Sets(coded.indices.to_numpy(), begin, held, size, times, (o := np.lexsort(by))[((side == which) & (held > 0))[o]])
+    mine, inside = sets(0, held, size), not (side == 1).any()
+    other = sets(0 if inside else 1, times, size)
+    total = _met(mine, other, len(coded.dictionary), inside) * (1 if inside else 2) if len(mine.size) and len(other.size) else 0.0
+    return pa.table({"granularity": block["granularity"][:1], "close": pa.array([total])})
+
+
+def _packed(block: pa.Table) -> pa.Table:
+    """The sets of a block (times, items, size) as one row."""
+    items = block["items"].combine_chunks()
+    listed = pa.ListArray.from_arrays(items.offsets, items.values.dictionary_encode())
+    sets, sink = pa.table({"times": block["times"].combine_chunks(), "items": listed, "size": block["size"].combine_chunks()}), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, sets.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(sets)
+    return pa.table({c: block[c][:1] for c in ("granularity", "own", "blocks")} | {"sets": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _compared(pair: pa.Table) -> pa.Table:
+    """_closeness of one or two blocks, each as `_packed` makes it."""
+    blocks = []
+    for side, sets in enumerate(pair["sets"]):
+        block = pa.ipc.open_stream(sets.as_buffer()).read_all()
+        items = block["items"].combine_chunks()
+        items = pa.ListArray.from_arrays(items.offsets, items.values.dictionary_decode())
+        blocks.append(pa.table({"times": block["times"], "items": items, "size": block["size"], "side": pa.array(np.full(len(block), side, np.int32))}))
+    both = pa.concat_tables(blocks)
+    return _closeness(both.append_column("granularity", pa.array([pair["granularity"][0].as_py()] * len(both), pa.string())))
 
 
 #: An item that so many distinct sets hold or fewer is a light one: its sets meet as rows.
@@ -140,16 +320,29 @@ def closeness(kinds: DataFrame, light: int = LIGHT) -> DataFrame:
     kinds: (granularity, items, times), distinct sets that aren't empty.  Only pairs that share an item count.  Items that at
     most `light` sets hold are inverted: the pairs of sets in their lists are rows, at most `light` for each element.  By the
     other items alone, sets with the same ones and the same size are one; these are dealt into blocks of about
-    SETS_PER_BLOCK, and a task multiplies the item matrices of two blocks.  Pairs from the lists then replace what the
+    SETS_PER_BLOCK, and a task compares all sets of two blocks.  Pairs from the lists then replace what the
     blocks made of them.  So work grows with the square only of the number of different heavy parts.
     """
-    own = materialise(kinds.select("granularity", "times", F.transform("items", lambda x: F.xxhash64(x)).alias("items"), F.size("items").alias("size"), F.monotonically_increasing_id().alias("id")), "kinds")
+    return _close(_numbered(kinds.select("granularity", "times", F.array_sort(F.transform("items", lambda x: F.xxhash64(x))).alias("items"))), light)
+
+
+def _numbered(kinds: DataFrame) -> DataFrame:
+    """Distinct sets of hashes, written, with their size and an id."""
+    return materialise(kinds.withColumn("size", F.size("items")).withColumn("id", F.monotonically_increasing_id()), "kinds")
+
+
+def _close(own: DataFrame, light: int) -> DataFrame:
+    """closeness of sets as `_numbered` makes them."""
+    keys = ["granularity", "item"]
     elements = own.select("granularity", "id", F.explode("items").alias("item"))
-    weighed = lookup(elements, distinct_keys(elements, ["granularity", "item"]).withColumn("n", F.col("copies")), ["granularity", "item"])
-    weighed = materialise(weighed, "weighed")
-    heavy = weighed.filter(F.col("n") > light).groupBy("granularity", "id").agg(F.array_sort(F.collect_list("item")).alias("heavy"))
-    sets = materialise(own.drop("items").join(heavy, ["granularity", "id"], "left").withColumn("heavy", F.coalesce("heavy", F.array().cast("array<bigint>"))), "sets")
-    rare = weighed.filter(F.col("n") <= light).select("granularity", "item", "id")
+    counted = materialise(distinct_keys(elements, keys), "items")
+    if counted.filter(F.col("copies") <= light).isEmpty():  # every set is its heavy part
+        return _dense(own.select("granularity", "times", "items", "size")).groupBy("granularity").agg(F.sum("close").alias("close"))
+    weighed = lookup(elements, counted.withColumn("n", F.col("copies")), keys)
+    rare = materialise(weighed.filter(F.col("n") <= light).select("granularity", "item", "id"), "rare")
+    lists = rare.groupBy("granularity", "id").agg(F.collect_list("item").alias("_rare"))
+    heavy = F.when(F.col("_rare").isNull(), F.col("items")).otherwise(F.array_except("items", "_rare"))
+    sets = materialise(own.join(lists, ["granularity", "id"], "left").select("granularity", "id", "times", "size", heavy.alias("heavy")), "sets")
     other = rare.select("granularity", "item", F.col("id").alias("with"))
     pairs = rare.join(other, ["granularity", "item"]).filter(F.col("id") <= F.col("with")).groupBy("granularity", "id", "with").agg(F.count("*").alias("both"))
     first = sets.select("granularity", "id", F.col("size").alias("a"), F.col("times").alias("x"), F.col("heavy").alias("h"))
@@ -158,12 +351,22 @@ def closeness(kinds: DataFrame, light: int = LIGHT) -> DataFrame:
     gained = masi(F.col("a"), F.col("b"), F.col("_h")) - masi(F.col("a"), F.col("b"), F.col("_h") + F.col("both"))
     gained = met.select("granularity", (F.col("x") * F.col("y") * F.when(F.col("id") == F.col("with"), 1).otherwise(2) * gained).alias("close"))
     alike = materialise(sets.filter(F.size("heavy") > 0).groupBy("granularity", F.col("heavy").alias("items"), "size").agg(F.sum("times").alias("times")), "alike")
-    blocks = alike.groupBy("granularity").agg(F.ceil(F.count("*") / SETS_PER_BLOCK).cast("int").alias("blocks"))
+    return _dense(alike).unionByName(gained).groupBy("granularity").agg(F.sum("close").alias("close"))
+
+
+def _dense(alike: DataFrame) -> DataFrame:
+    """(granularity, close) of each pair of blocks of written sets (granularity, times, items, size).  A block is written
+    as one row, and such rows are what goes to the tasks that compare it with the others."""
+    held = alike.groupBy("granularity").agg(F.greatest(F.count("*") / SETS_PER_BLOCK, F.sum(F.size("items")) / ITEMS_PER_BLOCK).alias("n"))
+    blocks = materialise(held.select("granularity", F.ceil("n").cast("int").alias("blocks")), "blocks")
+    at_once = blocks.agg(F.sum(F.expr("blocks * (blocks + 1L) div 2"))).first()[0]
     dealt = alike.join(F.broadcast(blocks), "granularity").withColumn("own", F.pmod(F.xxhash64("items", "size"), F.col("blocks")).cast("int"))
-    both = dealt.select("granularity", "times", "items", "size", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    both = both.select("granularity", "times", "items", "size", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("z"), (F.col("own") > F.col("with")).cast("int").alias("side"))
-    dense = both.groupBy("granularity", "a", "z").applyInArrow(_closeness, "granularity string, close double")
-    return dense.unionByName(gained).groupBy("granularity").agg(F.sum("close").alias("close"))
+    dealt = dealt.select("granularity", "own", "blocks", "times", "items", "size")
+    rows = materialise(dealt.groupBy("granularity", "own").applyInArrow(_packed, "granularity string, own int, blocks int, sets binary"), "packed")
+    both = rows.select("granularity", "sets", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    both = both.select("granularity", "sets", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("z"))
+    both = both.repartition(max(1, min(at_once or 0, PAIRS_AT_ONCE)), "granularity", "a", "z")
+    return both.groupBy("granularity", "a", "z").applyInArrow(_compared, "granularity string, close double")
 
 
 def alpha(elements: DataFrame, units: DataFrame, places: int = 6, granularities: list[str] | None = None) -> DataFrame:
@@ -172,18 +375,18 @@ def alpha(elements: DataFrame, units: DataFrame, places: int = 6, granularities:
     Expected disagreement runs over all ordered pairs of the 2n sets.  Equal sets are one with a multiplicity; their pairs are
     summed up by `closeness`.
     """
-    return _alpha(shared_items(elements), units, places, granularities)
+    return _alpha(rated(elements), units, places, granularities)
 
 
 def _alpha(sides: DataFrame, units: DataFrame, places: int, granularities: list[str] | None) -> DataFrame:
     n = units.select("unit").distinct().agg(F.count("*").alias("n"))
-    held = overlaps(sides).withColumn("d", masi(F.col("a"), F.col("b"), F.col("both"))).groupBy("granularity").agg(F.sum("d").alias("d"))
-    side = F.filter(F.array(F.when(F.col("a") == 1, "A"), F.when(F.col("b") == 1, "B")), lambda x: x.isNotNull())
-    distinct = sides.select("granularity", "unit", "item", F.explode(side).alias("side"))
-    sets = distinct.groupBy("granularity", "unit", "side").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    kinds = materialise(sets.groupBy("granularity", "items").agg(F.count("*").cast("double").alias("times")), "sets")
-    filled = kinds.groupBy("granularity").agg(F.sum("times").alias("filled"))
-    out = every(held.join(closeness(kinds), "granularity").join(filled, "granularity"), granularities).na.fill(0.0, ["d", "close", "filled"]).join(F.broadcast(n))
+    apart = masi(F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b")))
+    # A unit's distance goes with the first of its sets, so that what is grouped is read once.
+    sets = sides.withColumn("d", apart).select("granularity", F.posexplode(F.filter(F.array("a", "b"), lambda x: F.size(x) > 0)).alias("at", "items"), "d")
+    kinds = sets.groupBy("granularity", "items").agg(F.count("*").cast("double").alias("times"), F.sum(F.when(F.col("at") == 0, F.col("d")).otherwise(0.0)).alias("d"))
+    kinds = _numbered(kinds)
+    held = kinds.groupBy("granularity").agg(F.sum("times").alias("filled"), F.sum("d").alias("d"))
+    out = every(held.join(_close(kinds, LIGHT), "granularity"), granularities).na.fill(0.0, ["d", "close", "filled"]).join(F.broadcast(n))
     empty = 2 * F.col("n") - F.col("filled")  # sets without items: at distance 0 from each other, 1 from the rest
     pairs = 2 * F.col("n") * (2 * F.col("n") - 1)
     # All ordered pairs with themselves, minus closeness, minus pairs of empty sets.
@@ -202,8 +405,9 @@ def _alpha(sides: DataFrame, units: DataFrame, places: int, granularities: list[
 def agreement_report(elements: DataFrame, units: DataFrame, places: int = 6, granularities: list[str] | None = None) -> DataFrame:
     """Macro and micro Jaccard, Dice, observed and expected disagreement and alpha by granularity: elements are shuffled to
     their units once, and both kinds of metrics read what is written then."""
-    sides = materialise(shared_items(elements), "sides")
-    return _set_metrics(sides, places, granularities).join(_alpha(sides, units, places, granularities), "granularity")
+    sides = materialise(rated(elements), "sides")
+    sizes = sides.select("granularity", "unit", F.size("a").alias("a"), F.size("b").alias("b"), F.size(F.array_intersect("a", "b")).alias("both"))
+    return _set_metrics(sizes, places, granularities).join(_alpha(sides, units, places, granularities), "granularity")
 
 
 def majority(votes: DataFrame, by: list[str], label: str, rank: Column) -> DataFrame:

@@ -175,11 +175,18 @@ def event_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in the first and second half of the month as two raters' sets, at four granularities."""
     bucket = F.coalesce((F.regexp_extract("props", '"k": *([0-9]+)', 1).try_cast("int") / 10).cast("int").cast("string"), F.lit(""))
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"), F.when(F.dayofmonth("ts") <= 15, "A").otherwise("B").alias("side"), F.col("event_type").alias("t"), bucket.alias("k"), F.hour("ts").cast("string").alias("h"))
+    # A user's different events meet once, before there are four rows of each: what is grouped by user later needn't be shuffled.
+    e = e.groupBy("unit").agg(F.collect_set(F.struct("side", "t", "k", "h")).alias("e")).select("unit", F.explode("e").alias("e")).select("unit", "e.*")
     items = {"file": ["t"], "statement": ["t", "k"], "line": ["t", "h"], "full": ["t", "k", "h"]}
     long = F.array(*[F.struct(F.lit(g).alias("granularity"), F.concat_ws("|", *c).alias("item")) for g, c in items.items()])
     return e.select("unit", "side", F.explode(long).alias("x")).select("x.granularity", "unit", "side", "x.item")
 
 
+def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of event_sets, each of whose events is an element."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"))
+
+
 _SETS = """WITH e AS (SELECT user_id AS unit, CASE WHEN day(ts) <= 15 THEN 'A' ELSE 'B' END AS side, event_type AS t,
     coalesce((try_cast(regexp_extract(props, '"k": *([0-9]+)', 1) AS int) // 10)::varchar, '') AS k, hour(ts)::varchar AS h FROM events),
   el AS (SELECT DISTINCT 'file' AS granularity, unit, side, t AS item FROM e UNION SELECT 'statement', unit, side, t || '|' || k FROM e
@@ -213,15 +220,13 @@ _METRICS_OF = """SELECT granularity, round(coalesce(avg(CASE WHEN a + b - both_
 
 @query(_ALPHA + " " + _ALPHA_OF)
 def a12_krippendorff_masi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = event_sets(spark, sf_dir)
-    return agreement.alpha(sets, sets, granularities=_GRANULARITIES)
+    return agreement.alpha(event_sets(spark, sf_dir), event_units(spark, sf_dir), granularities=_GRANULARITIES)
 
 
 @query(f"{_ALPHA}, al AS ({_ALPHA_OF}), me AS ({_METRICS_OF}) SELECT * FROM me JOIN al USING (granularity)")
 def a13_agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric at every granularity."""
-    sets = event_sets(spark, sf_dir)
-    return agreement.agreement_report(sets, sets, granularities=_GRANULARITIES)
+    return agreement.agreement_report(event_sets(spark, sf_dir), event_units(spark, sf_dir), granularities=_GRANULARITIES)
 
 
 def _priority_rank(c: str = "o_orderpriority") -> Column:
